@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, licenses, pii, quality, sharding, toxicity
+from . import bpe, decontam, licenses, pii, quality, sharding, substring, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,11 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(_table(spark, sf_dir, "documents")))
 
 
+def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.remove_repeats(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -50,8 +55,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_sharding": op5_sharding,
     "op6_pii": op6_pii,
+    "op7_substring": op7_substring,
     "op9_decontamination": op9_decontamination,
     "op10_licenses": op10_licenses,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+OP7_SQL = """
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+), win AS (
+  SELECT doc_id, unnest(range(1, len(w) - 48)) AS i, w FROM d WHERE len(w) >= 50
+), seq AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS s FROM win
+), late AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS m FROM seq) WHERE m < doc_id
+), gone AS (
+  SELECT doc_id, list(DISTINCT p) AS ps FROM (SELECT doc_id, unnest(range(i, i + 50)) AS p FROM late) GROUP BY doc_id
+), kept AS (
+  SELECT d.doc_id, len(w) AS n, coalesce(len(ps), 0) AS r,
+         CASE WHEN ps IS NULL THEN array_to_string(w, ' ')
+              ELSE array_to_string(list_filter(w, lambda x, j: NOT list_contains(ps, j)), ' ') END AS k
+  FROM d LEFT JOIN gone USING (doc_id)
+)
+SELECT doc_id, n::BIGINT AS n_words, r::BIGINT AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM kept
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op7_substring": OP7_SQL,
+}
