@@ -143,13 +143,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, broadcast_ids: int = 1_000_000) -> DataFrame:
-    """Documents in which no item stands, all columns kept; rows without an id stay.
-
-    The ids of hits are written first and counted: up to ``broadcast_ids`` of them (8 MB) are sent
-    to every task, more go through a shuffled anti-join.
-    """
-    hit = common.written(contaminated(docs, benchmark).select(F.col("doc_id").alias("_hit")).distinct(), "hits")
-    if hit.count() <= broadcast_ids:
-        hit = F.broadcast(hit)
-    return docs.join(hit, docs["doc_id"] == F.col("_hit"), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Documents in which no item stands, all columns kept; rows without an id stay."""
+    return common.without_ids(docs, contaminated(docs, benchmark).select("doc_id"))
