@@ -7,10 +7,338 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from ..functions import numeric
+from ..operators import discover, mining, search, stats, timechart
+from ..operators.aliases import Aliases, table, values
+from ..operators.fields import ColumnFields
+from ..sources import lines as source
+from ..sources.store import expired
+from ..streaming.ingest import live_timechart
+from . import engine
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ColumnFields]:
+    lines = source.events_view(_read(spark, sf_dir, "events"))
+    return lines, ColumnFields(["event_type", "user_id", "value", "event_id"])
+
+
+def _query(name: str, sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+# The events table as lines, in DuckDB.
+LINES = """(SELECT *, concat_ws(' ', strftime(ts, '%Y-%m-%d %H:%M:%S'), event_type, 'user=' || user_id, 'props=' || props) AS raw, epoch_us(ts) // 1000 AS ms FROM events)"""
+_DELIM = "[ \\t:=,]+"
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return events.groupBy(F.col("event_type").alias("key")).agg(F.count("*").alias("value"))
+    lines, fields = _events(spark, sf_dir)
+    return engine.query(lines, "user | stats count by event_type", fields)
+
+
+# ------------------------------------------------------------------------------- search
+
+
+def _docs(query: str, sql: str, name: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        lines = source.table_view(_read(spark, sf_dir, "documents"), "text", "doc_id")
+        return search.matching(lines, query).select("doc_id", "lang")
+
+    _query(name, f"SELECT doc_id, lang FROM documents WHERE {sql}")(run)
+
+
+_docs("License", "contains(text, 'License')", "search_term")
+_docs("GNU*License", "regexp_matches(text, '(?s)GNU.*License')", "search_wildcard")
+_docs("Lic*un*BY", "regexp_matches(text, '(?s)Lic.*un.*BY')", "search_wildcard_three_parts")
+_docs('"under the Apache"', f"regexp_matches(text, 'under{_DELIM}the{_DELIM}Apache')", "search_phrase")
+_docs("Licensed under", "contains(text, 'Licensed') AND contains(text, 'under')", "search_implicit_and")
+_docs("License AND Version", "contains(text, 'License') AND contains(text, 'Version')", "search_and")
+_docs("MIT OR Apache", "contains(text, 'MIT') OR contains(text, 'Apache')", "search_or")
+_docs("License AND NOT Apache", "contains(text, 'License') AND NOT contains(text, 'Apache')", "search_not")
+_docs("License not Apache", "contains(text, 'License') AND NOT contains(text, 'Apache')", "search_inline_not")
+_docs("( MIT or Apache ) and not ( Released or Version )", "(contains(text, 'MIT') OR contains(text, 'Apache')) AND NOT (contains(text, 'Released') OR contains(text, 'Version'))", "search_parentheses")
+_docs("password=*5", "contains(text, 'password') AND contains(text, '=') AND contains(text, '5')", "search_delimiter_and")
+_docs("/[0-9]{3}-[0-9]{4}/", "regexp_matches(text, '[0-9]{3}-[0-9]{4}')", "search_regex")
+
+
+@_query("search_pages_url", "SELECT page_id, url FROM pages WHERE contains(url, 'https') AND contains(html, 'href')")
+def search_pages_url(spark, sf_dir):
+    pages = _read(spark, sf_dir, "pages")
+    return search.matching(pages.withColumn("raw", F.concat_ws(" ", "url", "html")), "https AND href").where(F.col("url").contains("https") & F.col("html").contains("href")).select("page_id", "url")
+
+
+@_query("search_limit", "SELECT doc_id, n_chars FROM documents WHERE contains(text, 'License') ORDER BY doc_id LIMIT 20")
+def search_limit(spark, sf_dir):
+    lines = source.table_view(_read(spark, sf_dir, "documents"), "text", "doc_id")
+    return search.search(lines, "License", 20).select("doc_id", "n_chars")
+
+
+@_query("search_records", "SELECT text AS log_line, -1::INT AS template_id, 'OUTLIER' AS template, doc_id AS line_number FROM documents WHERE contains(text, 'Apache')")
+def search_records(spark, sf_dir):
+    lines = source.table_view(_read(spark, sf_dir, "documents"), "text", "doc_id")
+    return search.records(search.search(lines, "Apache", None))
+
+
+@_query("search_time_range", f"SELECT event_id, event_type FROM {LINES} WHERE contains(raw, 'click') AND ms BETWEEN epoch_ms(TIMESTAMP '2024-01-05 00:00:00') AND epoch_ms(TIMESTAMP '2024-01-06 12:00:00')")
+def search_time_range(spark, sf_dir):
+    lines, fields = _events(spark, sf_dir)
+    return search.matching(lines, 'click -time "2024-01-05 00:00:00" "2024-01-06 12:00:00"', fields).select("event_id", "event_type")
+
+
+@_query("search_conversations", "SELECT role, count(*) AS n FROM conversations WHERE contains(text, 'the') GROUP BY role")
+def search_conversations(spark, sf_dir):
+    lines = source.table_view(_read(spark, sf_dir, "conversations"), "text", "conv_id")
+    return search.matching(lines, "the").groupBy("role").agg(F.count("*").alias("n"))
+
+
+# ------------------------------------------------------------------------ field filters
+
+
+def _event_filter(name: str, text: str, sql: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        lines, fields = _events(spark, sf_dir)
+        return search.matching(lines, text, fields).select("event_id", "user_id")
+
+    _query(name, f"SELECT event_id, user_id FROM {LINES} WHERE {sql}")(run)
+
+
+_event_filter("filter_field_contains", "event_type:ick", "contains(event_type, 'ick')")
+_event_filter("filter_field_strict", "event_type:view |strict", "contains(event_type, 'view')")
+_event_filter("filter_numeric_equal", "user_id:==7", "user_id = 7")
+_event_filter("filter_numeric_not_equal", "user_id:!=7", "user_id <> 7")
+_event_filter("filter_numeric_greater", "user_id:>100", "user_id > 100")
+_event_filter("filter_numeric_at_least", "user_id:>=100", "user_id >= 100")
+_event_filter("filter_numeric_less", "user_id:<5", "user_id < 5")
+_event_filter("filter_numeric_at_most", "user_id:<=5", "user_id <= 5")
+_event_filter("filter_numeric_range", "user_id:10..20", "user_id BETWEEN 10 AND 20")
+_event_filter("filter_mixed", "( user_id:10..20 or user_id:>140 ) and not event_type:click", "(user_id BETWEEN 10 AND 20 OR user_id > 140) AND NOT contains(event_type, 'click')")
+
+
+# ----------------------------------------------------------------------------- analytics
+
+
+def _piped(name: str, text: str, sql: str | None, round_value: bool = False, exact: bool = False) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        lines, fields = _events(spark, sf_dir)
+        out = engine.query(lines, text, fields, exact_distinct=exact)
+        return out.withColumn("value", F.round(F.col("value"), 4)) if round_value else out
+
+    _query(name, sql)(run)
+
+
+_CLICK = f"FROM {LINES} WHERE contains(raw, 'click')"
+_piped("stats_count", "click | stats count", f"SELECT count(*) AS count {_CLICK}")
+_piped("stats_count_all", "| stats count()", "SELECT count(*) AS count FROM events")
+_piped("stats_count_unpiped", "stats count by event_type", "SELECT event_type AS key, count(*) AS value FROM events GROUP BY event_type")
+_piped("stats_count_by", "user | stats count by event_type", "SELECT event_type AS key, count(*) AS value FROM events GROUP BY event_type")
+_piped("stats_count_by_user", "click | stats count() by user_id", f"SELECT user_id::VARCHAR AS key, count(*) AS value {_CLICK} GROUP BY user_id")
+for _f in ("sum", "avg", "min", "max"):
+    _piped(f"stats_{_f}", f"click | stats {_f}(value)", f"SELECT '{_f}' AS op, 'value' AS field, round({_f}(value), 4) AS value {_CLICK}", True)
+    _piped(f"stats_{_f}_by", f"| stats {_f}(value) by event_type", f"SELECT event_type AS key, round({_f}(value), 4) AS value FROM events GROUP BY event_type", True)
+    _piped(f"by_{_f}", f"click | by(user_id) {_f}(value)", f"SELECT user_id::VARCHAR AS key, round({_f}(value), 4) AS value {_CLICK} GROUP BY user_id", True)
+_piped("by_count", "| by(event_type) count()", "SELECT event_type AS key, count(*) AS value FROM events GROUP BY event_type")
+_piped("stats_distinct_by", "| stats distinct(user_id) by event_type", "SELECT event_type AS key, count(DISTINCT user_id) AS value FROM events GROUP BY event_type")
+_piped("by_distinct", "| by(event_type) distinct(user_id)", "SELECT event_type AS key, count(DISTINCT user_id) AS value FROM events GROUP BY event_type")
+_piped("distinct_exact", "click | distinct(user_id)", f"SELECT 'distinct' AS op, 'user_id' AS field, count(DISTINCT user_id) AS value {_CLICK}", exact=True)
+_piped("distinct_sketch", "click | stats distinct(user_id)", None)
+_piped("top_k", "| top 3 event_type", "SELECT event_type AS value, count(*) AS count FROM events GROUP BY event_type ORDER BY count DESC, value LIMIT 3")
+_piped("top_call", "click | top(user_id,20)", f"SELECT user_id::VARCHAR AS value, count(*) AS count {_CLICK} GROUP BY user_id ORDER BY count DESC, value LIMIT 20")
+_piped("top_default", "| top(user_id)", "SELECT user_id::VARCHAR AS value, count(*) AS count FROM events GROUP BY user_id ORDER BY count DESC, value LIMIT 10")
+
+
+@_query("distinct_sketch_merge")
+def distinct_sketch_merge(spark, sf_dir):
+    lines, fields = _events(spark, sf_dir)
+    return stats.merged(stats.sketch(lines, fields, "user_id", "event_type"))
+
+
+# --------------------------------------------------------------------- library statistics
+
+
+def _statistic(name: str, run, sql: str) -> None:
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        lines, fields = _events(spark, sf_dir)
+        out = run(lines, fields)
+        return out.withColumn("value", F.round("value", 4)) if dict(out.dtypes).get("value") == "double" else out
+
+    _query(name, sql)(build)
+
+
+_statistic("library_average", lambda d, f: stats.average(d, f, "value"), "SELECT round(avg(value), 4) AS value FROM events")
+_statistic("library_median", lambda d, f: stats.median(d, f, "value"), "SELECT round(median(value), 4) AS value FROM events")
+_statistic("library_stddev", lambda d, f: stats.stddev(d, f, "value"), "SELECT round(stddev_pop(value), 4) AS value FROM events")
+for _p in (0, 50, 95, 100):
+    _statistic(f"library_percentile_{_p}", lambda d, f, p=_p: stats.percentile(d, f, "value", p), f"SELECT round(list_sort(list(value))[({_p} * (count(*) - 1) // 100) + 1], 4) AS value FROM events")
+_statistic("library_grouped_average", lambda d, f: stats.grouped_average(d, f, "value", "event_type"), "SELECT event_type AS key, round(avg(value), 4) AS value FROM events GROUP BY event_type")
+_statistic("library_frequencies", lambda d, f: stats.frequencies(d, f, "user_id"), "SELECT user_id::VARCHAR AS value, count(*) AS count FROM events GROUP BY user_id")
+_statistic("library_distinct_exact", lambda d, f: stats.scalar(d, f, "distinct", "event_type", exact=True).select("value"), "SELECT count(DISTINCT event_type) AS value FROM events")
+
+
+@_query("numeric_lenient", "SELECT p_partkey, coalesce(try_cast(trim(regexp_extract(p_name, '[0-9]+')) AS DOUBLE), 0) AS n FROM part")
+def numeric_lenient(spark, sf_dir):
+    digits = F.regexp_extract("p_name", "[0-9]+", 0)
+    return _read(spark, sf_dir, "part").select("p_partkey", numeric.lenient(digits).alias("n"))
+
+
+# ----------------------------------------------------------------------------- timechart
+
+
+def _chart(name: str, text: str, sql: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        lines, fields = _events(spark, sf_dir)
+        return engine.query(lines, text, fields)
+
+    _query(name, sql)(run)
+
+
+_chart("timechart_span", "click | timechart span=1h count", f"SELECT ms - ms % 3600000 AS ts, count(*) AS count {_CLICK} GROUP BY ms - ms % 3600000")
+_chart("timechart_span_by", "| timechart span=1d count() by event_type", f"SELECT event_type AS key, ms - ms % 86400000 AS ts, count(*) AS count FROM {LINES} GROUP BY event_type, ms - ms % 86400000")
+_BINS = """WITH l AS (SELECT * FROM {lines} WHERE {where}), r AS (SELECT {lo} AS lo, {hi} AS hi, greatest(1, ({hi} - {lo}) // {bins}) AS w FROM l),
+b AS (SELECT {key} least((ms - lo) // w, {bins} - 1) AS bin, count(*) AS n FROM l, r WHERE ms BETWEEN lo AND hi GROUP BY ALL),
+g AS (SELECT {keys} lo + i * w AS ts, i FROM r, range({bins}) t(i) {cross})
+SELECT {gkey} ts, coalesce(n, 0) AS count FROM g LEFT JOIN b ON g.i = b.bin {on}"""
+
+
+def _bins(where: str, bins: int, lo: str = "min(ms)", hi: str = "max(ms)", group: str = "") -> str:
+    return _BINS.format(
+        lines=LINES, where=where, bins=bins, lo=lo, hi=hi, key=f"{group} AS key," if group else "", keys="key," if group else "",
+        cross=", (SELECT DISTINCT key FROM b)" if group else "", gkey="g.key AS key," if group else "", on="AND g.key = b.key" if group else "",
+    )
+
+
+_chart("timechart_bins", "click | timechart bins=7 count", _bins("contains(raw, 'click')", 7))
+_chart("timechart_bins_default", "| timechart count", _bins("true", 60))
+_chart("timechart_bins_range", "| timechart bins=5 start=1704499200000 end=1704931200000", _bins("true", 5, "min(1704499200000)", "max(1704931200000)"))
+_chart("timechart_bins_by", "| timechart bins=6 count by event_type", _bins("true", 6, group="event_type"))
+
+
+@_query("timechart_nested")
+def timechart_nested(spark, sf_dir):
+    lines, fields = _events(spark, sf_dir)
+    return timechart.nested(timechart.by_span(lines, 86_400_000, fields, "event_type"))
+
+
+@_query("timechart_orders", "SELECT (epoch_us(o_orderdate) // 1000) - (epoch_us(o_orderdate) // 1000) % 2592000000 AS ts, count(*) AS count FROM orders GROUP BY ALL")
+def timechart_orders(spark, sf_dir):
+    orders = _read(spark, sf_dir, "orders").withColumn("ts_ms", F.unix_millis(F.col("o_orderdate").cast("timestamp")))
+    return timechart.by_span(orders, 30 * 86_400_000)
+
+
+@_query("timechart_window", "SELECT epoch_us(time_bucket(INTERVAL '1 hour', ts)) // 1000 AS ts, event_type AS key, count(*) AS count FROM events GROUP BY ALL")
+def timechart_window(spark, sf_dir):
+    events = _read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return live_timechart(events, "1 hour", "10 minutes", "event_type")
+
+
+# ------------------------------------------------------ templates, aliases, store, ingest
+
+
+def _mined(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[mining.Template]]:
+    lines, _ = _events(spark, sf_dir)
+    lines = lines.select("raw", "ts_ms", "line_no", "segment_id", "event_type")
+    templates = mining.mine(lines)
+    return mining.match(lines, templates), templates
+
+
+@_query("mining_rebuild", f"SELECT event_id AS line_no, raw, raw AS rebuilt FROM {LINES}")
+def mining_rebuild(spark, sf_dir):
+    matched, templates = _mined(spark, sf_dir)
+    return mining.rebuild(matched, mining.catalog(matched, templates)).select("line_no", "raw", "rebuilt")
+
+
+@_query("mining_coverage", "SELECT count(*) AS lines FROM events")
+def mining_coverage(spark, sf_dir):
+    """Lines of all templates and outliers together."""
+    matched, _ = _mined(spark, sf_dir)
+    return matched.groupBy("template_id").agg(F.count("*").alias("n")).agg(F.sum("n").alias("lines"))
+
+
+@_query("mining_catalog")
+def mining_catalog(spark, sf_dir):
+    matched, templates = _mined(spark, sf_dir)
+    return mining.catalog(matched, templates).select("segment_id", "template_id", "count", "content")
+
+
+@_query("mining_profile")
+def mining_profile(spark, sf_dir):
+    matched, _ = _mined(spark, sf_dir)
+    return mining.profile(matched)
+
+
+@_query("alias_count_by", "SELECT 'user' AS alias, user_id::VARCHAR AS value, count(*) AS n FROM events GROUP BY user_id")
+def alias_count_by(spark, sf_dir):
+    """Every template's variable behind ``user=`` under one alias, joined by template and counted."""
+    matched, templates = _mined(spark, sf_dir)
+    aliases = Aliases()
+    for t in templates:
+        var = -1
+        for i, token in enumerate(t.tokens):
+            var += token is None
+            if token is None and i >= 2 and t.tokens[i - 1] == "=" and t.tokens[i - 2] == "user":
+                aliases.add("user", (t.id, var))
+    # A user whom sampling saw in one template only is a constant there.
+    found = values(matched, table(spark, {"index:events": aliases})).select("alias", "value")
+    rest = matched.where(~F.col("template_id").isin([t for t, _ in aliases.of.get("user", [])] or [-2])).select(F.lit("user").alias("alias"), F.regexp_extract("raw", "user=([0-9]+)", 1).alias("value"))
+    return found.union(rest).groupBy("alias", "value").agg(F.count("*").alias("n"))
+
+
+@_query("alias_discovery")
+def alias_discovery(spark, sf_dir):
+    matched, templates = _mined(spark, sf_dir)
+    return table(spark, {"index:events": discover.discover(matched, templates)})
+
+
+@_query("join_lookup", "SELECT n.n_name AS key, count(*) AS value FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey GROUP BY n.n_name")
+def join_lookup(spark, sf_dir):
+    """A dimension joined by key, then grouped; Spark broadcasts the dimension by its size."""
+    nation = _read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    lines = _read(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    return stats.grouped(lines, ColumnFields(["n_name"]), "count", None, "n_name")
+
+
+@_query(
+    "store_retention",
+    """WITH s AS (SELECT l_suppkey::VARCHAR AS segment_id, count(*) AS records, sum(l_quantity)::BIGINT AS bytes, max(epoch_us(l_shipdate) // 1000) AS end_ms FROM lineitem GROUP BY l_suppkey),
+r AS (SELECT *, row_number() OVER (ORDER BY end_ms DESC, segment_id DESC) AS place, sum(bytes) OVER (ORDER BY end_ms DESC, segment_id DESC) AS held FROM s)
+SELECT segment_id, records FROM r WHERE place > 30 OR held > 300000""",
+)
+def store_retention(spark, sf_dir):
+    """Suppliers stand in for segments."""
+    segments = _read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").cast("string").alias("segment_id")).agg(
+        F.count("*").alias("records"), F.sum("l_quantity").cast("long").alias("bytes"), F.max(F.unix_millis(F.col("l_shipdate").cast("timestamp"))).alias("end_ms")
+    )
+    return expired(segments.withColumn("index", F.lit("lineitem")), 30, 300_000).select("segment_id", "records")
+
+
+@_query("ingest_clean", "SELECT doc_id, count(*) AS lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) WHERE length(l) > 0 GROUP BY doc_id")
+def ingest_clean(spark, sf_dir):
+    bodies = _read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"))
+    return source.from_bodies(bodies).groupBy("doc_id").agg(F.count("*").alias("lines"))
+
+
+@_query("segment_metadata", f"SELECT event_type AS segment_id, count(*) AS records, sum(strlen(raw) + 1)::BIGINT AS bytes, min(ms) AS start_ms, max(ms) AS end_ms FROM {LINES} GROUP BY event_type")
+def segment_metadata(spark, sf_dir):
+    lines, _ = _events(spark, sf_dir)
+    return lines.groupBy(F.col("event_type").alias("segment_id")).agg(
+        F.count("*").alias("records"), F.sum(F.octet_length("raw") + 1).cast("long").alias("bytes"), F.min("ts_ms").alias("start_ms"), F.max("ts_ms").alias("end_ms")
+    )
+
+
+@_query("time_parse", f"SELECT event_id, ms - ms % 1000 AS ts_ms FROM {LINES}")
+def time_parse(spark, sf_dir):
+    lines, _ = _events(spark, sf_dir)
+    return source.with_time(lines.select("event_id", "raw")).select("event_id", "ts_ms")
