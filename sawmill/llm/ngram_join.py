@@ -3,7 +3,8 @@
 Sets are those of distinct 5-word shingles; two documents link when their Jaccard similarity
 reaches 0.8. Equal sets are one node from the start. Candidates come from a size-aware join:
 
-* Elements have one global order (locally frequent ones last; any common order is right).
+* Elements have one global order: rare ones first, by the counts of a sketch of bounded size.
+  Any common order is right; this one keeps shared passages out of most prefixes.
   A pair that links shares at least k elements within prefixes of size - ceil(0.8 size) + k.
 * Light sets, up to a boundary size, enumerate the 2-element subsets of their prefix (k = 2):
   two light sets that link share a subset.
@@ -11,8 +12,8 @@ reaches 0.8. Equal sets are one node from the start. Candidates come from a size
   that a heavy one could link with scan. The boundary is the size that minimises the cost of
   enumerating against that of scanning over the actual sizes.
 
-A list gives each of its nodes one edge to its first node, so candidates grow with the input and
-not with the square of a group. Candidate components are then solved exactly: a leader is
+A list joins each of its nodes to the one before it by size where such sizes could link, so
+candidates grow with the input and not with the square of a group. Candidate components are then solved exactly: a leader is
 compared with every set of its component, in order, until all sets that have not been leaders are
 in one component; every pair that was not compared is then linked through others. Components of
 bounded bytes are solved in one task, larger ones in rounds over blocks of bounded bytes.
@@ -25,6 +26,7 @@ import math
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,8 +36,10 @@ from . import common
 SHINGLE, TIMES, OF = 5, 80, 100
 #: Cost of scanning one posting, against enumerating one subset.
 SCAN_COST = 4.0
-#: Elements that order last: at most so many, seen in at least so many sets of one chunk.
-HEAVY_ELEMENTS, HEAVY_SETS = 400_000, 4
+#: Cells in each of the two rows of the sketch of element counts: grows with the input up to 16 MB.
+MIN_CELLS, MAX_CELLS, CELL_BLOCK = 1 << 18, 1 << 24, 1 << 18
+#: Sizes of one class link with sizes of the classes next to it only.
+CLASS = math.log(OF / TIMES)
 #: Characters of text whose elements are counted together.
 CHUNK_CHARS = 12_000_000
 #: Bytes of sets that one task solves.
@@ -89,19 +93,20 @@ def prefix_size(size: int, k: int) -> int:
     return min(size, size - needed(size) + k)
 
 
+def _places(elements: np.ndarray, cells: int) -> list[np.ndarray]:
+    mask = np.uint64(cells - 1)
+    return [(elements & mask).astype(np.int64), ((elements >> np.uint64(32)) & mask).astype(np.int64)]
+
+
 class Order:
-    """The global order of elements: those of the table last, by rising count; the rest by their hash."""
+    """The global order of elements: by rising (estimated, quantised) count, then by hash."""
 
-    def __init__(self, elements: np.ndarray, counts: np.ndarray):
-        at = np.argsort(elements)
-        self.elements, self.counts = elements[at], counts[at]
+    def __init__(self, sketch: np.ndarray):
+        self.sketch = sketch
 
     def prefix(self, s: np.ndarray, n: int) -> np.ndarray:
-        if not len(self.elements):
-            return s[:n]
-        at = np.minimum(np.searchsorted(self.elements, s), len(self.elements) - 1)
-        weight = np.where(self.elements[at] == s, self.counts[at], 0)
-        return s[np.lexsort((s, weight))[:n]]
+        a, b = _places(s, self.sketch.shape[1])
+        return s[np.lexsort((s, np.minimum(self.sketch[0, a], self.sketch[1, b])))[:n]]
 
 
 def signatures(s: np.ndarray, order: Order, boundary: int) -> np.ndarray:
@@ -133,54 +138,78 @@ def choose_boundary(sizes: list[tuple[int, int]], scan_cost: float = SCAN_COST,
 # ---------------------------------------------------------------------- passes over texts
 
 
-def _members(batches):
-    """documents -> (kind 0) doc_id, size, node of each row; (kind 1) elements that are frequent in a chunk, with counts."""
+def _members(cells: int):
+    """documents -> (kind 0) doc_id, size, node of each row; (kind 1) the task's counts of elements, by blocks of cells."""
 
-    def flush(chunk):
-        every = np.concatenate(chunk) if chunk else np.zeros(0, np.uint64)
-        e, n = np.unique(every, return_counts=True)
-        often = n >= max(HEAVY_SETS, len(chunk) // 1000)
-        return pd.DataFrame({"kind": 1, "doc_id": "", "size": n[often].astype(np.int64), "node": e[often].view(np.int64)})
+    def run(batches):
+        counts = np.zeros((2, cells), np.uint8)
+        chunk, seen, held = [], set(), 0
 
-    chunk, seen, held = [], set(), 0
-    for pdf in batches:
-        rows = []
-        for doc_id, text in zip(pdf["doc_id"].tolist(), pdf["text"].tolist()):
-            s = shingles(text)
-            node = node_of(s)
-            rows.append((0, doc_id, len(s), node))
-            if doc_id is not None and node not in seen:
-                seen.add(node)
-                chunk.append(s)
-                held += len(text)
-                if held >= CHUNK_CHARS:
-                    yield flush(chunk)
-                    chunk, seen, held = [], set(), 0
-        yield pd.DataFrame(rows, columns=["kind", "doc_id", "size", "node"])
-    if chunk:
-        yield flush(chunk)
+        def add():
+            for row, at in zip(counts, _places(np.concatenate(chunk), cells)):
+                at, n = np.unique(at, return_counts=True)
+                row[at] = np.minimum(255, row[at] + n)
+
+        for pdf in batches:
+            rows = []
+            for doc_id, text in zip(pdf["doc_id"].tolist(), pdf["text"].tolist()):
+                s = shingles(text)
+                node = node_of(s)
+                rows.append((0, doc_id, len(s), node, None))
+                if doc_id is not None and len(s) and node not in seen:
+                    seen.add(node)
+                    chunk.append(s)
+                    held += len(text)
+                    if held >= CHUNK_CHARS:
+                        add()
+                        chunk, seen, held = [], set(), 0
+            yield pd.DataFrame(rows, columns=["kind", "doc_id", "size", "node", "data"])
+        if chunk:
+            add()
+        pack = zstandard.ZstdCompressor(level=1).compress
+        width = min(cells, CELL_BLOCK)
+        for r in range(2):
+            rows = [(1, None, r, k // width, pack(counts[r, k : k + width].tobytes())) for k in range(0, cells, width) if counts[r, k : k + width].any()]
+            if rows:
+                yield pd.DataFrame(rows, columns=["kind", "doc_id", "size", "node", "data"])
+
+    return run
 
 
-def _postings(order, boundary: int):
-    """documents -> (sig, node), one node for each signature of a chunk; further nodes of it are edges at once (sig null)."""
+def _merge_counts(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Sums of one block of cells, quantised by their logarithm to a byte."""
+    total = None
+    for raw in pdf["data"]:
+        got = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+        total = got.astype(np.float64) if total is None else total + got
+    out = np.minimum(255, np.floor(8 * np.log2(1 + total))).astype(np.uint8)
+    return pd.DataFrame({"r": pdf["size"].iloc[:1], "block": pdf["node"].iloc[:1], "data": [out.tobytes()]})
+
+
+def _postings(sketch, boundary: int):
+    """documents -> (sig, class, node), one node for each signature and size class of a chunk.
+
+    Further nodes of them are edges at once: settled, with the other node in sig.
+    """
 
-    def flush(sigs, nodes):
+    def flush(sigs, nodes, classes):
         sig = np.concatenate(sigs).view(np.int64)
-        node = np.repeat(np.array(nodes, np.int64), [len(x) for x in sigs])
-        at = np.lexsort((node, sig))
-        sig, node = sig[at], node[at]
+        n = [len(x) for x in sigs]
+        node, size = np.repeat(np.array(nodes, np.int64), n), np.repeat(np.array(classes, np.int32), n)
+        at = np.lexsort((node, size, sig))
+        sig, node, size = sig[at], node[at], size[at]
         new = np.ones(len(sig), bool)
-        new[1:] = sig[1:] != sig[:-1]
+        new[1:] = (sig[1:] != sig[:-1]) | (size[1:] != size[:-1])
         first = node[np.flatnonzero(new)][np.cumsum(new) - 1] if len(sig) else node
-        yield pd.DataFrame({"settled": False, "sig": sig[new], "node": node[new]})
+        yield pd.DataFrame({"settled": False, "sig": sig[new], "class": size[new], "node": node[new]})
         edge = first != node
         if edge.any():
             pairs = np.unique(np.stack([node[edge], first[edge]], 1), axis=0)
-            yield pd.DataFrame({"settled": True, "sig": pairs[:, 0], "node": pairs[:, 1]})
+            yield pd.DataFrame({"settled": True, "sig": pairs[:, 0], "class": np.int32(0), "node": pairs[:, 1]})
 
     def run(batches):
-        made = Order(*order.value)
-        sigs, nodes, seen, held = [], [], set(), 0
+        order = Order(sketch.value)
+        sigs, nodes, classes, seen, held = [], [], [], set(), 0
         for pdf in batches:
             for text in pdf["text"].tolist():
                 s = shingles(text)
@@ -188,14 +217,15 @@ def _postings(order, boundary: int):
                 if not len(s) or node in seen:
                     continue
                 seen.add(node)
-                sigs.append(signatures(s, made, boundary))
+                sigs.append(signatures(s, order, boundary))
                 nodes.append(node)
+                classes.append(int(math.log(len(s)) / CLASS + 1e-9))
                 held += len(text)
                 if held >= CHUNK_CHARS:
-                    yield from flush(sigs, nodes)
-                    sigs, nodes, seen, held = [], [], set(), 0
+                    yield from flush(sigs, nodes, classes)
+                    sigs, nodes, classes, seen, held = [], [], [], set(), 0
         if sigs:
-            yield from flush(sigs, nodes)
+            yield from flush(sigs, nodes, classes)
 
     return run
 
@@ -268,6 +298,7 @@ def _solve_group(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _compare(leaders: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
     """Links of every leader with every set of one block."""
+    leaders = leaders.rename(columns={"asked_node": "node", "asked_elements": "elements"})
     block, leaders = block.drop_duplicates("node"), leaders.drop_duplicates("node")
     if not len(block) or not len(leaders):
         return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
@@ -318,20 +349,21 @@ def _solve_large(sets: DataFrame, max_rounds: int = 400) -> DataFrame:
             if rest.isEmpty():
                 break
             continue
-        asked = sets.join(leaders.withColumnRenamed("comp", "c").select("node"), "node", "left_semi").select("comp", "node", "elements", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-        dealt = sets.join(leaders.select("comp").distinct(), "comp", "left_semi").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
-        new = (
-            asked.groupBy("comp", "block")
-            .cogroup(dealt.select("comp", "node", "elements", "block").groupBy("comp", "block"))
-            .applyInPandas(_compare, "a long, b long")
+        chosen = leaders.select(F.col("node").alias("led"))
+        asked = sets.join(chosen, F.col("node") == F.col("led"), "left_semi").select(
+            F.col("comp").alias("c"), F.col("node").alias("node"), F.col("elements").alias("elements"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b")
         )
+        open_comps = leaders.select(F.col("comp").alias("open")).distinct()
+        dealt = sets.join(open_comps, F.col("comp") == F.col("open"), "left_semi").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
+        asked = asked.toDF("c", "asked_node", "asked_elements", "b")
+        new = asked.groupBy("c", "b").cogroup(dealt.select("comp", "block", "node", "elements").groupBy("comp", "block")).applyInPandas(_compare, "a long, b long")
         new = common.written(new.mapInPandas(common._local_forest, "a long, b long"), "links")
         found = new if found is None else common.written(found.union(new), "links")
         comp = common.components(found)
-        lead = leaders.select(F.col("node").alias("led")).withColumn("now", F.lit(True))
+        lead = chosen.withColumn("now", F.lit(True))
         state = common.written(
             state.drop("root")
-            .join(comp.withColumnRenamed("component", "root"), "node", "left")
+            .join(comp.select(F.col("node").alias("member"), F.col("component").alias("root")), F.col("node") == F.col("member"), "left")
             .join(lead, F.col("node") == F.col("led"), "left")
             .select("comp", "node", "size", F.coalesce("root", "node").alias("root"), (F.col("done") | F.coalesce("now", F.lit(False))).alias("done")),
             "state",
@@ -370,17 +402,24 @@ def similar(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = rows.where("doc_id is not null and text <> ''").select("text")
-    table = common.written(rows.mapInPandas(_members, "kind int, doc_id string, size long, node long"), "members")
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    cells = MIN_CELLS
+    while cells < chars // 48 and cells < MAX_CELLS:  # some 8 elements a cell
+        cells *= 2
+    table = common.written(rows.mapInPandas(_members(cells), "kind int, doc_id string, size long, node long, data binary"), "members")
     members = table.where("kind = 0").select(F.col("doc_id").cast("long").alias("doc_id"), "size", "node")
-    often = table.where("kind = 1").groupBy("node").agg(F.sum("size").alias("n")).orderBy(F.desc("n"), "node").limit(HEAVY_ELEMENTS).toPandas()
-    order = spark.sparkContext.broadcast((often["node"].to_numpy(np.int64).view(np.uint64), often["n"].to_numpy(np.int64)))
+    sketch = np.zeros((2, cells), np.uint8)
+    for r, block, raw in table.where("kind = 1").select("size", "node", "data").groupBy("size", "node").applyInPandas(_merge_counts, "r long, block long, data binary").toLocalIterator():
+        sketch[r, block * len(raw) : (block + 1) * len(raw)] = np.frombuffer(raw, np.uint8)
+    shared = spark.sparkContext.broadcast(sketch)
     sizes = [(r[0], r[1]) for r in members.where("size between 2 and 4096").groupBy("size").count().collect()]
     boundary = choose_boundary(sizes)
 
-    posted = texts.mapInPandas(_postings(order, boundary), "settled boolean, sig long, node long")
-    # A chunk posts a signature once, so a list is bounded by the number of chunks.
-    first = F.min("node").over(Window.partitionBy("settled", "sig"))
-    edges = posted.withColumn("first", F.when(F.col("settled"), F.col("sig")).otherwise(first)).where("first <> node").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    posted = texts.mapInPandas(_postings(shared, boundary), "settled boolean, sig long, class int, node long")
+    # A chunk posts a signature once for each size class, so a list is bounded by the number of chunks.
+    by_size = Window.partitionBy("settled", "sig").orderBy("class", "node")
+    near = F.when(F.lag("class").over(by_size) >= F.col("class") - 1, F.lag("node").over(by_size))
+    edges = posted.withColumn("before", F.when(F.col("settled"), F.col("sig")).otherwise(near)).where("before <> node").select(F.col("node").alias("a"), F.col("before").alias("b"))
     comps = common.written(common.components(edges).withColumnRenamed("component", "comp"), "candidates")
     n = comps.count()
     if not n:
