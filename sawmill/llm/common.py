@@ -76,16 +76,25 @@ def labelled_sample(labels: DataFrame, label: str, bound: int) -> DataFrame:
     )
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def without_ids(docs: DataFrame, ids: DataFrame, broadcast_ids: int = 1_000_000) -> DataFrame:
     """Rows of ``docs`` whose doc_id is not in ``ids`` (one column), all columns kept; rows without an id stay.
 
     The ids are written first and counted: up to ``broadcast_ids`` of them (8 MB) are sent to every
     task, more go through a shuffled anti-join.
     """
-    gone = written(ids.toDF("_gone").where("_gone is not null").distinct(), "ids")
+    name = fresh(docs, "gone")
+    gone = written(ids.toDF(name).where(F.col(name).isNotNull()).distinct(), "ids")
     if gone.count() <= broadcast_ids:
         gone = F.broadcast(gone)
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone[name], "left_anti")
 
 
 # ------------------------------------------------------------- connected components

@@ -195,9 +195,10 @@ def _redacted(text: Column, spans: Column) -> Column:
 def redact(docs: DataFrame) -> DataFrame:
     """The same rows and columns with personal data in ``text`` replaced by <EMAIL>, <IP>, <CARD>, <PHONE>; null texts stay null."""
     marked = common.written(_marked(docs), "pii-marked")
-    added = discovered(marked).select(F.col("row").alias("_row"), F.col("added").alias("_added"))
+    at, more = common.fresh(docs, "pii_row"), common.fresh(docs, "pii_added")
+    added = discovered(marked).select(F.col("row").alias(at), F.col("added").alias(more))
     text = F.col("text").cast("string")
     row = F.xxhash64(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(text, F.lit("")))
-    spans = F.concat(base_spans(text), F.coalesce(F.col("_added"), F.array().cast(_SPAN)))
+    spans = F.concat(base_spans(text), F.coalesce(F.col(more), F.array().cast(_SPAN)))
     out = F.when(F.size(spans) > 0, _redacted(text, spans)).otherwise(text)
-    return docs.join(added, row == F.col("_row"), "left").withColumn("text", out).select(*docs.columns)
+    return docs.join(added, row == F.col(at), "left").withColumn("text", out).select(*docs.columns)
