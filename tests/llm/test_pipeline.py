@@ -20,7 +20,7 @@ def tables(spark, tmp_path_factory):
     for k in range(12):
         i = rng.choice(clean)
         text = docs[i][1]
-        docs.append((1000 + k, [text, text + " tail", f"{text} {item} end", f"{prose(rng, 60)} reach me at a{k}@b.org or +1 (555) 010-12{k:02d} ok"][k % 4]))
+        docs.append((1000 + k, [text, text + " tail", f"{prose(rng, 60)} {item} end", f"{prose(rng, 60)} reach me at a{k}@b.org or +1 (555) 010-12{k:02d} ok"][k % 4]))
     rows = [(i, t, "en", "s", len(t), 1) for i, t in docs] + [(2000, None, None, None, None, 1), (2001, "", "en", "s", 0, 1), (None, "no id " + docs[1][1], "en", "s", 5, 1)]
     d = str(tmp_path_factory.mktemp("sf"))
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score int").write.parquet(f"{d}/documents.parquet")
