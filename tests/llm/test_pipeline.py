@@ -17,6 +17,8 @@ def tables(spark, tmp_path_factory):
     rng = random.Random(1)
     item = "rare benchmark question about granite rivers and paper moons over seven hills"
     clean = [i for i, (_, q, _) in enumerate(labels) if q]
+    for i in clean[::4]:  # personal data in labelled documents, so that it is no sign of low quality
+        docs[i] = (i, f"{docs[i][1]} reach me at a{i}@b.org or +1 (555) 010-{1000 + i} ok")
     for k in range(12):
         i = rng.choice(clean)
         text = docs[i][1]
