@@ -14,7 +14,7 @@ class ColumnFields:
     """Fields are columns of the lines (names in any case), or expressions given by name."""
 
     def __init__(self, columns: dict[str, Column] | list[str]):
-        named = columns if isinstance(columns, dict) else {c: F.col(c) for c in columns}
+        named = columns if isinstance(columns, dict) else {c: c for c in columns}
         self.columns = {k.lower(): v for k, v in named.items()}
 
     @property
@@ -28,7 +28,8 @@ class ColumnFields:
         """The columns that hold a field; null where a line does not have it."""
         if name.lower() not in self.columns:
             raise QueryError(f"unknown field: {name}")
-        return [self.columns[name.lower()]]
+        found = self.columns[name.lower()]
+        return [F.col(found) if isinstance(found, str) else found]
 
     def value(self, name: str) -> Column:
         return F.coalesce(*self.values(name)) if len(self.values(name)) > 1 else self.values(name)[0]

@@ -13,7 +13,7 @@ from .ast import All, And, FieldCompare, FieldMatch, Node, Not, Or, Phrase, Quer
 
 
 def predicate(tree: Node, fields=None, raw: str = "raw", ts_ms: str = "ts_ms") -> Column:
-    """The tree as a boolean column over lines; null never comes out of it."""
+    """The tree as a boolean column over lines."""
     line = F.coalesce(F.col(raw), F.lit(""))
 
     def build(node: Node) -> Column:
@@ -25,7 +25,8 @@ def predicate(tree: Node, fields=None, raw: str = "raw", ts_ms: str = "ts_ms") -
             return line.rlike(node.pattern)
         if isinstance(node, TimeRange):
             # A bare comparison, so that it reaches the Parquet scan's row-group statistics.
-            return F.coalesce(F.col(ts_ms).between(node.start, node.end), F.lit(False))
+            # The parser keeps it a conjunct of its own, where a null time drops the line.
+            return F.col(ts_ms).between(node.start, node.end)
         if isinstance(node, FieldMatch):
             return field_match(node, fields, line)
         if isinstance(node, FieldCompare):
