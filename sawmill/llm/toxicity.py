@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Labelled documents used for the fit (least hash of the id first). The only sampling here.
-SAMPLE = 6_000
+SAMPLE = 4_000
 THRESHOLD = 0.3
 #: Tokens of a text in the fit come in windows of this length.
 WINDOW = 40
@@ -89,51 +89,61 @@ def marginals(seqs: list[np.ndarray], transition: np.ndarray, start: float) -> l
 # ------------------------------------------------------------------------------- the fit
 
 
-def _look(words: list[str]) -> tuple:
+def _look(words: np.ndarray, hashes: np.ndarray) -> tuple:
     """Equal for copies and mostly for near copies: the least two hashes of the words (all words of short texts)."""
     if len(words) < 20:
-        return tuple(words)
-    h = [zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in set(words)]
-    return min(h), min(x * 0x9E3779B1 & 0xFFFFFFFF for x in h)
+        return tuple(words.tolist())
+    h = hashes[words]
+    return int(h.min()), int((h * np.uint64(0x9E3779B1) & np.uint64(0xFFFFFFFF)).min())
 
 
-def toxic_forms(docs: list[list[str]], y: np.ndarray, least: int = 4, least_share: float = 0.012, share: float = 0.97) -> set[str]:
-    """Forms that occur in enough toxic documents and almost nowhere else; near copies count once."""
+def toxic_forms(docs: list[np.ndarray], vocabulary: list[str], y: np.ndarray, least: int = 4, least_share: float = 0.012, share: float = 0.97) -> set[str]:
+    """Forms that occur in enough toxic documents and almost nowhere else; near copies count once.
+
+    Documents are arrays of places in the vocabulary.
+    """
     tox: Counter = Counter()
     non: Counter = Counter()
     known: set[tuple] = set()
     least = max(least, int(least_share * y.sum()))
-    for words, label in zip(docs, y):
-        look = (label, *_look(words))
-        if look in known:
-            continue
-        known.add(look)
-        seen = {f for w in set(words) for f in forms(w) if f[0] in "wp" and len(f) >= 5}
-        (tox if label else non).update(seen)
+    hashes = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in vocabulary], np.uint64)
+
+    def count(label: int, into: Counter, wanted) -> None:
+        for words, x in zip(docs, y):
+            if x != label or (look := (label, *_look(words, hashes))) in known:
+                continue
+            known.add(look)
+            seen = {f for w in np.unique(words).tolist() for f in forms(vocabulary[w]) if f[0] in "wp" and len(f) >= 5}
+            into.update(seen if wanted is None else seen & wanted)
+
+    count(1, tox, None)
+    often = {f for f, n in tox.items() if n >= least}
+    count(0, non, often)
     a, b = max(1, int(y.sum())), max(1, int((1 - y).sum()))
-    return {f for f, n in tox.items() if n >= least and (n / a) / (n / a + (non[f] + 0.5) / b) >= share}
+    return {f for f in often if (tox[f] / a) / (tox[f] / a + (non[f] + 0.5) / b) >= share}
 
 
-def train_chain(seqs: list[list[str]], labels: list[np.ndarray], rounds: int = 80, rate: float = 0.3) -> tuple[dict[str, float], float, np.ndarray, float]:
+def train_chain(seqs: list[np.ndarray], labels: list[np.ndarray], vocabulary: list[str], rounds: int = 80, rate: float = 0.3) -> tuple[dict[str, float], float, np.ndarray, float]:
     """Maximum likelihood by Adam over fixed-length windows; weights belong to state 1 against state 0."""
-    names: dict[str, int] = {}
-    of_word: dict[str, list[int]] = {}
-    counts: Counter = Counter(f for s in seqs for w in set(s) for f in forms(w))
+    counts: Counter = Counter()
     for s in seqs:
-        for w in s:
-            if w not in of_word:
-                of_word[w] = [names.setdefault(f, len(names)) for f in forms(w) if counts[f] >= 2]
+        for w in np.unique(s).tolist():
+            counts.update(forms(vocabulary[w]))
+    names: dict[str, int] = {}
+    of_word: dict[int, np.ndarray] = {}
+    for w in np.unique(np.concatenate(seqs)).tolist():
+        of_word[w] = np.array([names.setdefault(f, len(names)) for f in forms(vocabulary[w]) if counts[f] >= 2], np.int32)
+    del counts
     length = max(map(len, seqs))
     n = len(seqs)
-    flat, feat, mask, y = [], [], np.zeros((n, length), bool), np.zeros((n, length), int)
-    for i, (s, lab) in enumerate(zip(seqs, labels)):
-        mask[i, : len(s)] = True
-        y[i, : len(s)] = lab
-        for t, w in enumerate(s):
-            fs = of_word[w]
-            flat += [i * length + t] * len(fs)
-            feat += fs
-    flat, feat = np.array(flat, np.int64), np.array(feat, np.int64)
+    mask, y = np.zeros((n, length), bool), np.zeros((n, length), np.int8)
+    for i, lab in enumerate(labels):
+        mask[i, : len(lab)] = True
+        y[i, : len(lab)] = lab
+    per = [of_word[w] for s in seqs for w in s.tolist()]
+    feat = np.concatenate(per)
+    flat = np.repeat(np.flatnonzero(mask.ravel()).astype(np.int32), [len(x) for x in per])
+    del per, of_word
     k = len(names)
     theta = np.zeros(k + 6)  # weights, bias, transition (4), start
     theta[k] = -3.0
@@ -189,24 +199,22 @@ def doc_features(p: np.ndarray) -> tuple[float, ...]:
 
 def fit_texts(texts: list[str], y: np.ndarray, seed: int = 5) -> Model:
     """Fit from texts and labels 0/1. One class alone gives a constant score."""
-    words = [_TOKEN.findall(t or "") for t in texts]
     y = np.asarray(y, int)
     if not len(y) or y.min() == y.max():
         p = (y.sum() + 1) / (len(y) + 2) if len(y) else 0.5
         return Model({}, -10.0, np.zeros((2, 2)), 0.0, (float(np.log(p / (1 - p))), 0.0, 0.0, 0.0, 0.0))
+    place: dict[str, int] = {}
+    docs = [np.array([place.setdefault(w, len(place)) for w in _TOKEN.findall(t or "")], np.int32) for t in texts]
+    vocabulary = list(place)
+    del place
     rng = np.random.default_rng(seed)
-    bad = toxic_forms(words, y)
-    is_bad: dict[str, bool] = {}
+    bad = toxic_forms(docs, vocabulary, y)
+    is_bad = np.array([any(f in bad for f in forms(w)) for w in vocabulary], bool)
     seqs, labels = [], []
-    for ws, label in zip(words, y):
-        if not ws:
+    for ws, label in zip(docs, y):
+        if not len(ws):
             continue
-        marks = np.zeros(len(ws), int)
-        if label:
-            for t, w in enumerate(ws):
-                if w not in is_bad:
-                    is_bad[w] = any(f in bad for f in forms(w))
-                marks[t] = is_bad[w]
+        marks = (is_bad[ws] & bool(label)).astype(np.int8)
         n = -(-len(ws) // WINDOW)
         cut = range(n)
         if label:  # windows with toxic tokens and one other
@@ -216,16 +224,9 @@ def fit_texts(texts: list[str], y: np.ndarray, seed: int = 5) -> Model:
         for c in cut:
             seqs.append(ws[c * WINDOW : (c + 1) * WINDOW])
             labels.append(marks[c * WINDOW : (c + 1) * WINDOW])
-    weights, bias, transition, start = train_chain(seqs, labels)
-    cache: dict[str, float] = {}
-
-    def odds(w: str) -> float:
-        x = cache.get(w)
-        if x is None:
-            x = cache[w] = emission(weights, bias, w)
-        return x
-
-    x = np.array([doc_features(p) for p in marginals([np.array([odds(w) for w in ws]) for ws in words], transition, start)])
+    weights, bias, transition, start = train_chain(seqs, labels, vocabulary)
+    odds = np.array([emission(weights, bias, w) for w in vocabulary])
+    x = np.array([doc_features(p) for i in range(0, len(docs), 500) for p in marginals([odds[d] for d in docs[i : i + 500]], transition, start)])
     a = np.c_[np.ones(len(x)), x]
     theta = np.zeros(a.shape[1])
     for _ in range(50):  # ridge logistic regression by Newton's method
