@@ -174,13 +174,14 @@ class Catalog:
         return self.spark.read.schema(schema).parquet(path) if self.files.exists(path) else self.spark.createDataFrame([], schema)
 
     def segments(self, name: str) -> DataFrame:
-        """One row for each segment; of a batch that was run twice the last row counts."""
-        rows = self._table(name, "segments", SEGMENTS)
+        """One row for each segment that is there; of a batch that was run twice the last row counts."""
+        rows = self._table(name, "segments", SEGMENTS).join(self._table(name, "dropped", "segment_id string"), "segment_id", "left_anti")
         last = rows.withColumn("_r", F.row_number().over(Window.partitionBy("segment_id").orderBy(F.desc("written_ms"))))
         return last.where("_r = 1").drop("_r")
 
     def templates(self, name: str) -> DataFrame:
-        return self._table(name, "templates", TEMPLATES).dropDuplicates(["segment_id", "template_id"])
+        held = self._table(name, "templates", TEMPLATES).dropDuplicates(["segment_id", "template_id"])
+        return held.join(self.segments(name).select("segment_id"), "segment_id", "left_semi")
 
     def lines(self, name: str) -> DataFrame:
         """All lines of visible segments. Filters on segment, day, time and template reach the scan."""
@@ -234,10 +235,8 @@ class Catalog:
         if not gone:
             return []
         path = self.path(name)
-        kept = self.segments(name).where(~F.col("segment_id").isin(gone)).collect()
-        templates = self.templates(name).where(~F.col("segment_id").isin(gone)).collect()
-        self.spark.createDataFrame(kept, SEGMENTS).coalesce(1).write.mode("overwrite").parquet(f"{path}/segments")
-        self.spark.createDataFrame(templates, TEMPLATES).coalesce(1).write.mode("overwrite").parquet(f"{path}/templates")
+        # The ids are noted first: a segment is out of sight before its files go.
+        self.spark.createDataFrame([(s,) for s in gone], "segment_id string").coalesce(1).write.mode("append").parquet(f"{path}/dropped")
         for s in gone:
             self.files.delete(f"{path}/lines/segment_id={s}")
         return gone
