@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Characters of text in one block.
-BLOCK_CHARS = 6_000_000
+BLOCK_CHARS = 14_000_000
 _MID = "block binary, to int, kind int, doc_ids binary, nulls binary, sizes binary, data binary"
 
 
@@ -45,22 +45,12 @@ def _pack(x: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(x)
 
 
-def _unpack(x: bytes, dtype=None):
-    raw = zstandard.ZstdDecompressor().decompress(x)
-    return raw if dtype is None else np.frombuffer(raw, dtype)
-
-
-def _bytes_of(words: list[bytes]) -> tuple[bytes, bytes]:
-    return np.array([len(w) for w in words], np.uint32).tobytes(), b"".join(words)
-
-
-def _words_of(sizes: bytes, data: bytes) -> list[bytes]:
-    ends = np.cumsum(np.frombuffer(sizes, np.uint32)).tolist()
-    return [data[a:b] for a, b in zip([0, *ends[:-1]], ends)]
+def _unpack(x: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(x)
 
 
 def _varints(x: np.ndarray) -> bytes:
-    """Numbers below 2**21 as two planes: low byte of each, then the higher 16 bits of those that need them."""
+    """Numbers below 2**23 as two planes: low 7 bits of each, then the higher 16 bits of those that need them."""
     low = (x & 0x7F).astype(np.uint8)
     more = x > 0x7F
     low[more] |= 0x80
@@ -74,6 +64,24 @@ def _from_varints(raw: bytes, n: int) -> np.ndarray:
     return out
 
 
+def _pack_numbers(x: np.ndarray) -> bytes:
+    """Unsigned numbers, most of them small, in few bytes."""
+    wide = len(x) and int(x.max()) >= 1 << 23
+    head = np.array([len(x), bool(wide)], np.int64).tobytes()
+    return _pack(head + (x.astype(np.int64).tobytes() if wide else _varints(x)))
+
+
+def _unpack_numbers(raw: bytes) -> np.ndarray:
+    raw = _unpack(raw)
+    n, wide = np.frombuffer(raw[:16], np.int64)
+    return np.frombuffer(raw[16:], np.int64) if wide else _from_varints(raw[16:], int(n))
+
+
+def _split(data: bytes, sizes: np.ndarray) -> list[bytes]:
+    ends = np.cumsum(sizes).tolist()
+    return [data[a:b] for a, b in zip([0, *ends[:-1]], ends)]
+
+
 def _blocks(pattern: str, n_to: int):
     """documents -> per block one row of positions (kind 0) and one row per word task (kind 1)."""
 
@@ -108,17 +116,16 @@ def _blocks(pattern: str, n_to: int):
             for part in (doc_ids.tobytes(), some.tobytes(), np.array(sizes, np.int64).tobytes(), at.tobytes(), b"\0".join(words)):
                 head.update(part)
             block = head.digest()
-            wide = len(words) >= 1 << 21
-            data = at.astype(np.uint32).tobytes() if wide else _varints(at)
-            rows = [(block, int.from_bytes(block[:4], "little") % n_to, 2 if wide else 0, doc_ids.tobytes(), some.tobytes(), np.array(sizes, np.uint32).tobytes(), _pack(data))]
+            rows = [(block, int.from_bytes(block[:4], "little") % n_to, 0, doc_ids.tobytes(), some.tobytes(), _pack_numbers(np.array(sizes, np.int64)), _pack_numbers(at))]
             to = np.array([xxhash.xxh32_intdigest(w) for w in words], np.int64) % n_to
             by = np.argsort(to, kind="stable")
             cuts = np.searchsorted(to[by], np.arange(n_to + 1))
             for k in range(n_to):
                 mine = by[cuts[k] : cuts[k + 1]]
                 if len(mine):
-                    s, d = _bytes_of([words[i] for i in mine])
-                    rows.append((block, k, 1, np.sort(mine).astype(np.uint32).tobytes(), None, s, _pack(d)))
+                    spelt = [words[i] for i in mine]
+                    index = _pack_numbers(np.diff(mine, prepend=0))  # by rising rank, as steps
+                    rows.append((block, k, 1, index, None, _pack_numbers(np.array([len(w) for w in spelt], np.int64)), _pack(b"".join(spelt))))
             return pd.DataFrame(rows, columns=["block", "to", "kind", "doc_ids", "nulls", "sizes", "data"])
 
         for pdf in batches:
@@ -146,57 +153,65 @@ def _encode_words(ranks, pattern):
             for block, to, kind, doc_ids, nulls, sizes, data in pdf.itertuples(index=False, name=None):
                 if kind == 1:
                     got = []
-                    for w in _words_of(sizes, _unpack(data)):
+                    for w in _split(_unpack(data), _unpack_numbers(sizes)):
                         x = known.get(w)
                         if x is None:
                             x = known[w] = np.array(encode(w), np.uint32).tobytes()
                         got.append(x)
-                    sizes, data = np.array([len(x) // 4 for x in got], np.uint32).tobytes(), _pack(b"".join(got))
+                    sizes = _pack_numbers(np.array([len(x) // 4 for x in got], np.int64))
+                    data = _pack_numbers(np.frombuffer(b"".join(got), np.uint32).astype(np.int64))
                 out.append((block, to, kind, doc_ids, nulls, sizes, data))
             yield pd.DataFrame(out, columns=pdf.columns)
 
     return run
 
 
-def _lay_out(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One block: ids of its words and positions of its documents -> ids of each document."""
-    n_words = sum(len(x) // 4 for x, k in zip(pdf["doc_ids"], pdf["kind"]) if k == 1)
-    size, start = np.zeros(n_words, np.int64), np.zeros(n_words, np.int64)
-    flat, held, head = [], 0, []
+def _lay_out(pdf: pd.DataFrame, spelled: list[bytes] | None = None) -> pd.DataFrame:
+    """One block: ids of its words and positions of its documents -> ids of each document (and their bytes)."""
+    parts, head = [], []
     for kind, doc_ids, nulls, sizes, data in pdf[["kind", "doc_ids", "nulls", "sizes", "data"]].itertuples(index=False, name=None):
-        if kind != 1:
-            head.append((kind, doc_ids, nulls, sizes, data))
-            continue
-        at, s, x = np.frombuffer(doc_ids, np.uint32), np.frombuffer(sizes, np.uint32).astype(np.int64), _unpack(data, np.uint32)
+        if kind == 1:
+            parts.append((np.cumsum(_unpack_numbers(doc_ids)), _unpack_numbers(sizes), _unpack_numbers(data)))
+        else:
+            head.append((doc_ids, nulls, sizes, data))
+    n_words = sum(len(p[0]) for p in parts)
+    size, start = np.zeros(n_words, np.int64), np.zeros(n_words, np.int64)
+    held = 0
+    for at, s, x in parts:
         size[at] = s
         start[at] = held + np.cumsum(s) - s
-        flat.append(x)
         held += len(x)
-    table = np.concatenate(flat) if flat else np.zeros(0, np.uint32)
-    out_id, out = [], []
+    table = np.concatenate([p[2] for p in parts]).astype("<u4") if parts else np.zeros(0, "<u4")
+    del parts
+    out_id, out, decoded = [], [], []
     # Equal blocks (repeated rows) share one word list and come with a row of positions each.
-    for kind, doc_ids, nulls, sizes, data in head:
-        n = np.frombuffer(sizes, np.uint32).astype(np.int64)
-        ends = np.cumsum(n)
-        raw = _unpack(data)
-        at = np.frombuffer(raw, np.uint32).astype(np.int64) if kind == 2 else _from_varints(raw, int(ends[-1]) if len(n) else 0)
-        some = np.frombuffer(nulls, np.uint8)
+    for doc_ids, nulls, sizes, data in head:
+        at = _unpack_numbers(data)
         a = 0
-        for i, ok, b in zip(np.frombuffer(doc_ids, np.int64).tolist(), some.tolist(), ends.tolist()):
+        ends = np.cumsum(_unpack_numbers(sizes)).tolist()
+        for i, ok, b in zip(np.frombuffer(doc_ids, np.int64).tolist(), np.frombuffer(nulls, np.uint8).tolist(), ends):
             w = at[a:b]
             a = b
             s = size[w]
-            where = np.repeat(start[w] - (np.cumsum(s) - s), s) + np.arange(int(s.sum()))
+            ids = table[np.repeat(start[w] - (np.cumsum(s) - s), s) + np.arange(int(s.sum()))]
             out_id.append(i if ok else None)
-            out.append(table[where].astype("<u4").tobytes())
-    return pd.DataFrame({"doc_id": pd.array(out_id, dtype="Int64"), "ids": out})
+            out.append(ids.tobytes())
+            if spelled:
+                decoded.append(decode_ids(out[-1], spelled))
+    made = {"doc_id": pd.array(out_id, dtype="Int64"), "ids": out}
+    return pd.DataFrame(made | ({"decoded": decoded} if spelled else {}))
+
 
+def decode_ids(ids: bytes, table: list[bytes]) -> bytes:
+    return b"".join(map(table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, decoded: bool = False) -> DataFrame:
     """Encode ``text`` of every row: (doc_id long, ids binary: little-endian unsigned 32-bit).
 
     Null and empty texts give empty ids. Repeated rows stay repeated; null ids stay null; other
-    columns are ignored. An empty table gives an empty table.
+    columns are ignored. An empty table gives an empty table. With ``decoded`` the ids are joined
+    to the token-byte table in the same pass, as ``decode`` does it: one more column.
     """
     spark = docs.sparkSession
     n_to = max(8, common.partitions(spark))
@@ -207,8 +222,13 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     ).mapInPandas(_blocks(pattern, n_to), _MID)
     ids = rows.repartition(n_to, "to").mapInPandas(_encode_words(shared, pattern), _MID)
-    # A block that occurs twice carries its word rows twice; one copy of each is enough.
-    return ids.groupBy("block").applyInPandas(lambda pdf: _lay_out(_once(pdf)), "doc_id long, ids binary")
+
+    table = spark.sparkContext.broadcast(token_table(ranks)) if decoded else None
+
+    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _lay_out(_once(pdf), table.value if table else None)
+
+    return ids.groupBy("block").applyInPandas(finish, "doc_id long, ids binary" + ", decoded binary" * decoded)
 
 
 def _once(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -231,9 +251,9 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     shared = encoded.sparkSession.sparkContext.broadcast(token_table(ranks))
 
     def run(batches):
-        table = shared.value.__getitem__
+        table = shared.value
         for pdf in batches:
-            yield pdf.assign(decoded=[None if x is None else b"".join(map(table, np.frombuffer(x, "<u4").tolist())) for x in pdf["ids"]])
+            yield pdf.assign(decoded=[None if x is None else decode_ids(x, table) for x in pdf["ids"]])
 
     return encoded.select(F.col("doc_id").cast("string").alias("doc_id"), "ids").mapInPandas(run, "doc_id string, ids binary, decoded binary").withColumn("doc_id", F.col("doc_id").cast("long"))
 
@@ -247,7 +267,7 @@ def default_vocabulary() -> tuple[dict[bytes, int], str]:
 def round_trip(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The digest of encoding and decoding: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     ranks, pattern = default_vocabulary()
-    return decode(encode(docs, ranks, pattern), ranks).select(
+    return encode(docs, ranks, pattern, decoded=True).select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
