@@ -33,6 +33,8 @@ _SPAN = "array<struct<kind:int,start:int,end:int,value:string>>"
 
 #: Rounds of scoring, least pattern score, least distinct seeds behind a pattern.
 ROUNDS, MIN_SCORE, MIN_SEEDS = 3, 0.6, 3
+#: Texts with added spans that are sent to every task (some 100 bytes each).
+BROADCAST_ROWS = 300_000
 
 
 def located(text: Column, pattern: str, kind: int) -> Column:
@@ -196,7 +198,9 @@ def redact(docs: DataFrame) -> DataFrame:
     """The same rows and columns with personal data in ``text`` replaced by <EMAIL>, <IP>, <CARD>, <PHONE>; null texts stay null."""
     marked = common.written(_marked(docs), "pii-marked")
     at, more = common.fresh(docs, "pii_row"), common.fresh(docs, "pii_added")
-    added = discovered(marked).select(F.col("row").alias(at), F.col("added").alias(more))
+    added = common.written(discovered(marked).select(F.col("row").alias(at), F.col("added").alias(more)), "pii-added")
+    if added.count() <= BROADCAST_ROWS:  # else the texts are shuffled to them
+        added = F.broadcast(added)
     text = F.col("text").cast("string")
     row = F.xxhash64(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(text, F.lit("")))
     spans = F.concat(base_spans(text), F.coalesce(F.col(more), F.array().cast(_SPAN)))
