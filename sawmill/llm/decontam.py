@@ -122,6 +122,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE
     documents give no row. Other columns of both tables are ignored.
     """
     spark = docs.sparkSession
+    common.bounded_batches(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-total // block_chars) or 1
@@ -138,7 +139,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE
                 rows = [] if auto is None else [(d, *hit) for d, t in zip(pdf["doc_id"].tolist(), pdf["text"].tolist()) for hit in match(t, auto, prepared)]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "distance", "start", "end"]).astype("int64")
 
-        found = text.mapInPandas(run, HITS)
+        found = text.mapInPandas(common.releasing(run), HITS)
         out = found if out is None else out.union(found)
     return out
 

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 OUT = "doc_id string, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, detections array<struct<label:string,rule:string,start:int,end:int,confidence:double>>"
 
 #: Phrases and labels that the contract fixes.
@@ -237,6 +239,7 @@ def scan_licenses(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
             out["last_word"] = out["last_word"].astype("Int64")
             yield out
 
+    common.bounded_batches(docs.sparkSession)
     # Ids go as text: pandas would turn a nullable long into a double.
     slim = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return slim.mapInPandas(run, OUT).withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -41,7 +41,7 @@ MIN_CELLS, MAX_CELLS, CELL_BLOCK = 1 << 18, 1 << 24, 1 << 18
 #: Sizes of one class link with sizes of the classes next to it only.
 CLASS = math.log(OF / TIMES)
 #: Characters of text whose elements are counted together.
-CHUNK_CHARS = 12_000_000
+CHUNK_CHARS = 6_000_000
 #: Bytes of sets that one task solves.
 TASK_BYTES = 32_000_000
 #: Nodes whose component is sent to every task; more are joined by shuffle behind a bit filter.
@@ -400,13 +400,14 @@ def similar(docs: DataFrame) -> DataFrame:
     Other columns are ignored. An empty table gives an empty table.
     """
     spark = docs.sparkSession
+    common.bounded_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = rows.where("doc_id is not null and text <> ''").select("text")
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     cells = MIN_CELLS
     while cells < chars // 48 and cells < MAX_CELLS:  # some 8 elements a cell
         cells *= 2
-    table = common.written(rows.mapInPandas(_members(cells), "kind int, doc_id string, size long, node long, data binary"), "members")
+    table = common.written(rows.mapInPandas(common.releasing(_members(cells)), "kind int, doc_id string, size long, node long, data binary"), "members")
     members = table.where("kind = 0").select(F.col("doc_id").cast("long").alias("doc_id"), "size", "node")
     sketch = np.zeros((2, cells), np.uint8)
     for r, block, raw in table.where("kind = 1").select("size", "node", "data").groupBy("size", "node").applyInPandas(_merge_counts, "r long, block long, data binary").toLocalIterator():
@@ -415,7 +416,7 @@ def similar(docs: DataFrame) -> DataFrame:
     sizes = [(r[0], r[1]) for r in members.where("size between 2 and 4096").groupBy("size").count().collect()]
     boundary = choose_boundary(sizes)
 
-    posted = texts.mapInPandas(_postings(shared, boundary), "settled boolean, sig long, class int, node long")
+    posted = texts.mapInPandas(common.releasing(_postings(shared, boundary)), "settled boolean, sig long, class int, node long")
     # A chunk posts a signature once for each size class, so a list is bounded by the number of chunks.
     by_size = Window.partitionBy("settled", "sig").orderBy("class", "node")
     near = F.when(F.lag("class").over(by_size) >= F.col("class") - 1, F.lag("node").over(by_size))
@@ -430,7 +431,7 @@ def similar(docs: DataFrame) -> DataFrame:
     placed = comps.join(weight, "comp").select("node", "comp", F.ceil(F.col("bytes") / TASK_BYTES).cast("int").alias("blocks"))
     placed = common.written(placed, "placed")
     placed = F.broadcast(placed) if n <= BROADCAST_NODES else placed
-    sets = texts.mapInPandas(_sets(bits), "node long, size long, elements binary").join(placed, "node")
+    sets = texts.mapInPandas(common.releasing(_sets(bits)), "node long, size long, elements binary").join(placed, "node")
     solved = sets.where("blocks = 1").groupBy("comp").applyInPandas(_solve_group, "a long, b long")
     if not placed.where("blocks > 1").isEmpty():
         large = common.written(sets.where("blocks > 1").dropDuplicates(["node"]), "large")

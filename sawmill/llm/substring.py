@@ -154,7 +154,7 @@ def prefilter(docs: DataFrame, words: int) -> tuple[np.ndarray, int]:
     cells = MIN_CELLS
     while cells < words and cells < MAX_CELLS:  # about one part for each 13 words
         cells *= 2
-    merged = docs.select("text").mapInPandas(_sketch(cells), "r int, block int, one binary, more binary").groupBy("r", "block").applyInPandas(_merge, "r int, block int, bits binary")
+    merged = docs.select("text").mapInPandas(common.releasing(_sketch(cells)), "r int, block int, one binary, more binary").groupBy("r", "block").applyInPandas(_merge, "r int, block int, bits binary")
     bits = np.zeros((DEPTH, cells // 8), np.uint8)
     for r, block, raw in merged.toLocalIterator():
         bits[r, block * BLOCK // 8 : (block + 1) * BLOCK // 8] = np.frombuffer(raw, np.uint8)
@@ -231,6 +231,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     no words. Other columns are ignored. An empty table gives an empty table.
     """
     spark = docs.sparkSession
+    common.bounded_batches(spark)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
     known = rows.where("doc_id is not null and length(text) >= 99")  # 50 words take 99 characters
@@ -238,7 +239,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     words = (rows.agg(F.sum(F.length("text"))).first()[0] or 0) // 6
     bits, cells = prefilter(known, words)
     shared = spark.sparkContext.broadcast(bits)
-    found = known.select("doc_id", "row", "text").mapInPandas(_candidates(shared, cells), "settled boolean, h1 long, h2 long, doc_id long, row long, at int")
+    found = known.select("doc_id", "row", "text").mapInPandas(common.releasing(_candidates(shared, cells)), "settled boolean, h1 long, h2 long, doc_id long, row long, at int")
     # A window has at most one document of each task here, so its group is bounded by the tasks.
     earliest = F.min("doc_id").over(Window.partitionBy("settled", "h1", "h2"))
     late = found.withColumn("first", earliest).where("settled or first < doc_id")
