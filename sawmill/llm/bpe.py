@@ -14,6 +14,7 @@ bounds every task's memory.
 from __future__ import annotations
 
 import base64
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,6 +27,8 @@ from . import common
 
 #: Characters of text in one block.
 BLOCK_CHARS = 14_000_000
+#: Bytes of ids in one frame that goes back to Spark.
+FRAME_BYTES = 1_000_000
 _MID = "block binary, to int, kind int, doc_ids binary, nulls binary, sizes binary, data binary"
 
 
@@ -166,40 +169,52 @@ def _encode_words(ranks, pattern):
     return run
 
 
-def _lay_out(pdf: pd.DataFrame, spelled: list[bytes] | None = None) -> pd.DataFrame:
-    """One block: ids of its words and positions of its documents -> ids of each document (and their bytes)."""
-    parts, head = [], []
-    for kind, doc_ids, nulls, sizes, data in pdf[["kind", "doc_ids", "nulls", "sizes", "data"]].itertuples(index=False, name=None):
-        if kind == 1:
-            parts.append((np.cumsum(_unpack_numbers(doc_ids)), _unpack_numbers(sizes), _unpack_numbers(data)))
-        else:
-            head.append((doc_ids, nulls, sizes, data))
+def _lay_out(pieces: Iterator[pd.DataFrame], spelled: list[bytes] | None = None) -> Iterator[pd.DataFrame]:
+    """One block: ids of its words and positions of its documents -> ids of each document (and their bytes), in small frames."""
+    parts, head, seen = [], [], set()
+    for pdf in pieces:
+        for to, kind, doc_ids, nulls, sizes, data in pdf[["to", "kind", "doc_ids", "nulls", "sizes", "data"]].itertuples(index=False, name=None):
+            if kind == 0:
+                head.append((doc_ids, nulls, sizes, data))
+            elif to not in seen:  # equal blocks (repeated rows) share one word list, and come with a row of positions each
+                seen.add(to)
+                parts.append((np.cumsum(_unpack_numbers(doc_ids)), _unpack_numbers(sizes), _unpack_numbers(data).astype("<u4")))
     n_words = sum(len(p[0]) for p in parts)
-    size, start = np.zeros(n_words, np.int64), np.zeros(n_words, np.int64)
+    size, start = np.zeros(n_words, np.int32), np.zeros(n_words, np.int64)
     held = 0
     for at, s, x in parts:
         size[at] = s
         start[at] = held + np.cumsum(s) - s
         held += len(x)
-    table = np.concatenate([p[2] for p in parts]).astype("<u4") if parts else np.zeros(0, "<u4")
-    del parts
-    out_id, out, decoded = [], [], []
-    # Equal blocks (repeated rows) share one word list and come with a row of positions each.
+    table = np.concatenate([p[2] for p in parts]) if parts else np.zeros(0, "<u4")
+    parts.clear()
+    out: dict[str, list] = {"doc_id": [], "ids": []} | ({"decoded": []} if spelled else {})
+
+    def frame() -> pd.DataFrame:
+        made = pd.DataFrame(out | {"doc_id": pd.array(out["doc_id"], dtype="Int64")})
+        for values in out.values():
+            values.clear()
+        return made
+
     for doc_ids, nulls, sizes, data in head:
-        at = _unpack_numbers(data)
-        a = 0
+        at = _unpack_numbers(data).astype(np.int32)
+        a = bytes_held = 0
         ends = np.cumsum(_unpack_numbers(sizes)).tolist()
         for i, ok, b in zip(np.frombuffer(doc_ids, np.int64).tolist(), np.frombuffer(nulls, np.uint8).tolist(), ends):
             w = at[a:b]
             a = b
-            s = size[w]
-            ids = table[np.repeat(start[w] - (np.cumsum(s) - s), s) + np.arange(int(s.sum()))]
-            out_id.append(i if ok else None)
-            out.append(ids.tobytes())
+            s = size[w].astype(np.int64)
+            ids = table[np.repeat(start[w] - (np.cumsum(s) - s), s) + np.arange(int(s.sum()))].tobytes()
+            out["doc_id"].append(i if ok else None)
+            out["ids"].append(ids)
+            bytes_held += len(ids)
             if spelled:
-                decoded.append(decode_ids(out[-1], spelled))
-    made = {"doc_id": pd.array(out_id, dtype="Int64"), "ids": out}
-    return pd.DataFrame(made | ({"decoded": decoded} if spelled else {}))
+                out["decoded"].append(decode_ids(ids, spelled))
+            if bytes_held >= FRAME_BYTES:
+                yield frame()
+                bytes_held = 0
+        if out["ids"]:
+            yield frame()
 
 
 def decode_ids(ids: bytes, table: list[bytes]) -> bytes:
@@ -214,28 +229,25 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, decoded: bool
     to the token-byte table in the same pass, as ``decode`` does it: one more column.
     """
     spark = docs.sparkSession
+    common.bounded_batches(spark)
     n_to = max(8, common.partitions(spark))
     shared = spark.sparkContext.broadcast(ranks)
     rows = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"),
         F.col("doc_id").isNull().alias("missing"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-    ).mapInPandas(_blocks(pattern, n_to), _MID)
-    ids = rows.repartition(n_to, "to").mapInPandas(_encode_words(shared, pattern), _MID)
+    ).mapInPandas(common.releasing(_blocks(pattern, n_to)), _MID)
+    ids = rows.repartition(n_to, "to").mapInPandas(common.releasing(_encode_words(shared, pattern)), _MID)
 
     table = spark.sparkContext.broadcast(token_table(ranks)) if decoded else None
 
-    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _lay_out(_once(pdf), table.value if table else None)
+    def finish(pieces: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from _lay_out(pieces, table.value if table else None)
+        common.release()
 
     return ids.groupBy("block").applyInPandas(finish, "doc_id long, ids binary" + ", decoded binary" * decoded)
 
 
-def _once(pdf: pd.DataFrame) -> pd.DataFrame:
-    words = pdf["kind"] == 1
-    return pd.concat([pdf[~words], pdf[words].drop_duplicates(subset=["to"])], ignore_index=True)
-
-
 def token_table(ranks: dict[bytes, int]) -> list[bytes]:
     out = [b""] * (max(ranks.values(), default=-1) + 1)
     for token, i in ranks.items():
