@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Labelled documents used for the fit (least hash of the id first). The only sampling here.
-SAMPLE = 12_000
+SAMPLE = 6_000
 THRESHOLD = 0.7
+#: Rules of a model: the penalty rises until so many have weight.
+MAX_RULES = 60
 
 
 class Rule(NamedTuple):
@@ -117,12 +119,17 @@ def holds(x: np.ndarray, path: tuple) -> np.ndarray:
 def lasso_logistic(r: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 600) -> tuple[np.ndarray, float]:
     """Accelerated proximal gradient; the intercept is free."""
     n, k = r.shape
-    step = 4.0 / (np.linalg.norm(np.c_[r, np.ones(n)], 2) ** 2 / n)
+    v, norm = np.ones(k, r.dtype), 1.0
+    for _ in range(30):  # largest singular value by power iteration
+        v = r.T @ (r @ v)
+        norm = float(np.linalg.norm(v)) or 1.0
+        v /= norm
+    step = 4.0 / (1.05 * norm / n + 1)
     w, b = np.zeros(k), np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))
     zw, zb, t = w.copy(), b, 1.0
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(r @ zw + zb, -30, 30)))
-        gw, gb = r.T @ (p - y) / n, (p - y).mean()
+        p = 1 / (1 + np.exp(-np.clip(r @ zw.astype(r.dtype) + zb, -30, 30)))
+        gw, gb = ((p - y).astype(r.dtype) @ r) / n, float((p - y).mean())
         nw = zw - step * gw
         nw = np.sign(nw) * np.maximum(np.abs(nw) - step * penalty, 0)
         nb = zb - step * gb
@@ -165,11 +172,19 @@ def fit_arrays(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, pe
             cols.append(c)
     if not kept:
         return Model([], float(np.log(y.mean() / (1 - y.mean()))))
-    r = np.array(cols, float).T
-    scale = r.std(0)
-    w, b = lasso_logistic((r - r.mean(0)) / scale, y.astype(float), penalty)
+    r = np.empty((len(y), len(cols)), np.float32)
+    for j, c in enumerate(cols):
+        r[:, j] = c
+    mean, scale = r.mean(0, dtype=float), r.std(0, dtype=float)
+    r -= mean.astype(np.float32)
+    r /= scale.astype(np.float32)
+    while True:  # few rules compile into one small expression
+        w, b = lasso_logistic(r, y.astype(np.float32), penalty)
+        if (w != 0).sum() <= MAX_RULES:
+            break
+        penalty *= 1.6
     w = w / scale
-    b -= float((w * r.mean(0)).sum())
+    b -= float((w * mean).sum())
     return Model([Rule(tuple((NAMES[f], op, v) for f, op, v in path), float(v)) for path, v in zip(kept, w) if v], b)
 
 
