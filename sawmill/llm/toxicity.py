@@ -25,6 +25,8 @@ SAMPLE = 4_000
 THRESHOLD = 0.3
 #: Tokens of a text in the fit come in windows of this length.
 WINDOW = 40
+#: Chains that are followed one by one once no more are as long.
+FEW = 24
 #: Words whose emission a worker remembers.
 CACHE = 400_000
 _TOKEN = re.compile(r"\S+")
@@ -68,14 +70,32 @@ def marginals(seqs: list[np.ndarray], transition: np.ndarray, start: float) -> l
         if sizes[rank]:
             e[offset[: sizes[rank]] + rank] = seqs[i]
     e = np.exp(np.clip(e, -25, 25))
-    t00, t01, t10, t11 = np.exp(transition).ravel()
+    t00, t01, t10, t11 = np.exp(transition).ravel().tolist()
     f, b = np.empty_like(e), np.ones_like(e)
+    # While many chains run, a step is one vector operation; the last FEW are followed one by one.
+    shared = int(sizes[FEW]) if len(sizes) > FEW else 0
+    steps = max(1, shared)
     n = active[0]
     f[:n] = e[:n] * np.exp(start)
-    for t in range(1, len(active)):
+    for t in range(1, steps):
         n, lo, prev = active[t], offset[t], f[offset[t - 1] : offset[t - 1] + active[t]]
         f[lo : lo + n] = e[lo : lo + n] * (t01 + t11 * prev) / (t00 + t10 * prev)
-    for t in range(len(active) - 2, -1, -1):
+    for rank in range(min(FEW, len(sizes))):
+        if sizes[rank] > steps:
+            at = offset[steps : sizes[rank]] + rank
+            chain = e[at].tolist()
+            x, ahead = float(f[offset[steps - 1] + rank]), []
+            for v in chain:
+                x = v * (t01 + t11 * x) / (t00 + t10 * x)
+                ahead.append(x)
+            f[at] = ahead
+            x, back = 1.0, [1.0]
+            for v in reversed(chain):
+                x *= v
+                x = (t10 + t11 * x) / (t00 + t01 * x)
+                back.append(x)
+            b[offset[steps - 1 : sizes[rank]] + rank] = back[::-1]
+    for t in range(steps - 2, -1, -1):
         n, lo, nxt = active[t + 1], offset[t], offset[t + 1]
         x = e[nxt : nxt + n] * b[nxt : nxt + n]
         b[lo : lo + n] = (t10 + t11 * x) / (t00 + t01 * x)
@@ -261,6 +281,7 @@ def tag(docs: DataFrame, model: Model, span_at: float = 0.5) -> DataFrame:
     Places are code points. Empty and null texts have no spans and the score of a text without
     toxic tokens. Null ids stay null, repeated rows stay repeated, other columns are ignored.
     """
+    common.bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -290,7 +311,7 @@ def tag(docs: DataFrame, model: Model, span_at: float = 0.5) -> DataFrame:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": scores, "n_toxic": counts, "spans": spans})
 
     slim = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return slim.mapInPandas(run, OUT).withColumn("doc_id", F.col("doc_id").cast("long"))
+    return slim.mapInPandas(common.releasing(run), OUT).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def scores(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFrame:

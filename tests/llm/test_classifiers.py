@@ -85,7 +85,9 @@ def test_compiled_rules_are_the_model(data, spark):
         assert abs(got[r.doc_id] - 1 / (1 + np.exp(-z))) < 1e-9
 
 
-def test_marginals_by_enumeration():
+@pytest.mark.parametrize("few", [0, 1, 2, 24])
+def test_marginals_by_enumeration(few, monkeypatch):
+    monkeypatch.setattr(toxicity, "FEW", few)
     rng = np.random.default_rng(0)
     t = rng.normal(size=(2, 2))
     seqs = [rng.normal(size=n) for n in (1, 3, 0, 7, 5)]
