@@ -14,7 +14,10 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Documents that the rule ensemble accepts."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.fit(docs, labels)
-    return quality.with_scores(docs.select(*COLUMNS), model).where("score >= 0.7").select(*COLUMNS)
+    # Scores are written before they are filtered: a filter would be pushed below the statistics, and
+    # with it a copy of each statistic for each condition of each rule.
+    scored = common.written(quality.with_scores(docs.select(*COLUMNS), model), "scored")
+    return scored.where("score >= 0.7").select(*COLUMNS)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
