@@ -55,5 +55,50 @@ def test_rules_are_many_and_gated():
     assert len({r.name for r in licenses.RULES}) == len(licenses.RULES)
 
 
+GATED, UNGATED = licenses.Scanner(), licenses.Scanner([r._replace(keyword="") for r in licenses.RULES])
+
+
+def example(parsed, space):
+    """The shortest text that a parsed regular expression matches: first branches, optional parts left out."""
+    out = ""
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(arg)
+        elif op == "NOT_LITERAL":
+            out += "x"
+        elif op == "ANY":
+            out += "x"
+        elif op == "IN":
+            kind, first = arg[0]
+            out += {"CATEGORY_SPACE": space, "CATEGORY_DIGIT": "1", "CATEGORY_WORD": "w", "CATEGORY_NOT_SPACE": "x"}[str(first)] if str(kind) == "CATEGORY" else chr(first if str(kind) == "LITERAL" else first[0])
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+            out += example(arg[2], space) * arg[0]
+        elif op == "SUBPATTERN":
+            out += example(arg[3], space)
+        elif op == "BRANCH":
+            out += example(arg[1][0], space)
+        else:
+            assert op in ("ASSERT", "ASSERT_NOT"), op
+    return out
+
+
+@pytest.mark.parametrize("space", [" ", "\n", " \t\n  "])
+def test_gated_and_ungated_scans_agree_for_an_example_of_every_rule(space):
+    for rule in licenses.RULES:
+        text = example(re._parser.parse(rule.regex), space)
+        assert re.search(rule.regex, text), (rule.name, text)
+        ungated = UNGATED.scan(text)
+        assert ungated and licenses.Scanner([rule]).scan(text) and GATED.scan(text) == ungated, (rule.name, text)
+
+
+@pytest.mark.parametrize(
+    "text, label",
+    [("Distributed under Apache 2.0.", "apache-2.0"), ("MPL-2.0", "mpl-2.0"), ("EPL 2.0", "epl-2.0"), ("BUSL-1.1", "busl-1.1"), ("NCSA Open Source License", "ncsa"), ("Redistribution and\nuse in source and binary forms, with or without modification", "bsd")],
+)
+def test_short_names_and_broken_lines(text, label):
+    assert [x[0] for x in GATED.scan(text.lower())] == [label]
+
+
 def test_empty(empty):
     assert licenses.scan_licenses(empty).collect() == []
