@@ -18,8 +18,10 @@ from ..functions.hashing import template_id
 from ..functions.text import DELIMITERS, tokens_of
 
 SAMPLE, LEAST, SIMILARITY = 0.01, 2_000, 0.5
-#: Lines of one token count that the clustering sees (a bound of the sample, not of the match).
+#: Lines (or templates) of one token count that one task clusters. More are dealt into chunks, and the chunks' templates clustered again.
 PER_LENGTH = 20_000
+#: Templates are clustered again as long as a round leaves at most this share of them.
+SHRINKS = 0.9
 _TOKEN = re.compile(r"[^ \t:=,]+|[ \t:=,]")
 _SLOT = re.compile(r"<V(\d+)>")
 
@@ -47,25 +49,25 @@ def split(line: str) -> list[str]:
 class Cluster:
     """One growing template: positions that ever differed are variables."""
 
-    def __init__(self, tokens: list[str]):
+    def __init__(self, tokens: list[str | None]):
         self.tokens: list[str | None] = list(tokens)
         self.count = 1
 
-    def similarity(self, tokens: list[str]) -> float:
-        """Share of positions that agree; 0 if a delimiter stands where another token does."""
+    def similarity(self, tokens: list[str | None]) -> float:
+        """Share of positions that agree; 0 if a delimiter stands where another token or a variable does."""
         same = 0
         for mine, t in zip(self.tokens, tokens):
-            if (t in DELIMITERS or (mine is not None and mine in DELIMITERS)) and mine != t:
+            if ((t is not None and t in DELIMITERS) or (mine is not None and mine in DELIMITERS)) and mine != t:
                 return 0.0
             same += mine is None or mine == t
         return same / max(1, len(tokens))
 
-    def merge(self, tokens: list[str]) -> None:
+    def merge(self, tokens: list[str | None]) -> None:
         self.tokens = [m if m == t else None for m, t in zip(self.tokens, tokens)]
         self.count += 1
 
 
-def cluster(lines: list[list[str]], threshold: float = SIMILARITY) -> list[Cluster]:
+def cluster(lines: list[list[str | None]], threshold: float = SIMILARITY) -> list[Cluster]:
     """Greedy: each line joins the first template of its length that agrees on more than ``threshold``."""
     found: list[Cluster] = []
     for tokens in lines:
@@ -78,24 +80,54 @@ def cluster(lines: list[list[str]], threshold: float = SIMILARITY) -> list[Clust
     return found
 
 
-def mine(lines: DataFrame, fraction: float = SAMPLE, seed: int = 11, threshold: float = SIMILARITY) -> list[Template]:
+def clustered(lines: DataFrame, threshold: float = SIMILARITY, per_length: int = PER_LENGTH) -> list[tuple[str | None, ...]]:
+    """Templates of all distinct lines (columns ``n``, ``tokens``), token counts apart from each other.
+
+    A token count with more than ``per_length`` lines is dealt by hash into chunks of about that
+    size; the chunks' templates are clustered again, until one chunk holds them or they no longer
+    grow fewer. Every line fits one of the templates.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        # Those with most variables first: they take in the others.
+        order = sorted((list(t) for t in pdf["tokens"]), key=lambda t: (-sum(x is None for x in t), [x or "" for x in t]))
+        return pd.DataFrame({"tokens": [c.tokens for c in cluster(order, threshold)]}).assign(n=pdf["n"].iloc[0])
+
+    schema = "tokens array<string>, n int"
+    out: list[tuple[str | None, ...]] = []
+    held, before, salt = lines.select("tokens", "n").persist(), {}, 0
+    while sizes := dict(map(tuple, held.groupBy("n").count().collect())):
+        stuck = {n for n, k in sizes.items() if k > per_length and k > SHRINKS * before.get(n, float("inf"))}
+        small = {n for n, k in sizes.items() if k <= per_length}
+        if stuck:
+            out += [tuple(r[0]) for r in held.where(F.col("n").isin(list(stuck))).collect()]
+        if small:
+            out += [tuple(r[0]) for r in held.where(F.col("n").isin(list(small))).groupBy("n").applyInPandas(run, schema).collect()]
+        before = {n: k for n, k in sizes.items() if n not in stuck and n not in small}
+        if not before:
+            break
+        chunks = F.broadcast(held.sparkSession.createDataFrame([(n, -(-k // per_length)) for n, k in before.items()], "n int, chunks int"))
+        dealt = held.join(chunks, "n").withColumn("chunk", F.pmod(F.xxhash64("tokens", F.lit(salt)), F.col("chunks")))
+        after = dealt.groupBy("n", "chunk").applyInPandas(run, schema).distinct().persist()
+        after.count()
+        held.unpersist()
+        held, salt = after, salt + 1
+    held.unpersist()
+    return out
+
+
+def mine(lines: DataFrame, fraction: float = SAMPLE, seed: int = 11, threshold: float = SIMILARITY, per_length: int = PER_LENGTH) -> list[Template]:
     """Templates of lines (column ``raw``) from a seeded sample, small inputs whole.
 
-    Token counts are clustered apart from each other. Templates are as many as the log has
-    statements, so they come to the driver.
+    The whole sample is clustered. Templates are as many as the log has statements, so they come
+    to the driver.
     """
     n = lines.count()
     share = min(1.0, max(fraction, LEAST / max(1, n)))
     sample = lines.where("raw is not null and raw <> ''").select("raw", tokens_of(F.col("raw")).alias("tokens"))
     sample = sample.where(F.pmod(F.xxhash64("raw", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else sample
     distinct = sample.select("tokens").distinct().withColumn("n", F.size("tokens"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        lines_ = sorted(list(t) for t in pdf["tokens"])[:PER_LENGTH]
-        return pd.DataFrame({"tokens": [c.tokens for c in cluster(lines_, threshold)]})
-
-    rows = distinct.groupBy("n").applyInPandas(run, "tokens array<string>").collect()
-    found = {Template(tuple(r[0])) for r in rows}
+    found = {Template(t) for t in clustered(distinct, threshold, per_length)}
     return sorted(found, key=lambda t: (len(t.tokens), sum(x is None for x in t.tokens), t.content))
 
 

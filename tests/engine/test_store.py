@@ -49,6 +49,33 @@ def test_mining_round_trip(lines):
     assert all(re.fullmatch(r"E\d+ \d+ .*", r.value) for r in mining.dump(catalog).collect())
 
 
+def test_mining_clusters_the_whole_sample(spark):
+    """The first 24,000 lines in order are of one day; those of later days fit a template all the same."""
+    rows = [(f"2024-01-{1 + (i >= 24_000) + (i >= 27_000):02d} {i // 3600 % 24:02d}:{i // 60 % 60:02d}:{i % 60:02d} click user={i % 97} n={i}", i, "s") for i in range(30_000)]
+    df = spark.createDataFrame(rows, "raw string, line_no long, segment_id string")
+    templates = mining.mine(df, fraction=1.0)
+    matched = mining.match(df, templates)
+    assert matched.where("template_id = -1").count() == 0
+    assert [t.tokens[0] for t in templates] == [None]
+    assert mining.catalog(matched, templates).agg(F.sum("count")).first()[0] == 30_000
+
+
+@pytest.mark.parametrize("per_length", [3, 20, 400])
+def test_mining_in_chunks(lines, per_length):
+    """However small the chunks, no line is left out, and templates of a statement come together again."""
+    templates = mining.mine(lines, per_length=per_length)
+    matched = mining.match(lines, templates)
+    assert matched.where("template_id = -1 and raw <> ''").count() == 0
+    assert len(templates) <= 20
+    assert mining.rebuild(matched, mining.catalog(matched, templates)).where("raw <> rebuilt").count() == 0
+
+
+def test_mining_ends_on_lines_that_have_nothing_in_common(spark):
+    rows = [(f"{i}a {i}b", i, "s") for i in range(200)]
+    df = spark.createDataFrame(rows, "raw string, line_no long, segment_id string")
+    assert mining.match(df, mining.mine(df, per_length=10)).where("template_id = -1").count() == 0
+
+
 def test_mining_of_nothing_and_of_one(spark):
     for rows in ([], [("one line", 1, "s")], [(None, 1, "s"), ("", 2, "s")]):
         df = spark.createDataFrame(rows, "raw string, line_no long, segment_id string")
