@@ -4,6 +4,9 @@ Only documents are labelled, so tokens are labelled from them first: a token of
 is toxic if its form (word or word beginning) occurs almost only in toxic documents of the
 sample. A two-state chain is trained on those tokens, forward-backward gives each token's
 marginal, and the marginals aggregate to the document's score and its offending offsets.
+
+The chain is trained on all windows of a toxic document that hold a toxic token and on one other,
+and on ``CLEAN_WINDOWS`` windows, drawn at random, of any other document.
 """
 
 from __future__ import annotations
@@ -20,8 +23,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Labelled documents used for the fit (least hash of the id first). The only sampling here.
+#: Labelled documents used for the fit (least hash of the id first).
 SAMPLE = 4_000
+#: Windows of a clean document in the fit of the chain, drawn at random over all of it. With SAMPLE the only sampling here.
+CLEAN_WINDOWS = 3
 THRESHOLD = 0.3
 #: Tokens of a text in the fit come in windows of this length.
 WINDOW = 40
@@ -217,8 +222,11 @@ def doc_features(p: np.ndarray) -> tuple[float, ...]:
     return (float(np.log1p(s)), float(top[1]), float(top[0]), s / (len(p) + 20.0) * 20.0)
 
 
-def fit_texts(texts: list[str], y: np.ndarray, seed: int = 5) -> Model:
-    """Fit from texts and labels 0/1. One class alone gives a constant score."""
+def fit_texts(texts: list[str], y: np.ndarray, seed: int = 5, clean_windows: int = CLEAN_WINDOWS) -> Model:
+    """Fit from texts and labels 0/1. One class alone gives a constant score.
+
+    The chain sees every window with toxic tokens, and ``clean_windows`` random windows of a clean text.
+    """
     y = np.asarray(y, int)
     if not len(y) or y.min() == y.max():
         p = (y.sum() + 1) / (len(y) + 2) if len(y) else 0.5
@@ -238,9 +246,9 @@ def fit_texts(texts: list[str], y: np.ndarray, seed: int = 5) -> Model:
         n = -(-len(ws) // WINDOW)
         cut = range(n)
         if label:  # windows with toxic tokens and one other
-            cut = sorted({int(t) // WINDOW for t in np.flatnonzero(marks)} | {int(rng.integers(n))})[:12]
-        elif n > 3:
-            cut = sorted(rng.choice(n, 3, replace=False).tolist())
+            cut = sorted({int(t) // WINDOW for t in np.flatnonzero(marks)} | {int(rng.integers(n))})
+        elif n > clean_windows:
+            cut = sorted(rng.choice(n, clean_windows, replace=False).tolist())
         for c in cut:
             seqs.append(ws[c * WINDOW : (c + 1) * WINDOW])
             labels.append(marks[c * WINDOW : (c + 1) * WINDOW])

@@ -53,6 +53,15 @@ def test_quality_held_out(data):
     assert all(r.predicted == int(r.score >= 0.7) for r in rows)
 
 
+def test_every_toxic_window_is_in_the_fit(monkeypatch):
+    rng, seen, train = random.Random(7), [], toxicity.train_chain
+    texts = [" ".join(f"{rng.getrandbits(40):010x}" if k % 40 or i % 2 else "idiotic" for k in range(1200)) for i in range(40)]
+    monkeypatch.setattr(toxicity, "train_chain", lambda seqs, labels, *a: seen.extend(labels) or train(seqs, labels, *a, rounds=2))
+    toxicity.fit_texts(texts, np.array([1, 0] * 20))
+    assert sum(int(x.sum()) for x in seen) == 20 * 30
+    assert sum(not x.any() for x in seen) == 20 * toxicity.CLEAN_WINDOWS
+
+
 def test_toxicity_held_out_and_spans(data, spark):
     docs, labels, truth = data
     rows = toxicity.scores(docs, labels).collect()
