@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import heapq
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -43,7 +44,7 @@ def slot_totals(recs: DataFrame) -> DataFrame:
 
 
 def plan_map(totals: list[tuple[int, int, int]], shards: int) -> dict[int, int]:
-    """Slots (slot, bytes, rows), largest first, each to the shard with the fewest bytes so far; then swaps level the rest."""
+    """Slots (slot, bytes, rows), largest first, each to the shard with the fewest bytes so far."""
     heap = [(0, s) for s in range(shards)]
     place = {}
     for slot, size, _ in sorted(totals, key=lambda t: (-t[1], t[0])):
@@ -101,6 +102,17 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> Data
     return table.where(F.col("version") == F.lit(version))
 
 
+def latest(spark: SparkSession, path: str) -> tuple[int, dict[int, int]]:
+    """Version and slot -> shard of the last map at ``path``; 0 and no slots where there is none."""
+    try:
+        rows = load_map(spark, path).select("version", "virtual_slot", "shard").collect()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = []
+    return max((r[0] for r in rows), default=0), {r[1]: r[2] for r in rows}
+
+
 def collect_totals(recs: DataFrame) -> list[tuple[int, int, int]]:
     """At most SLOTS rows, whatever the input."""
     return [(r[0], r[1], r[2]) for r in slot_totals(recs).collect()]
@@ -122,12 +134,18 @@ def assign(recs: DataFrame, slot_map: DataFrame) -> DataFrame:
 
 
 def shard_documents(docs: DataFrame, shards: int = 24, map_path: str | None = None) -> DataFrame:
-    """Put documents into ``shards`` shards of near equal bytes (law ``bytes``); an empty table stays empty."""
+    """Put documents into ``shards`` shards of near equal bytes (law ``bytes``); an empty table stays empty.
+
+    A map found at ``map_path`` is edited, so that few slots move, and stored as its next version;
+    without one the slots are planned afresh as version 1.
+    """
     spark = docs.sparkSession
     recs = common.written(records(docs), "records")
     totals = collect_totals(recs)
     path = map_path or f"{common.shared_dir(spark)}/slot-map-{common.uuid.uuid4().hex}"
     if not map_path:
         common.atexit.register(common._remove, spark, path)
-    slot_map = store_map(spark, map_rows(plan_map(totals, shards), totals, 1), path)
+    version, place = latest(spark, path) if map_path else (0, {})
+    place = edit_map(place, totals, shards) if version else plan_map(totals, shards)
+    slot_map = store_map(spark, map_rows(place, totals, version + 1), path)
     return assign(recs, slot_map).withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))

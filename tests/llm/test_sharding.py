@@ -47,3 +47,16 @@ def test_rebalancing_moves_little_and_keeps_versions(spark, tmp_path):
     assert {r.shard for r in sharding.load_map(spark, path, 1).collect()} == set(range(10))
     assert {r.shard for r in sharding.load_map(spark, path).collect()} == set(range(11))
     assert sharding.assign(recs, sharding.load_map(spark, path)).count() == 5000
+
+
+def test_sharding_again_edits_the_stored_map(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "w" * (i % 91)) for i in range(5000)], "doc_id long, text string")
+    path = str(tmp_path / "map")
+    first = {r.doc_id: r for r in sharding.shard_documents(docs, 10, path).collect()}
+    again = sharding.shard_documents(docs, 11, path).collect()
+    assert len(again) == len({r.doc_id for r in again}) == 5000
+    assert {r.version for r in spark.read.schema(sharding.MAP_SCHEMA).parquet(path).select("version").distinct().collect()} == {1, 2}
+    assert {r.shard for r in again} == set(range(11))
+    assert sum(r.size for r in again if r.shard != first[r.doc_id].shard) <= 0.2 * sum(r.size for r in again)
+    for shard in range(11):
+        assert sorted(r.slot for r in again if r.shard == shard) == list(range(sum(r.shard == shard for r in again)))
