@@ -80,3 +80,29 @@ def test_graph_recall():
     hit = np.mean([len(set(t) & set(i)) / 10 for t, i in zip(truth, ids)])
     assert hit >= 0.95
     assert len(graph.layers) > 1 and all((t[m] < len(x)).all() for m, t in graph.layers)
+
+
+def test_a_large_group_does_not_hide_missed_pairs_from_the_audit():
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(501, 32))
+    rows = [base[500] + 0.01 * rng.normal(size=32) for _ in range(500)] + [base[i % 500] + 0.01 * rng.normal(size=32) for i in range(1000)]
+    raw = np.array(rows)[rng.permutation(1500)]
+
+    class Narrow:
+        """Finds everything, but nothing of small groups with a narrow beam."""
+
+        x = neardup.unit(raw)
+
+        def search(self, q, width):
+            sims = q @ self.x.T
+            ids = np.argsort(-sims, 1)[:, :width]
+            sims = np.take_along_axis(sims, ids, 1)
+            small = (sims >= 0.95).sum(1) < width
+            if width < 64:
+                sims[small, 1:] = 0
+            return ids, sims
+
+    a, b = neardup.find_links(Narrow(), raw, raw, 0.95)
+    x = raw / np.linalg.norm(raw, axis=1)[:, None]
+    true = x @ x.T >= 0.95
+    assert len(a) == true.sum() and true[a, b].all()
