@@ -229,7 +229,6 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, decoded: bool
     to the token-byte table in the same pass, as ``decode`` does it: one more column.
     """
     spark = docs.sparkSession
-    common.bounded_batches(spark)
     n_to = max(8, common.partitions(spark))
     shared = spark.sparkContext.broadcast(ranks)
     rows = docs.select(

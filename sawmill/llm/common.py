@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import functools
+import re
 import tempfile
 import uuid
 
@@ -17,14 +18,22 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 @functools.lru_cache(maxsize=8)
-def _fallback_dir(app_id: str) -> str:
+def _local_dir(app_id: str) -> str:
     return "file://" + tempfile.mkdtemp(prefix=f"work-{app_id}-")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Only a local master, whose executors are the driver itself, may do without it.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    return found or _fallback_dir(spark.sparkContext.applicationId)
+    if found:
+        return found
+    master = spark.sparkContext.master
+    if not re.match(r"local(\[|$)", master):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that driver and executors share (master {master})")
+    return _local_dir(spark.sparkContext.applicationId)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -48,15 +57,20 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Rows of one Arrow batch of texts; a few megabytes, or what longer texts take.
-BATCH_ROWS = 1_000
+#: Characters of the texts that a batch function gets at once (or one longer text).
+FRAME_CHARS = 4_000_000
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Whole texts go to Python in batches of BATCH_ROWS at most; a smaller setting of the session stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+def small_frames(batches, column: str = "text", chars: int = FRAME_CHARS):
+    """The batches cut into frames of bounded text, whatever the session's Arrow settings (64 MB a batch by default)."""
+    for pdf in batches:
+        size = pdf[column].str.len().fillna(0).to_numpy(np.int64) if len(pdf) else np.zeros(0, np.int64)
+        if int(size.sum()) <= chars:
+            yield pdf
+            continue
+        part = (np.cumsum(size) - size) // chars
+        for at in np.split(np.arange(len(pdf)), np.flatnonzero(np.diff(part)) + 1):
+            yield pdf.iloc[at[0] : at[-1] + 1]
 
 
 def release() -> None:
@@ -73,12 +87,12 @@ def release() -> None:
         trim(0)
 
 
-def releasing(run):
-    """A batch function that gives its memory back at the end of a task."""
+def releasing(run, column: str = "text"):
+    """A batch function over texts that gets them in small frames and gives its memory back at the end of a task."""
 
     def wrapped(batches):
         try:
-            yield from run(batches)
+            yield from run(small_frames(batches, column) if column else batches)
         finally:
             release()
 
@@ -121,17 +135,46 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def without_ids(docs: DataFrame, ids: DataFrame, broadcast_ids: int = 1_000_000) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is not in ``ids`` (one column), all columns kept; rows without an id stay.
+#: Rows and bytes of a table that is sent to every task; both are counted before.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 24_000_000
+
+
+def text_hash(text: str | Column = "text") -> Column:
+    """With the id it names a row: 64 bits of a text, null taken as empty."""
+    c = F.col(text) if isinstance(text, str) else text
+    return F.xxhash64(F.coalesce(c.cast("string"), F.lit("")))
+
 
-    The ids are written first and counted: up to ``broadcast_ids`` of them (8 MB) are sent to every
-    task, more go through a shuffled anti-join.
+def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose (doc_id, text_hash) is not in ``gone``, all columns kept; rows without an id stay.
+
+    The pairs are written first and counted: up to BROADCAST_ROWS of them (16 bytes each) are sent
+    to every task, more go through a shuffled anti-join.
     """
-    name = fresh(docs, "gone")
-    gone = written(ids.toDF(name).where(F.col(name).isNotNull()).distinct(), "ids")
-    if gone.count() <= broadcast_ids:
+    name, text = fresh(docs, "gone"), fresh(docs, "gone_text")
+    gone = written(gone.toDF(name, text).where(F.col(name).isNotNull()).distinct(), "gone")
+    if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    return docs.join(gone, docs["doc_id"] == gone[name], "left_anti")
+    return docs.join(gone, (docs["doc_id"].cast("long") == gone[name]) & (text_hash(docs["text"]) == gone[text]), "left_anti")
+
+
+def join_texts(texts: DataFrame, places: DataFrame, keys: list[str], size: Column, how: str = "inner") -> DataFrame:
+    """``texts`` joined with ``places``, a written table of one row for a key; ``size`` is a row's bytes.
+
+    Places are counted first. Few are sent to every task and no text moves. Of more, their keys are
+    sent as far as BROADCAST_ROWS allow, and only texts with a place are shuffled.
+    """
+    rows, held = places.agg(F.count("*"), F.coalesce(F.sum(size + 48), F.lit(0))).first()
+    if held <= BROADCAST_BYTES:
+        return texts.join(F.broadcast(places), keys, how)
+    if rows <= BROADCAST_ROWS:
+        wanted = F.broadcast(places.select(*keys))
+        joined = texts.join(wanted, keys, "left_semi").join(places.hint("shuffle_merge"), keys)
+        if how == "inner":
+            return joined
+        rest = texts.join(wanted, keys, "left_anti")
+        return joined.unionByName(rest, allowMissingColumns=True)
+    return texts.join(places, keys, how)
 
 
 # ------------------------------------------------------------- connected components
@@ -171,18 +214,19 @@ def _local_forest(batches):
         yield pd.DataFrame({"a": n[n != r], "b": r[n != r]})
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a long, b long): rows (node, component = smallest node reachable).
 
     Only nodes with an edge appear. Each round is a large-star and a small-star step written as
     ``min`` aggregates (which combine before the shuffle, so that a hub costs one row per task)
     and an equi-join that adaptive execution splits when a hub is hot. Rounds are written tables,
-    so a lost executor does not restart the loop.
+    so a lost executor does not restart the loop. Every round lowers some node's smallest neighbour
+    until nothing changes, so the loop ends; rounds grow with the logarithm of the nodes.
     """
     e = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null and a <> b")
     e = written(e.mapInPandas(_local_forest, "a long, b long").distinct(), "edges")
     before = None
-    for _ in range(max_rounds):
+    while True:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
@@ -194,7 +238,5 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     stars = e.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
     return stars.union(stars.select(F.col("component").alias("node"), "component").distinct())

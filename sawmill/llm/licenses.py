@@ -238,7 +238,6 @@ def scan_licenses(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
             out["last_word"] = out["last_word"].astype("Int64")
             yield out
 
-    common.bounded_batches(docs.sparkSession)
     # Ids go as text: pandas would turn a nullable long into a double.
     slim = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return slim.mapInPandas(run, OUT).withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -400,7 +400,6 @@ def similar(docs: DataFrame) -> DataFrame:
     Other columns are ignored. An empty table gives an empty table.
     """
     spark = docs.sparkSession
-    common.bounded_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = rows.where("doc_id is not null and text <> ''").select("text")
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0

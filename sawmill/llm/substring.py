@@ -2,15 +2,20 @@
 
 A window is ``SPAN`` consecutive words. Method: a count-min prefilter, then exact grouping.
 
-1. Every partition sketches its documents: for each window the least hash of its ``SUB``-word
-   parts (equal windows have equal least parts) counts once per document. Partition sketches are
-   sparse and merged by cell; a cell that two documents reached is one bit. Estimates are never
-   too low, so no repeated window is lost.
-2. A second pass keeps windows whose least part is estimated repeated and groups them exactly by
-   128 bits of the whole word sequence. Windows that repeat within a task are settled there: only
-   the task's earliest document of each window goes through the shuffle, so a passage that a
-   third of the corpus holds costs one row for each task, not one for each document.
-3. Removed places meet their documents again by a hash of id and text.
+1. Every task sketches its documents: a window counts in the cell of the least hash of its
+   ``SUB``-word parts (equal windows have equal least parts), once for each document. Sketches are
+   sparse, so a cell costs something only where a part fell, and there are enough cells for any
+   corpus. They are merged by dealing cells to tasks, which add up the counts: estimates are never
+   too low, so no repeated window is lost, and no task or driver holds a whole sketch. What several
+   documents of a task share is known to repeat there at once and travels as one count.
+2. Cells estimated over one go back to the documents that asked. A second pass takes the windows
+   of those cells only and groups them exactly by 128 bits of the whole word sequence. Windows that
+   repeat within a task are settled there: only the task's earliest document of each window goes
+   through the shuffle, so a passage that a third of the corpus holds costs one row for each task.
+3. Removed places meet their documents by id and text hash.
+
+Both ways back send their rows to every task while they are few (their bytes are counted first);
+beyond that only documents that have a place are shuffled, never all texts.
 """
 
 from __future__ import annotations
@@ -25,9 +30,8 @@ from pyspark.sql.window import Window
 from . import common
 
 SPAN, SUB = 50, 25
-#: Cells in a row of the sketch: grows with the words up to the cap, where a row is 16 MB of bits.
-MIN_CELLS, MAX_CELLS, DEPTH = 1 << 20, 1 << 27, 2
-BLOCK = 1 << 16
+#: Cells of the sketch. They exist only where a part falls; 10^12 parts (some 100 TB of text) load them to 6 %.
+CELLS = 1 << 44
 #: Words that one task settles at once.
 CHUNK_WORDS = 1_500_000
 
@@ -101,121 +105,133 @@ def window_parts(words: np.ndarray, roller: Roller) -> np.ndarray:
     return _sliding_min(roller.runs(words, SUB), SPAN - SUB + 1)
 
 
-def _cells(parts: np.ndarray, cells: int) -> list[np.ndarray]:
-    """The cell in each row of the sketch."""
+def _cells(parts: np.ndarray, cells: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return [(_mix(parts + np.uint64(row * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)) % np.uint64(cells)).astype(np.int64) for row in range(DEPTH)]
+        return (_mix(parts + np.uint64(0x632BE59BD9B4E019)) % np.uint64(cells)).astype(np.int64)
 
 
 def _sketch(cells: int):
-    """documents -> sparse partition sketches: (row, block, places in the block reached once, and more than once)."""
+    """documents -> sparse task sketches: (cell, n, row, known).
+
+    A cell that one document of the chunk reached asks for an answer (n 1, its row); one that several
+    reached counts 2 and asks for none: their flagged cells are ``known`` (packed, one line for a row,
+    under a cell of its own below zero).
+    """
 
     def run(batches):
-        roller, per = Roller(), []
+        roller, per, rows, held = Roller(), [], [], 0
 
         def flush():
-            frames = []
-            got = np.concatenate(per)
-            for row, c in enumerate(_cells(got, cells)):
-                at, n = np.unique(c, return_counts=True)
-                blocks = at // BLOCK
-                cut = np.flatnonzero(np.diff(blocks, prepend=-1))
-                for a, b in zip(cut, [*cut[1:], len(at)]):
-                    low = (at[a:b] % BLOCK).astype(np.uint16)
-                    frames.append((row, int(blocks[a]), low[n[a:b] == 1].tobytes(), low[n[a:b] > 1].tobytes()))
-            return pd.DataFrame(frames, columns=["r", "block", "one", "more"])
+            doc = np.repeat(np.arange(len(per)), [len(x) for x in per])
+            cell = np.concatenate(per)
+            order = np.argsort(cell, kind="stable")
+            cell, doc = cell[order], doc[order]
+            new = np.flatnonzero(np.diff(cell, prepend=-1))
+            n = np.diff(np.append(new, len(cell)))
+            row = np.array(rows, np.int64)
+            one = new[n == 1]
+            yield pd.DataFrame({"cell": cell[one], "n": np.int32(1), "row": pd.array(row[doc[one]], dtype="Int64"), "known": None})
+            more = new[n > 1]
+            yield pd.DataFrame({"cell": cell[more], "n": np.int32(2), "row": pd.array([None] * len(more), dtype="Int64"), "known": None})
+            hot = np.repeat(n > 1, n)
+            cell, doc = cell[hot], doc[hot]
+            by = np.argsort(doc, kind="stable")
+            cell, doc = cell[by], doc[by]
+            cut = np.flatnonzero(np.diff(doc, prepend=-1))
+            packed = [x.tobytes() for x in np.split(cell, cut[1:])] if len(cut) else []
+            mine = row[doc[cut]] if len(cut) else np.zeros(0, np.int64)
+            yield pd.DataFrame({"cell": -1 - (mine & 0x7FFFFFFFFFFFFFF), "n": np.int32(2), "row": pd.array(mine, dtype="Int64"), "known": packed})
 
-        held = 0
         for pdf in batches:
-            for text in pdf["text"].tolist():
-                parts = np.unique(window_parts(hashed(words_of(text)), roller))
-                if len(parts):
-                    per.append(parts)
-                    held += len(parts)
-            if held >= 2_000_000:
-                yield flush()
-                per, held = [], 0
+            for row, text in zip(pdf["row"].tolist(), pdf["text"].tolist()):
+                c = np.unique(_cells(window_parts(hashed(words_of(text)), roller), cells))
+                if len(c):
+                    per.append(c)
+                    rows.append(row)
+                    held += len(c)
+            if held >= CHUNK_WORDS:
+                yield from flush()
+                per, rows, held = [], [], 0
         if per:
-            yield flush()
+            yield from flush()
 
     return run
 
 
-def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
-    count = np.zeros(BLOCK, np.int64)
-    for one, more in zip(pdf["one"], pdf["more"]):
-        np.add.at(count, np.frombuffer(one, np.uint16), 1)
-        count[np.frombuffer(more, np.uint16)] += 2
-    return pd.DataFrame({"r": pdf["r"].iloc[:1], "block": pdf["block"].iloc[:1], "bits": [np.packbits(count >= 2).tobytes()]})
-
+def prefilter(docs: DataFrame, cells: int = CELLS) -> DataFrame:
+    """Merged sketches, answered: row, cells (of an estimate over one, distinct), known (packed ones). Rows without any are absent."""
+    sketches = docs.select("row", "text").mapInPandas(common.releasing(_sketch(cells)), "cell long, n int, row long, known binary")
+    # One line of a cell for each chunk at most.
+    counted = sketches.withColumn("estimate", F.sum("n").over(Window.partitionBy("cell")))
+    asked = counted.where("estimate > 1 and row is not null")
+    return asked.groupBy("row").agg(F.collect_set(F.when(F.col("known").isNull(), F.col("cell"))).alias("cells"), F.collect_set("known").alias("known"))
 
-def prefilter(docs: DataFrame, words: int) -> tuple[np.ndarray, int]:
-    """Bits (DEPTH rows of packed cells) of estimates over one. At most DEPTH * MAX_CELLS / 8 bytes come to the driver."""
-    cells = MIN_CELLS
-    while cells < words and cells < MAX_CELLS:  # about one part for each 13 words
-        cells *= 2
-    merged = docs.select("text").mapInPandas(common.releasing(_sketch(cells)), "r int, block int, one binary, more binary").groupBy("r", "block").applyInPandas(_merge, "r int, block int, bits binary")
-    bits = np.zeros((DEPTH, cells // 8), np.uint8)
-    for r, block, raw in merged.toLocalIterator():
-        bits[r, block * BLOCK // 8 : (block + 1) * BLOCK // 8] = np.frombuffer(raw, np.uint8)
-    return bits, cells
 
+def _runs(at: np.ndarray) -> bytes:
+    """Rising places as (first, how many) runs."""
+    cut = np.flatnonzero(np.diff(at, prepend=-2) != 1)
+    return np.stack([at[cut], np.diff(np.append(cut, len(at)))], 1).astype(np.int32).tobytes()
 
-def _flagged(parts: np.ndarray, bits: np.ndarray, cells: int) -> np.ndarray:
-    ok = np.ones(len(parts), bool)
-    for row, c in enumerate(_cells(parts, cells)):
-        ok &= (bits[row, c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1 == 1
-    return ok
 
+def _candidates(cells: int):
+    """documents with their cells -> windows estimated repeated: (h1, h2, doc_id, row, at, settled).
 
-def _candidates(shared, cells: int):
-    """documents -> windows estimated repeated. Rows (settled, h1, h2, doc_id, row, at); a settled window has an earlier document in its task."""
+    Windows with an earlier document in their chunk are settled: runs of places, one line for a document.
+    """
 
     def run(batches):
-        bits, roller = shared.value, Roller()
+        roller = Roller()
         hold: list[tuple] = []
         held = 0
 
         def flush():
-            h1, h2, at, doc, row = (np.concatenate([x[k] for x in hold]) for k in range(5))
+            h1, h2, at = (np.concatenate([x[k] for x in hold]) for k in range(3))
+            n = [len(x[2]) for x in hold]
+            line, doc = np.repeat(np.arange(len(hold)), n), np.repeat([x[3] for x in hold], n)
             order = np.lexsort((doc, h2, h1))
-            h1, h2, at, doc, row = h1[order], h2[order], at[order], doc[order], row[order]
             new = np.ones(len(h1), bool)
-            new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-            first = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-            settled = doc != first  # else it is the earliest here, and open whether there is an earlier one elsewhere
-            h1, h2 = np.where(settled, row, h1.view(np.int64)), np.where(settled, 0, h2.view(np.int64))
-            return pd.DataFrame({"settled": settled, "h1": h1, "h2": h2, "doc_id": doc, "row": row, "at": at.astype(np.int32)})
+            new[1:] = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
+            first = np.empty(len(h1), np.int64)
+            first[order] = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+            late = doc != first
+            ids, rows = np.array([x[3] for x in hold], np.int64), np.array([x[4] for x in hold], np.int64)
+            open_ = ~late
+            # Of a window's places in its earliest document here, one line each; the others wait for no answer.
+            yield pd.DataFrame({"h1": h1[open_].view(np.int64), "h2": h2[open_].view(np.int64), "doc_id": doc[open_], "row": rows[line[open_]], "at": pd.array(at[open_], dtype="Int32"), "settled": None})
+            line, at = line[late], at[late]
+            cut = np.flatnonzero(np.diff(line, prepend=-1))
+            if len(cut):
+                mine = line[cut]
+                yield pd.DataFrame({"h1": rows[mine], "h2": ids[mine], "doc_id": ids[mine], "row": rows[mine], "at": pd.array([None] * len(mine), dtype="Int32"), "settled": [_runs(x) for x in np.split(at, cut[1:])]})
 
         for pdf in batches:
-            for doc_id, row, text in zip(pdf["doc_id"].tolist(), pdf["row"].tolist(), pdf["text"].tolist()):
+            for doc_id, row, text, mine, known in zip(pdf["doc_id"].tolist(), pdf["row"].tolist(), pdf["text"].tolist(), pdf["cells"], pdf["known"]):
                 w = hashed(words_of(text))
-                parts = window_parts(w, roller)
-                if not len(parts):
-                    continue
-                at = np.flatnonzero(_flagged(parts, bits, cells))
+                flagged = np.concatenate([np.asarray(mine, np.int64), *[np.frombuffer(x, np.int64) for x in known]])
+                at = np.flatnonzero(np.isin(_cells(window_parts(w, roller), cells), flagged))
                 if len(at):
-                    hold.append((roller.runs(w, SPAN)[at], roller.runs(w, SPAN, 1)[at], at, np.full(len(at), doc_id, np.int64), np.full(len(at), row, np.int64)))
+                    hold.append((roller.runs(w, SPAN)[at], roller.runs(w, SPAN, 1)[at], at, doc_id, row))
                     held += len(at)
                 if held >= CHUNK_WORDS:
-                    yield flush()
+                    yield from flush()
                     hold, held = [], 0
         if hold:
-            yield flush()
+            yield from flush()
 
     return run
 
 
 def _cut(pdf: pd.DataFrame) -> pd.DataFrame:
     n_words, n_removed, kept_text = [], [], []
-    for text, ats in zip(pdf["text"].tolist(), pdf["ats"]):
+    for text, ats, settled in zip(pdf["text"].tolist(), pdf["ats"], pdf["settled"]):
         words = words_of(text)
         n_words.append(len(words))
-        if ats is not None and len(ats):
+        if ats is not None:
+            runs = [np.frombuffer(x, np.int32).reshape(-1, 2) for x in settled]
+            runs = np.concatenate([np.stack([np.asarray(ats, np.int32), np.ones(len(ats), np.int32)], 1), *runs]).astype(np.int64)
             edge = np.zeros(len(words) + 1, np.int64)
-            ats = np.unique(np.asarray(ats, np.int64))
-            edge[ats] += 1
-            np.subtract.at(edge, np.minimum(ats + SPAN, len(words)), 1)
+            np.add.at(edge, runs[:, 0], 1)
+            np.subtract.at(edge, np.minimum(runs.sum(1) + SPAN - 1, len(words)), 1)
             keep = np.cumsum(edge[:-1]) == 0
             words = [w for w, k in zip(words, keep.tolist()) if k]
         n_removed.append(n_words[-1] - len(words))
@@ -223,26 +239,28 @@ def _cut(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": pdf["doc_id"], "n_words": n_words, "n_removed": n_removed, "kept": kept_text})
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def _finish(batches):
+    return map(_cut, batches)
+
+
+def remove_repeats(docs: DataFrame, cells: int = CELLS) -> DataFrame:
     """Every document with its repeated words removed: doc_id, n_words, n_removed, kept (words joined by one space).
 
     A document with a smaller id keeps the words; equal ids (repeated rows) never remove from each
     other. Rows with a null id keep all their words and remove nothing; null and empty texts have
-    no words. Other columns are ignored. An empty table gives an empty table.
+    no words. Other columns are ignored. An empty table gives an empty table. Fewer ``cells`` let
+    more candidates pass and change no result.
     """
-    spark = docs.sparkSession
-    common.bounded_batches(spark)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("row", F.xxhash64("text", "doc_id"))
     known = rows.where("doc_id is not null and length(text) >= 99")  # 50 words take 99 characters
-    # Characters are read from the text, words are at least two of them each with their space.
-    words = (rows.agg(F.sum(F.length("text"))).first()[0] or 0) // 6
-    bits, cells = prefilter(known, words)
-    shared = spark.sparkContext.broadcast(bits)
-    found = known.select("doc_id", "row", "text").mapInPandas(common.releasing(_candidates(shared, cells)), "settled boolean, h1 long, h2 long, doc_id long, row long, at int")
-    # A window has at most one document of each task here, so its group is bounded by the tasks.
-    earliest = F.min("doc_id").over(Window.partitionBy("settled", "h1", "h2"))
-    late = found.withColumn("first", earliest).where("settled or first < doc_id")
-    removed = late.groupBy("row").agg(F.collect_list("at").alias("ats"))
-    out = rows.select(F.col("doc_id").cast("string").alias("doc_id"), "row", "text").join(removed, "row", "left").select("doc_id", "text", "ats")
-    return out.mapInPandas(lambda batches: map(_cut, batches), "doc_id string, n_words long, n_removed long, kept string").withColumn("doc_id", F.col("doc_id").cast("long"))
+    # An answer shared by two rows of one hash flags more than it must, never less.
+    answers = common.written(prefilter(known, cells), "answers")
+    asked = common.join_texts(known, answers, ["row"], F.size("cells") * 8 + F.coalesce(F.aggregate("known", F.lit(0), lambda a, x: a + F.length(x)), F.lit(0)))
+    found = asked.select("doc_id", "row", "text", "cells", "known").mapInPandas(common.releasing(_candidates(cells)), "h1 long, h2 long, doc_id long, row long, at int, settled binary")
+    # A window has at most one document of each chunk here, so its group is bounded by the chunks.
+    late = found.withColumn("first", F.min("doc_id").over(Window.partitionBy("h1", "h2"))).where("settled is not null or first < doc_id")
+    places = common.written(late.groupBy("doc_id", "row").agg(F.collect_set("at").alias("ats"), F.collect_set("settled").alias("settled")), "places")
+    sized = F.size("ats") * 4 + F.coalesce(F.aggregate("settled", F.lit(0), lambda a, x: a + F.length(x)), F.lit(0))
+    out = common.join_texts(rows, places, ["doc_id", "row"], sized, "left").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "ats", "settled")
+    return out.mapInPandas(common.releasing(_finish), "doc_id string, n_words long, n_removed long, kept string").withColumn("doc_id", F.col("doc_id").cast("long"))

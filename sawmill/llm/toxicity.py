@@ -289,7 +289,6 @@ def tag(docs: DataFrame, model: Model, span_at: float = 0.5) -> DataFrame:
     Places are code points. Empty and null texts have no spans and the score of a text without
     toxic tokens. Null ids stay null, repeated rows stay repeated, other columns are ignored.
     """
-    common.bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

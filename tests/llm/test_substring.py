@@ -2,7 +2,9 @@ import hashlib
 import random
 import re
 
-from sawmill.llm import substring
+import pytest
+
+from sawmill.llm import common, substring
 
 from .conftest import NASTY
 
@@ -55,11 +57,27 @@ def test_like_brute_force(spark):
 
 
 def test_small_sketch_and_chunks_lose_nothing(spark, monkeypatch):
-    monkeypatch.setattr(substring, "MIN_CELLS", 1 << 16)
-    monkeypatch.setattr(substring, "MAX_CELLS", 1 << 16)
     monkeypatch.setattr(substring, "CHUNK_WORDS", 300)
     docs = corpus(3)
-    assert run(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)) == brute(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in substring.remove_repeats(df, cells=1 << 6).collect())
+    assert got == brute(docs)
+
+
+@pytest.mark.parametrize("rows", [0, 1_000_000])
+def test_shuffled_ways_back(spark, monkeypatch, rows):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", rows)
+    docs = corpus(4)
+    assert run(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)) == brute(docs)
+
+
+def test_few_texts_move(spark, capsys):
+    """Documents without a repeated window are read twice and never shuffled."""
+    df = spark.createDataFrame(corpus(1), "doc_id long, text string")
+    substring.remove_repeats(df).explain()
+    plan = capsys.readouterr().out
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
 
 
 def test_nasty_rows(spark, nasty, clashing, empty):
