@@ -1,5 +1,9 @@
 import hashlib
+import math
+import random
 import re
+import time
+from collections import Counter
 
 import pytest
 
@@ -67,6 +71,77 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert all(rows[200 + i] == "" for i in range(30))
 
 
+def graph(marked, rounds):
+    """The graph's scores by plain Python."""
+    known, unknown = set(), set()
+    names = lambda left: {" ".join(left.split()[-2:]), *left.split()[-1:]} - {""}
+    for r in marked:
+        for s in r.seeds or ():
+            known |= {(p, s.kind, s.value) for p in names(s.left)}
+        for s in r.others or ():
+            unknown |= {(p, s.value.lower()) for p in names(s.left)}
+    size = Counter(p for p, *_ in known) + Counter(p for p, _ in unknown)
+    accepted, scores = {}, {}
+    for _ in range(rounds):
+        n = Counter((p, k) for p, k, _ in known) + Counter((p, accepted[v]) for p, v in unknown if v in accepted)
+        scores = {(p, k): m / size[p] * (1 - 1 / (1 + math.log2(1 + m))) for (p, k), m in n.items() if m >= pii.MIN_SEEDS}
+        miss = {}
+        for p, v in unknown:
+            for k in range(4):
+                if (p, k) in scores:
+                    miss[v, k] = miss.get((v, k), 1.0) * max(1e-9, 1 - scores[p, k])
+        accepted = {}
+        for (v, k), m in sorted(miss.items(), key=lambda x: (-x[1], -x[0][1])):
+            if 1 - m >= pii.BELIEF:
+                accepted[v] = k
+    return scores
+
+
+def bootstrap_docs(spark):
+    seeds = [(i, f"note {i}: please phone office +1 (555) 010-{1000 + i} today") for i in range(12)]
+    # Found behind "phone office", and then the reason why "dial desk" is a pattern.
+    unseen = [(100 + i, f"please phone office 55501077{i:02d} today") for i in range(5)] + [(120 + i, f"or dial desk 55501077{i:02d} instead") for i in range(5)]
+    last = [(140, "or dial desk 030 123 4567 instead")]
+    noise = [(200 + i, f"the sum was {i * 7919} and so on") for i in range(30)]
+    return spark.createDataFrame(seeds + unseen + last + noise, "doc_id long, text string")
+
+
+def test_instances_found_induce_patterns(spark):
+    docs = bootstrap_docs(spark)
+    rows = {r.doc_id: r.spans for r in pii.digest(pii.find(docs)).collect()}
+    assert all(rows[100 + i] and rows[120 + i] for i in range(5))
+    assert rows[140] == "phone:13:25" and all(rows[200 + i] == "" for i in range(30))
+
+
+@pytest.mark.parametrize("rounds", [1, 2, 3])
+def test_graph_scores_like_plain_python(spark, rounds):
+    marked = pii._marked(bootstrap_docs(spark))
+    want = graph(marked.collect(), rounds)
+    got = {(r.pattern, r.kind): r.score for r in pii.score_patterns(marked, rounds).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_many_matches_take_linear_time(spark):
+    def seconds(n):
+        text = "1.1.1.1 x1111 " * n
+        began = time.monotonic()
+        r = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+        assert r.n_ip == n and r.base[-1].end == len(text) - 7 and r.base[n - 1].start == 14 * (n - 1)
+        return time.monotonic() - began
+
+    seconds(100)
+    small = seconds(4_000)
+    assert seconds(12_000) < 5 * small + 5
+
+
+def test_instances_apart_from_many_base_spans(spark):
+    text = " ".join(f"{i % 250}.1.1.1 order {i:06d} a{i}@b.cc" if i % 3 else f"+1 555 010 {i % 10000:04d} k{i:05d}" for i in range(300))
+    r = pii._marked(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    want = [x for x in re.finditer(r"(?<!\S)[^\s0-9@]*[0-9@]\S*(?:\x20[(0-9][0-9()./-]*(?!\S))*", text) if len(x[0]) >= 5 and not any(s.start < x.end() and x.start() < s.end for s in r.base)]
+    assert len(r.base) > 300 and [(s.start, s.value) for s in r.others] == [(x.start(), x[0]) for x in want] and want
+    assert all(s.left == re.search(r"(\S+\s+\S+|\S+)\s*$", text[max(0, s.start - 80) : s.start].lower())[1] for s in r.others if s.start > 80)
+
+
 def test_main_path_is_native(spark, capsys):
     df = spark.createDataFrame(list(enumerate(TEXTS[:6])), "doc_id long, text string")
     pii.digest(pii.find(df)).explain()
@@ -80,6 +155,21 @@ def test_redaction(spark):
     assert {r.doc_id: r.text for r in out.collect()} == {1: "write <EMAIL> or <PHONE>, at <IP>", 2: None, 3: "clean"}
 
 
+def test_redaction_of_long_texts(spark):
+    """Spans at and across the ends of pieces, overlapping ones, wide characters."""
+    rng = random.Random(3)
+    items = [("4242424242424242", "<CARD>"), ("a@b.cc", "<EMAIL>"), ("+1 (246) 555-8083", "<PHONE>"), ("10.0.0.1", "<IP>"), ("+4242424242424242", "+<CARD>")]
+    rows, want = [], {}
+    for i in range(30):
+        parts = [(rng.choice(["x", "\U0001f600", "é\n"]) * rng.randrange(1, 2 * pii.PIECE // 3), None) if rng.random() < 0.6 else rng.choice(items) for _ in range(30)]
+        rows.append((i, " | ".join(a for a, _ in parts)))
+        want[i] = " | ".join(a if b is None else b for a, b in parts)
+    rows.append((50, "x" * (pii.PIECE - 3) + " 10.0.0.1@a.bc " + "y " * 3000))
+    got = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == want[i] for i in want)
+    assert got[50] == "x" * (pii.PIECE - 3) + " <IP> " + "y " * 3000
+
+
 def test_nasty_rows(spark, nasty, clashing, empty):
     for df in (nasty, clashing):
         rows = pii.digest(pii.find(df)).collect()
