@@ -9,6 +9,7 @@ higher priority is suppressed. The base detections (four phrases over words) alw
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections import defaultdict
 from typing import NamedTuple
@@ -172,12 +173,20 @@ class Scanner:
         plain = " ".join(low.split())  # keywords of several words may stand across a line break
         wanted = sorted(i for key, at in self.by_key.items() if key in plain for i in at)
         kept: list[tuple[int, int, Rule]] = []
+        # Kept intervals that lie in no other one: starts rise, and so do ends.
+        starts: list[int] = []
+        ends: list[int] = []
         for i in wanted:
             rule, rx = self.rules[i]
             for m in rx.finditer(low):
                 a, b = m.span()
-                if not any(x <= a and b <= y for x, y, _ in kept):
-                    kept.append((a, b, rule))
+                at = bisect.bisect_right(starts, a)
+                if at and ends[at - 1] >= b:
+                    continue
+                kept.append((a, b, rule))
+                lo = bisect.bisect_left(starts, a)
+                hi = bisect.bisect_right(ends, b)
+                starts[lo:hi], ends[lo:hi] = [a], [b]
         return sorted((r.label, r.name, a, b, r.confidence) for a, b, r in kept)
 
 
@@ -240,4 +249,4 @@ def scan_licenses(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
 
     # Ids go as text: pandas would turn a nullable long into a double.
     slim = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return slim.mapInPandas(run, OUT).withColumn("doc_id", F.col("doc_id").cast("long"))
+    return slim.mapInPandas(common.releasing(run), OUT).withColumn("doc_id", F.col("doc_id").cast("long"))

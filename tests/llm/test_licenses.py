@@ -1,4 +1,6 @@
+import random
 import re
+import time
 
 import pytest
 
@@ -100,5 +102,24 @@ def test_short_names_and_broken_lines(text, label):
     assert [x[0] for x in GATED.scan(text.lower())] == [label]
 
 
+def test_sweep_keeps_what_comparing_all_keeps():
+    rng = random.Random(2)
+    names = [example(re._parser.parse(r.regex), " ") for r in rng.sample(licenses.RULES, 60)]
+    text = " ".join(rng.choice(names) for _ in range(400))
+    kept = []
+    plain = " ".join(text.split())
+    for rule in licenses.RULES:
+        for m in re.finditer(rule.regex, text) if rule.keyword in plain else ():
+            if not any(a <= m.start() and m.end() <= b for a, b, _ in kept):
+                kept.append((*m.span(), rule.name))
+    assert sorted((a, b, n) for _, n, a, b, _ in GATED.scan(text)) == sorted(kept) and len(kept) > 300
+
+
+def test_many_detections_take_linear_time():
+    began = time.monotonic()
+    assert len(GATED.scan("mit license, " * 20_000)) == 20_000
+    assert time.monotonic() - began < 20
+
+
 def test_empty(empty):
     assert licenses.scan_licenses(empty).collect() == []
