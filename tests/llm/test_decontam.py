@@ -47,13 +47,26 @@ def test_finds_what_brute_force_finds(spark):
     want = {}
     for d, t in docs:
         for i, x in items:
-            x, t2 = decontam.normalise(x), decontam.normalise(t)
+            x, t2 = f" {decontam.normalise(x)} ", f" {decontam.normalise(t)} "
             n = distance(x, t2)
             if n <= int(len(x) * decontam.ERROR_RATE):
                 want[d, i] = n
     assert got == want and want and len(want) < 30
 
 
+def test_items_match_whole_words(spark):
+    items = spark.createDataFrame([(1, "the other"), (2, "a"), (3, "the"), (4, "is a cat")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "bathe others"), (2, "see the other one"), (3, "this is a catalogue"), (4, "the is a cat.")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.start, r.end) for r in decontam.contaminated(docs, items).collect())
+    assert got == [(2, 1, 4, 13), (4, 4, 4, 12)]
+
+
+def test_clean_keeps_other_texts_of_an_id(spark):
+    items = spark.createDataFrame([(1, "some benchmark item to find")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "has some benchmark item to find"), (1, "has nothing")], "doc_id long, text string")
+    assert [r.text for r in decontam.clean(docs, items).collect()] == ["has nothing"]
+
+
 def test_blocks_of_items_agree(spark):
     items = spark.createDataFrame([(i, f"item number {i} says something of its own {i * i}") for i in range(30)], "item_id long, text string")
     docs = spark.createDataFrame([(i, f"before. Item, number {i} SAYS something of its own {i * i}! after") for i in range(30)], "doc_id long, text string")
