@@ -12,11 +12,15 @@ reaches 0.8. Equal sets are one node from the start. Candidates come from a size
   that a heavy one could link with scan. The boundary is the size that minimises the cost of
   enumerating against that of scanning over the actual sizes.
 
-A list joins each of its nodes to the one before it by size where such sizes could link, so
-candidates grow with the input and not with the square of a group. Candidate components are then solved exactly: a leader is
-compared with every set of its component, in order, until all sets that have not been leaders are
-in one component; every pair that was not compared is then linked through others. Components of
-bounded bytes are solved in one task, larger ones in rounds over blocks of bounded bytes.
+Only verified links unite documents. A task links the sets of its own chunk exactly, and posts one
+set of each linked group in a list, so a group of copies costs a list one row for each chunk. Then:
+
+1. In a list, all pairs of up to ``SHORT`` posted sets whose sizes could link are verified; in a
+   longer one each set with the one before it. Links unite groups.
+2. What that leaves open is compared whole: where two posted sets did not link but stand for more
+   sets, all members of the two groups (each within one chunk, so of bounded bytes); of long lists
+   that still hold several groups, all sets of overlapping lists, in one task if they fit and else
+   block by block. A set of the largest group is compared with those of the others only.
 """
 
 from __future__ import annotations
@@ -42,10 +46,12 @@ MIN_CELLS, MAX_CELLS, CELL_BLOCK = 1 << 18, 1 << 24, 1 << 18
 CLASS = math.log(OF / TIMES)
 #: Characters of text whose elements are counted together.
 CHUNK_CHARS = 6_000_000
-#: Bytes of sets that one task solves.
+#: Posted sets of a list of which all pairs are verified.
+SHORT = 16
+#: Bytes of sets that one task compares.
 TASK_BYTES = 32_000_000
-#: Nodes whose component is sent to every task; more are joined by shuffle behind a bit filter.
-BROADCAST_NODES, FILTER_BITS = 1_000_000, 1 << 28
+#: Bits of the filter of nodes whose sets are wanted.
+FILTER_BITS = 1 << 28
 
 with np.errstate(over="ignore"):
     _B = np.array([pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(SHINGLE)], np.uint64)
@@ -152,10 +158,10 @@ def _members(cells: int):
 
         for pdf in batches:
             rows = []
-            for doc_id, text in zip(pdf["doc_id"].tolist(), pdf["text"].tolist()):
+            for doc_id, text, text_hash in zip(pdf["doc_id"].tolist(), pdf["text"].tolist(), pdf["text_hash"].tolist()):
                 s = shingles(text)
                 node = node_of(s)
-                rows.append((0, doc_id, len(s), node, None))
+                rows.append((0, doc_id, text_hash, len(s), node, None))
                 if doc_id is not None and len(s) and node not in seen:
                     seen.add(node)
                     chunk.append(s)
@@ -163,15 +169,15 @@ def _members(cells: int):
                     if held >= CHUNK_CHARS:
                         add()
                         chunk, seen, held = [], set(), 0
-            yield pd.DataFrame(rows, columns=["kind", "doc_id", "size", "node", "data"])
+            yield pd.DataFrame(rows, columns=["kind", "doc_id", "text_hash", "size", "node", "data"])
         if chunk:
             add()
         pack = zstandard.ZstdCompressor(level=1).compress
         width = min(cells, CELL_BLOCK)
         for r in range(2):
-            rows = [(1, None, r, k // width, pack(counts[r, k : k + width].tobytes())) for k in range(0, cells, width) if counts[r, k : k + width].any()]
+            rows = [(1, None, 0, r, k // width, pack(counts[r, k : k + width].tobytes())) for k in range(0, cells, width) if counts[r, k : k + width].any()]
             if rows:
-                yield pd.DataFrame(rows, columns=["kind", "doc_id", "size", "node", "data"])
+                yield pd.DataFrame(rows, columns=["kind", "doc_id", "text_hash", "size", "node", "data"])
 
     return run
 
@@ -186,30 +192,56 @@ def _merge_counts(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"r": pdf["size"].iloc[:1], "block": pdf["node"].iloc[:1], "data": [out.tobytes()]})
 
 
+def _local(sets: list[np.ndarray], sigs: list[np.ndarray]) -> np.ndarray:
+    """For each set of a chunk the first set that it is linked with, through others or not; exact."""
+    up = np.arange(len(sets))
+    sig = np.concatenate(sigs)
+    who = np.repeat(up, [len(x) for x in sigs])
+    at = np.argsort(sig, kind="stable")
+    sig, who = sig[at], who[at]
+    same = sig[1:] == sig[:-1]
+    if same.any():
+        nodes, root = common.roots(who[1:][same], who[:-1][same])
+        for first in np.unique(root):
+            group = nodes[root == first]
+            up[group] = group[solve([sets[i] for i in group])]
+    return up
+
+
 def _postings(sketch, boundary: int):
-    """documents -> (sig, class, node), one node for each signature and size class of a chunk.
+    """documents -> rows (kind, sig, class, node, group).
 
-    Further nodes of them are edges at once: settled, with the other node in sig.
+    Kind 0: a posted set; group is 0, or names the chunk's linked group that it stands for. Kind 1:
+    a member of a group. Kind 2: a link within the chunk, the other node in sig.
     """
 
-    def flush(sigs, nodes, classes):
-        sig = np.concatenate(sigs).view(np.int64)
+    def flush(sets, nodes, order):
+        sigs = [signatures(s, order, boundary) for s in sets]
+        up = _local(sets, sigs)
+        node = np.array(nodes, np.int64)
+        size = np.array([int(math.log(len(s)) / CLASS + 1e-9) for s in sets], np.int32)
+        members = np.bincount(up, minlength=len(up))
+        salt = xxhash.xxh3_64_intdigest(node.tobytes())
+        with np.errstate(over="ignore"):
+            name = (_mix(node.view(np.uint64) + np.uint64(salt)) | np.uint64(1)).view(np.int64)
+        group = np.where(members[up] > 1, name[up], 0)
         n = [len(x) for x in sigs]
-        node, size = np.repeat(np.array(nodes, np.int64), n), np.repeat(np.array(classes, np.int32), n)
-        at = np.lexsort((node, size, sig))
-        sig, node, size = sig[at], node[at], size[at]
+        sig, who = np.concatenate(sigs).view(np.int64), np.repeat(np.arange(len(sets)), n)
+        # One line for a list, a size class and a linked group: that of the group's first set, if it has the signature.
+        at = np.lexsort((who, up[who], size[who], sig))
+        sig, who = sig[at], who[at]
         new = np.ones(len(sig), bool)
-        new[1:] = (sig[1:] != sig[:-1]) | (size[1:] != size[:-1])
-        first = node[np.flatnonzero(new)][np.cumsum(new) - 1] if len(sig) else node
-        yield pd.DataFrame({"settled": False, "sig": sig[new], "class": size[new], "node": node[new]})
-        edge = first != node
-        if edge.any():
-            pairs = np.unique(np.stack([node[edge], first[edge]], 1), axis=0)
-            yield pd.DataFrame({"settled": True, "sig": pairs[:, 0], "class": np.int32(0), "node": pairs[:, 1]})
+        new[1:] = (sig[1:] != sig[:-1]) | (size[who[1:]] != size[who[:-1]]) | (up[who[1:]] != up[who[:-1]])
+        sig, who = sig[new], who[new]
+        yield pd.DataFrame({"kind": np.int8(0), "sig": sig, "class": size[who], "node": node[who], "group": group[who]})
+        several = np.flatnonzero(group)
+        yield pd.DataFrame({"kind": np.int8(1), "sig": 0, "class": np.int32(0), "node": node[several], "group": group[several]})
+        linked = np.flatnonzero(up != np.arange(len(up)))
+        yield pd.DataFrame({"kind": np.int8(2), "sig": node[up[linked]], "class": np.int32(0), "node": node[linked], "group": np.int64(0)})
 
     def run(batches):
         order = Order(sketch.value)
-        sigs, nodes, classes, seen, held = [], [], [], set(), 0
+        sets, nodes, seen, held = [], [], set(), 0
         for pdf in batches:
             for text in pdf["text"].tolist():
                 s = shingles(text)
@@ -217,21 +249,63 @@ def _postings(sketch, boundary: int):
                 if not len(s) or node in seen:
                     continue
                 seen.add(node)
-                sigs.append(signatures(s, order, boundary))
+                sets.append(s)
                 nodes.append(node)
-                classes.append(int(math.log(len(s)) / CLASS + 1e-9))
                 held += len(text)
                 if held >= CHUNK_CHARS:
-                    yield from flush(sigs, nodes, classes)
-                    sigs, nodes, classes, seen, held = [], [], [], set(), 0
-        if sigs:
-            yield from flush(sigs, nodes, classes)
+                    yield from flush(sets, nodes, order)
+                    sets, nodes, seen, held = [], [], set(), 0
+        if sets:
+            yield from flush(sets, nodes, order)
+
+    return run
+
+
+def _pairs(short: int):
+    """Posted sets by list and size class -> (kind 0) pairs to verify, (kind 1) the rows of lists longer than ``short``.
+
+    A pair is a, b with their groups; of a row, a is the list and b the node.
+    """
+
+    def of(sig, size, node, group):
+        start = np.flatnonzero(np.diff(sig, prepend=sig[:1] - 1))
+        length = np.diff(np.append(start, len(sig)))
+        long = np.repeat(length > short, length)
+        left, right = [], []
+        for step in range(1, min(short, int(length.max()))):
+            here = np.arange(len(sig) - step)
+            ok = (sig[here] == sig[here + step]) & (size[here + step] - size[here] <= 1) & (node[here] != node[here + step])
+            if step > 1:
+                ok &= ~long[here]
+            left.append(here[ok])
+            right.append(here[ok] + step)
+        if left:
+            x, y = np.concatenate(left), np.concatenate(right)
+            swap = node[x] > node[y]
+            x, y = np.where(swap, y, x), np.where(swap, x, y)
+            rows = np.unique(np.stack([node[x], node[y], group[x], group[y]], 1), axis=0)
+            yield pd.DataFrame({"kind": np.int8(0), "a": rows[:, 0], "b": rows[:, 1], "ga": rows[:, 2], "gb": rows[:, 3]})
+        yield pd.DataFrame({"kind": np.int8(1), "a": sig[long], "b": node[long], "ga": group[long], "gb": np.int64(0)})
+
+    def run(batches):
+        rest = None
+        for pdf in batches:
+            got = [pdf[c].to_numpy() for c in ("sig", "class", "node", "group")]
+            if rest is not None:
+                got = [np.concatenate(x) for x in zip(rest, got)]
+            # The last list may go on in the next batch.
+            end = np.searchsorted(got[0], got[0][-1]) if len(got[0]) else 0
+            rest = [x[end:] for x in got]
+            if end:
+                yield from of(*[x[:end] for x in got])
+        if rest is not None and len(rest[0]):
+            yield from of(*rest)
 
     return run
 
 
 def _sets(bits):
-    """documents -> (node, size, elements), each node once a task, of nodes that pass the filter."""
+    """documents -> (node, elements), each node once a task, of nodes that pass the filter."""
 
     def run(batches):
         keep = bits.value
@@ -244,8 +318,8 @@ def _sets(bits):
                 at = node & (len(keep) * 8 - 1)
                 if len(s) and keep[at >> 3] >> (at & 7) & 1 and node not in seen:
                     seen.add(node)
-                    rows.append((node, len(s), s.tobytes()))
-            yield pd.DataFrame(rows, columns=["node", "size", "elements"]).astype({"node": "int64", "size": "int64"})
+                    rows.append((node, s.tobytes()))
+            yield pd.DataFrame(rows, columns=["node", "elements"]).astype({"node": "int64"})
 
     return run
 
@@ -262,14 +336,21 @@ class _Union:
         self.up[np.isin(self.up, roots)] = roots[0]
 
 
-def solve(sets: list[np.ndarray]) -> np.ndarray:
-    """For each set the index of the first set in its component; exact."""
+def solve(sets: list[np.ndarray], known: np.ndarray | None = None) -> np.ndarray:
+    """For each set the index of the first set in its component; exact. Sets of one ``known`` component are together from the start.
+
+    A set is compared with all others, one after another, until all that were not are in one
+    component: any link among those is within it.
+    """
     m = len(sets)
     size = np.array([len(s) for s in sets])
     codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
     start = np.cumsum(size) - size
     mark = np.zeros(int(codes.max()) + 1, bool)
     union, done = _Union(m), np.zeros(m, bool)
+    if known is not None:
+        _, first, inverse = np.unique(known, return_index=True, return_inverse=True)
+        union.up = first[inverse]
     while True:
         left = np.flatnonzero(~done)
         if not len(left):
@@ -288,89 +369,71 @@ def solve(sets: list[np.ndarray]) -> np.ndarray:
     return union.up
 
 
+def _bytes(x) -> np.ndarray:
+    return np.frombuffer(x, np.uint64)
+
+
+def _verify(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Pairs with both sets -> those that link."""
+    ok = [bool(links(np.array([len(np.intersect1d(a, b, assume_unique=True))]), len(a), np.array([len(b)]))[0]) for a, b in zip(map(_bytes, pdf["left"]), map(_bytes, pdf["right"]))]
+    return pdf.loc[ok, ["a", "b"]]
+
+
+def _verified(batches):
+    return map(_verify, batches)
+
+
 def _solve_group(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.drop_duplicates("node").sort_values("node")
-    up = solve([np.frombuffer(x, np.uint64) for x in pdf["elements"]])
+    up = solve([_bytes(x) for x in pdf["elements"]], pdf["component"].to_numpy())
     node = pdf["node"].to_numpy()
     other = node[up]
     return pd.DataFrame({"a": node[other != node], "b": other[other != node]})
 
 
-def _compare(leaders: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-    """Links of every leader with every set of one block."""
-    leaders = leaders.rename(columns={"asked_node": "node", "asked_elements": "elements"})
-    block, leaders = block.drop_duplicates("node"), leaders.drop_duplicates("node")
-    if not len(block) or not len(leaders):
-        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-    sets = [np.frombuffer(x, np.uint64) for x in block["elements"]]
-    size = np.array([len(s) for s in sets])
+def compare(left: list[np.ndarray], right: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all links between two lists of sets."""
+    size = np.array([len(s) for s in right])
     start = np.cumsum(size) - size
-    every, codes = np.unique(np.concatenate(sets), return_inverse=True)
-    node = block["node"].to_numpy()
+    every, codes = np.unique(np.concatenate(right), return_inverse=True)
     mark = np.zeros(len(every) + 1, bool)
     a, b = [], []
-    for leader, raw in zip(leaders["node"].tolist(), leaders["elements"]):
-        s = np.frombuffer(raw, np.uint64)
+    for i, s in enumerate(left):
         at = np.minimum(np.searchsorted(every, s), len(every) - 1)
         at = at[every[at] == s]
         mark[at] = True
         shared = np.add.reduceat(mark[codes], start)
         mark[at] = False
-        hit = node[links(shared, len(s), size)]
-        hit = hit[hit != leader]
-        a.append(np.full(len(hit), leader, np.int64))
+        hit = np.flatnonzero(links(shared, len(s), size))
+        a.append(np.full(len(hit), i))
         b.append(hit)
-    return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+    return np.concatenate(a), np.concatenate(b)
 
 
-def _solve_large(sets: DataFrame, max_rounds: int = 400) -> DataFrame:
-    """Links (a, b) of components whose sets don't fit one task: sets has comp, node, size, elements, blocks.
+def _sides(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A pair of groups or blocks: links of each set of side 0 with each of side 1, as a forest."""
+    left, right = (pdf[pdf["side"] == k].drop_duplicates("node") for k in (0, 1))
+    if not len(left) or not len(right):
+        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+    i, j = compare([_bytes(x) for x in left["elements"]], [_bytes(x) for x in right["elements"]])
+    x, y = left["node"].to_numpy()[i], right["node"].to_numpy()[j]
+    node, root = common.roots(x[x != y], y[x != y])
+    return pd.DataFrame({"a": node[node != root], "b": root[node != root]})
+
+
+def _solve_blocks(sets: DataFrame) -> DataFrame:
+    """Links (a, b) of overlapping lists whose sets don't fit one task: sets has list, node, component, elements, blocks.
 
-    Each round, some leaders of each component (first a few, then as many as TASK_BYTES allow) are
-    compared with all of its sets, dealt over blocks. It ends when the sets that were no leaders
-    are in one component each.
+    The sets outside the list's largest component meet all of its sets, block by block; within the
+    largest component nothing is left to find. Blocks hold TASK_BYTES, give or take the hash.
     """
-    found = None
-    state = sets.select("comp", "node", "size").withColumn("root", F.col("node")).withColumn("done", F.lit(False))
-    state = common.written(state, "state")
-    for r in range(max_rounds):
-        open_ = state.where("not done")
-        sizes = open_.groupBy("comp", "root").agg(F.count("*").alias("n"))
-        largest = sizes.groupBy("comp").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.count("*").alias("roots"))
-        rest = open_.join(largest.where("roots > 1"), "comp").where("root <> top")
-        bytes_ = rest.groupBy("comp").agg((F.sum("size") * 8).alias("bytes"), F.count("*").alias("left"))
-        # The least of a hash draws evenly; the share is such that the drawn sets fit.
-        quota = F.least(F.lit(1.0), F.lit(float(TASK_BYTES)) / F.col("bytes"), F.lit(8.0 * 8**r) / F.col("left"))
-        drawn = rest.join(bytes_, "comp").where((F.pmod(F.xxhash64("node", F.lit(r)), F.lit(1 << 30)) < quota * (1 << 30)) | (F.col("left") <= 8))
-        leaders = common.written(drawn.select("comp", "node"), "leaders")
-        if r and rest.isEmpty():
-            break
-        if leaders.isEmpty():
-            if rest.isEmpty():
-                break
-            continue
-        chosen = leaders.select(F.col("node").alias("led"))
-        asked = sets.join(chosen, F.col("node") == F.col("led"), "left_semi").select(
-            F.col("comp").alias("c"), F.col("node").alias("node"), F.col("elements").alias("elements"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b")
-        )
-        open_comps = leaders.select(F.col("comp").alias("open")).distinct()
-        dealt = sets.join(open_comps, F.col("comp") == F.col("open"), "left_semi").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
-        asked = asked.toDF("c", "asked_node", "asked_elements", "b")
-        new = asked.groupBy("c", "b").cogroup(dealt.select("comp", "block", "node", "elements").groupBy("comp", "block")).applyInPandas(_compare, "a long, b long")
-        new = common.written(new.mapInPandas(common._local_forest, "a long, b long"), "links")
-        found = new if found is None else common.written(found.union(new), "links")
-        comp = common.components(found)
-        lead = chosen.withColumn("now", F.lit(True))
-        state = common.written(
-            state.drop("root")
-            .join(comp.select(F.col("node").alias("member"), F.col("component").alias("root")), F.col("node") == F.col("member"), "left")
-            .join(lead, F.col("node") == F.col("led"), "left")
-            .select("comp", "node", "size", F.coalesce("root", "node").alias("root"), (F.col("done") | F.coalesce("now", F.lit(False))).alias("done")),
-            "state",
-        )
-    else:
-        raise RuntimeError(f"a component was not solved in {max_rounds} rounds")
-    return found
+    sized = sets.groupBy("list", "component").agg(F.count("*").alias("n"))
+    top = common.written(sized.groupBy("list").agg(F.max_by("component", F.struct("n", "component")).alias("top")), "tops")
+    at = F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")
+    every = sets.join(top, "list").withColumn("block", at)
+    asking = every.where("component <> top").select("list", "node", "elements", F.lit(0).alias("side"), F.col("block").alias("of"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    asked = every.select("list", "node", "elements", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("of"), "block")
+    return asking.select(*asked.columns).union(asked).groupBy("list", "of", "block").applyInPandas(_sides, "a long, b long")
 
 
 def _filter_bits(nodes: DataFrame, n: int) -> np.ndarray:
@@ -392,22 +455,17 @@ def _filter_bits(nodes: DataFrame, n: int) -> np.ndarray:
     return out
 
 
-def similar(docs: DataFrame) -> DataFrame:
-    """Membership of every document: doc_id, n_shingles, component_id (smallest id reachable by links).
-
-    Null and empty texts have no shingles and are components of their own. Rows with a null id
-    link with nothing and have a null component. Rows of one id with different texts each count.
-    Other columns are ignored. An empty table gives an empty table.
-    """
+def _members_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, components): members has doc_id, text_hash, size, node of each row; components has node, component of linked nodes."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("text_hash", common.text_hash())
     texts = rows.where("doc_id is not null and text <> ''").select("text")
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     cells = MIN_CELLS
     while cells < chars // 48 and cells < MAX_CELLS:  # some 8 elements a cell
         cells *= 2
-    table = common.written(rows.mapInPandas(common.releasing(_members(cells)), "kind int, doc_id string, size long, node long, data binary"), "members")
-    members = table.where("kind = 0").select(F.col("doc_id").cast("long").alias("doc_id"), "size", "node")
+    table = common.written(rows.mapInPandas(common.releasing(_members(cells)), "kind int, doc_id string, text_hash long, size long, node long, data binary"), "members")
+    members = table.where("kind = 0").select(F.col("doc_id").cast("long").alias("doc_id"), "text_hash", "size", "node")
     sketch = np.zeros((2, cells), np.uint8)
     for r, block, raw in table.where("kind = 1").select("size", "node", "data").groupBy("size", "node").applyInPandas(_merge_counts, "r long, block long, data binary").toLocalIterator():
         sketch[r, block * len(raw) : (block + 1) * len(raw)] = np.frombuffer(raw, np.uint8)
@@ -415,43 +473,122 @@ def similar(docs: DataFrame) -> DataFrame:
     sizes = [(r[0], r[1]) for r in members.where("size between 2 and 4096").groupBy("size").count().collect()]
     boundary = choose_boundary(sizes)
 
-    posted = texts.mapInPandas(common.releasing(_postings(shared, boundary)), "settled boolean, sig long, class int, node long")
-    # A chunk posts a signature once for each size class, so a list is bounded by the number of chunks.
-    by_size = Window.partitionBy("settled", "sig").orderBy("class", "node")
-    near = F.when(F.lag("class").over(by_size) >= F.col("class") - 1, F.lag("node").over(by_size))
-    edges = posted.withColumn("before", F.when(F.col("settled"), F.col("sig")).otherwise(near)).where("before <> node").select(F.col("node").alias("a"), F.col("before").alias("b"))
-    comps = common.written(common.components(edges).withColumnRenamed("component", "comp"), "candidates")
-    n = comps.count()
-    if not n:
-        return _with_components(members, spark.createDataFrame([], "node long, component long"))
-    bits = spark.sparkContext.broadcast(_filter_bits(comps, n))
-    sized = comps.join(members.groupBy("node").agg(F.max("size").alias("size")), "node")
-    weight = sized.groupBy("comp").agg((F.sum("size") * 8).alias("bytes"))
-    placed = comps.join(weight, "comp").select("node", "comp", F.ceil(F.col("bytes") / TASK_BYTES).cast("int").alias("blocks"))
-    placed = common.written(placed, "placed")
-    placed = F.broadcast(placed) if n <= BROADCAST_NODES else placed
-    sets = texts.mapInPandas(common.releasing(_sets(bits)), "node long, size long, elements binary").join(placed, "node")
-    solved = sets.where("blocks = 1").groupBy("comp").applyInPandas(_solve_group, "a long, b long")
-    if not placed.where("blocks > 1").isEmpty():
-        large = common.written(sets.where("blocks > 1").dropDuplicates(["node"]), "large")
-        solved = solved.union(_solve_large(large))
-    linked = common.components(solved)
-    return _with_components(members, linked)
-
-
-def _with_components(members: DataFrame, linked: DataFrame) -> DataFrame:
-    """members (doc_id, size, node) and linked (node, component of nodes) -> the result."""
+    posted = texts.mapInPandas(common.releasing(_postings(shared, boundary)), "kind byte, sig long, class int, node long, group long")
+    # Members and links ride along under hashes of their own; lists have a line for each chunk, size class and linked group.
+    dealt = posted.withColumn("to", F.when(F.col("kind") == 0, F.col("sig")).otherwise(F.xxhash64("node", "kind"))).repartition(common.partitions(spark), "to")
+    ordered = dealt.sortWithinPartitions("kind", "sig", "class", "node")
+
+    def lists(batches):
+        """Posted sets become pairs and rows of long lists; members (kind 2) and links (kind 3) pass."""
+
+        def only_posted():
+            for pdf in batches:
+                mine = pdf["kind"].to_numpy() == 0
+                if mine.any():
+                    yield pdf[mine]
+                if not mine.all():
+                    other.append(pdf[~mine])
+
+        other: list[pd.DataFrame] = []
+
+        def passed():
+            for pdf in other:
+                yield pd.DataFrame({"kind": (pdf["kind"] + 1).astype("int8"), "a": pdf["sig"], "b": pdf["node"], "ga": pdf["group"], "gb": np.int64(0)})
+            other.clear()
+
+        for out in _pairs(SHORT)(only_posted()):
+            yield out
+            yield from passed()
+        yield from passed()
+
+    table = common.written(ordered.select("kind", "sig", "class", "node", "group").mapInPandas(common.releasing(lists, None), "kind byte, a long, b long, ga long, gb long"), "pairs")
+    # One pair can come from many lists.
+    pairs = common.written(table.where("kind = 0").select("a", "b", "ga", "gb").distinct(), "distinct-pairs")
+    local = table.where("kind = 3").select("a", "b")
+    groups = table.where("kind = 2").select(F.col("ga").alias("group"), F.col("b").alias("node"))
+    long_rows = table.where("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("node"), F.col("ga").alias("group"))
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        """(node, elements) of the wanted nodes, from the texts; a filter lets few others through."""
+        nodes = common.written(nodes.distinct(), "wanted")
+        bits = spark.sparkContext.broadcast(_filter_bits(nodes, nodes.count()))
+        got = texts.mapInPandas(common.releasing(_sets(bits)), "node long, elements binary")
+        return common.written(got.dropDuplicates(["node"]), "sets")
+
+    both = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    sets = sets_of(both.union(groups.select("node")).union(long_rows.select("node")))
+    left, right = sets.select(F.col("node").alias("a"), F.col("elements").alias("left")), sets.select(F.col("node").alias("b"), F.col("elements").alias("right"))
+    checked = pairs.select("a", "b").distinct().join(left, "a").join(right, "b").mapInPandas(_verified, "a long, b long")
+    links_ = common.written(checked.union(local), "links")
+    linked = common.components(links_)
+
+    # What is still open.
+    named = linked.select(F.col("node").alias("n"), "component")
+    part = lambda c: F.coalesce(c, F.col("node"))
+    open_pairs = (
+        pairs.where("ga <> 0 or gb <> 0")
+        .join(named.toDF("a", "ca"), "a", "left")
+        .join(named.toDF("b", "cb"), "b", "left")
+        .where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+        .select(F.when(F.col("ga") != 0, F.col("ga")).otherwise(F.col("a")).alias("x"), F.when(F.col("gb") != 0, F.col("gb")).otherwise(F.col("b")).alias("y"), (F.col("ga") != 0).alias("gx"), (F.col("gb") != 0).alias("gy"))
+        .distinct()
+    )
+    open_pairs = common.written(open_pairs, "open-pairs")
+    more = []
+    if not open_pairs.isEmpty():
+        sides = open_pairs.select("x", "y", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("x").alias("key"), F.col("gx").alias("g")), F.struct(F.lit(1).alias("side"), F.col("y").alias("key"), F.col("gy").alias("g")))).alias("s")).select("x", "y", "s.*")
+        expanded = sides.where("g").join(groups.withColumnRenamed("group", "key"), "key").select("x", "y", "side", "node").union(sides.where("not g").select("x", "y", "side", F.col("key").alias("node")))
+        more.append(expanded.distinct().join(sets, "node").groupBy("x", "y").applyInPandas(_sides, "a long, b long"))
+    placed = long_rows.join(named.toDF("node", "c"), "node", "left").withColumn("c", part(F.col("c")))
+    several = placed.groupBy("sig").agg((F.min("c") != F.max("c")).alias("open")).where("open")
+    rows_open = common.written(placed.join(several.select("sig"), "sig", "left_semi").select("sig", "node", "group"), "open-lists")
+    if not rows_open.isEmpty():
+        # Overlapping lists are one; their posted sets stand for their groups.
+        first = F.min("node").over(Window.partitionBy("sig"))
+        whole = rows_open.where("group <> 0").select("node", "group").distinct().join(groups.withColumnRenamed("node", "b"), "group").select(F.col("node").alias("a"), "b")
+        joined = rows_open.select(F.col("node").alias("a"), first.alias("b")).union(whole)
+        lists_ = common.components(joined).select("node", F.col("component").alias("list"))
+        held = lists_.join(sets, "node").join(named.toDF("node", "c"), "node", "left").withColumn("component", part(F.col("c"))).drop("c")
+        held = common.written(held, "open-sets")
+        weight = held.groupBy("list").agg(F.ceil(F.sum(F.length("elements")) / TASK_BYTES).cast("int").alias("blocks"), F.countDistinct("component").alias("parts")).where("parts > 1").drop("parts")
+        held = held.join(common.written(weight, "weights"), "list")
+        more.append(held.where("blocks = 1").groupBy("list").applyInPandas(_solve_group, "a long, b long"))
+        if not held.where("blocks > 1").isEmpty():
+            more.append(_solve_blocks(held.where("blocks > 1")))
+    if more:
+        every = links_
+        for df in more:
+            every = every.union(df)
+        linked = common.components(every)
+    return members, linked
+
+
+def _memberships(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id of every row."""
+    members, linked = _members_of(docs)
     least = members.where("size > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     named = least.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = common.written(named, "named")
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
     of_node = named.join(ids, "component").select(F.col("node").alias("_node"), "component_id")
     return members.join(of_node, (F.col("node") == F.col("_node")) & (F.col("size") > 0) & F.col("doc_id").isNotNull(), "left").select(
-        "doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
+        "doc_id", "text_hash", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
 
 
+def similar(docs: DataFrame) -> DataFrame:
+    """Membership of every document: doc_id, n_shingles, component_id (smallest id reachable by links).
+
+    Null and empty texts have no shingles and are components of their own. Rows with a null id
+    link with nothing and have a null component. Rows of one id with different texts each count.
+    Other columns are ignored. An empty table gives an empty table.
+    """
+    return _memberships(docs).drop("text_hash")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Rows whose document has the smallest id of its component; rows without an id stay. All columns are kept."""
-    out = similar(docs)
-    return common.without_ids(docs, out.where("component_id <> doc_id").select("doc_id"))
+    """Rows whose document has the smallest id of its component; rows without an id stay. All columns are kept.
+
+    Of an id with several texts, each text goes or stays by its own component.
+    """
+    return common.without_rows(docs, _memberships(docs).where("component_id <> doc_id").select("doc_id", "text_hash"))

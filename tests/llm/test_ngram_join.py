@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from sawmill.llm import ngram_join
 
@@ -61,21 +62,51 @@ def test_like_brute_force(spark):
         assert len({c for _, _, c in want}) < len(docs) - 30
 
 
-def test_large_components_go_in_rounds(spark, monkeypatch):
+@pytest.mark.parametrize("short, task_bytes", [(16, 32_000_000), (2, 32_000_000), (2, 12_000), (1, 4_000)])
+def test_short_and_long_lists(spark, monkeypatch, short, task_bytes):
     docs = corpus(5)
-    monkeypatch.setattr(ngram_join, "TASK_BYTES", 12_000)
+    monkeypatch.setattr(ngram_join, "SHORT", short)
+    monkeypatch.setattr(ngram_join, "TASK_BYTES", task_bytes)
     monkeypatch.setattr(ngram_join, "CHUNK_CHARS", 3_000)
     assert run(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)) == brute(docs)
 
 
-def test_shuffled_join_of_sets(spark, monkeypatch):
+def test_small_sketch(spark, monkeypatch):
     docs = corpus(6)
-    monkeypatch.setattr(ngram_join, "BROADCAST_NODES", 0)
     monkeypatch.setattr(ngram_join, "MIN_CELLS", 1 << 6)
     monkeypatch.setattr(ngram_join, "MAX_CELLS", 1 << 6)
     assert run(spark.createDataFrame(docs, "doc_id long, text string")) == brute(docs)
 
 
+def test_a_passage_in_every_document_joins_nothing(spark, monkeypatch):
+    """With a sketch that tells nothing apart the passage is in many prefixes; still only links unite."""
+    rng = random.Random(8)
+    passage = " ".join(f"p{i}" for i in range(60))
+    docs = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) + " " + passage) for i in range(150)]
+    docs += [(500 + i, docs[i][1] + " more") for i in range(10)]
+    monkeypatch.setattr(ngram_join, "MIN_CELLS", 1 << 6)
+    monkeypatch.setattr(ngram_join, "MAX_CELLS", 1 << 6)
+    seen = []
+    plain = ngram_join.common.components
+    monkeypatch.setattr(ngram_join.common, "components", lambda e: seen.append(e.count()) or plain(e))
+    assert run(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)) == brute(docs)
+    assert seen[0] <= 40  # the links that unite
+
+
+def test_local_links_are_exact():
+    rng = np.random.default_rng(4)
+    base = [np.unique(rng.integers(0, 1 << 62, 40).astype(np.uint64)) for _ in range(6)]
+    sets = []
+    for _ in range(60):
+        s = base[rng.integers(6)]
+        sets.append(np.unique(np.concatenate([s[rng.random(len(s)) < 0.93], rng.integers(0, 1 << 62, int(rng.integers(0, 4))).astype(np.uint64)])))
+    order = ngram_join.Order(np.zeros((2, 1 << 8), np.uint8))
+    up = ngram_join._local(sets, [ngram_join.signatures(s, order, 30) for s in sets])
+    i, j = ngram_join.compare(sets, sets)
+    nodes, root = ngram_join.common.roots(i, j)
+    assert (up == root).all() and len(set(up)) > 6
+
+
 def test_prefixes_hold_what_links_share():
     rng = np.random.default_rng(1)
     sketch = rng.integers(0, 40, (2, 1 << 12)).astype(np.uint8)
@@ -104,6 +135,12 @@ def test_nasty_rows(spark, nasty, clashing, empty):
     assert ngram_join.similar(empty).collect() == []
 
 
+def test_keep_one_goes_by_text(spark):
+    text = "one two three four five six seven"
+    docs = spark.createDataFrame([(1, text), (2, text), (2, "a text of its own that no other row has")], "doc_id long, text string")
+    assert sorted(map(tuple, ngram_join.keep_one(docs).collect())) == [(1, text), (2, "a text of its own that no other row has")]
+
+
 def test_keep_one(spark):
     docs = [(i, t, 0) for i, t in corpus(7, 40)]
     df = spark.createDataFrame(docs, "doc_id long, text string, node int")
