@@ -27,6 +27,8 @@ from . import common
 
 #: Characters of text in one block.
 BLOCK_CHARS = 14_000_000
+#: Words whose ids a task remembers (some 150 bytes each); tasks are enough that few meet more.
+KNOWN_WORDS = 1_000_000
 #: Bytes of ids in one frame that goes back to Spark.
 FRAME_BYTES = 1_000_000
 _MID = "block binary, to int, kind int, doc_ids binary, nulls binary, sizes binary, data binary"
@@ -146,7 +148,7 @@ def _blocks(pattern: str, n_to: int):
 
 
 def _encode_words(ranks, pattern):
-    """Word rows -> rows of ids. All rows of a word come to one task; its cache encodes each word once."""
+    """Word rows -> rows of ids. All rows of a word come to one task, which encodes it once as long as its cache holds it."""
 
     def run(batches):
         encode = _encoder(ranks.value, pattern)
@@ -159,6 +161,8 @@ def _encode_words(ranks, pattern):
                     for w in _split(_unpack(data), _unpack_numbers(sizes)):
                         x = known.get(w)
                         if x is None:
+                            if len(known) >= KNOWN_WORDS:
+                                known.clear()
                             x = known[w] = np.array(encode(w), np.uint32).tobytes()
                         got.append(x)
                     sizes = _pack_numbers(np.array([len(x) // 4 for x in got], np.int64))
@@ -169,8 +173,8 @@ def _encode_words(ranks, pattern):
     return run
 
 
-def _lay_out(pieces: Iterator[pd.DataFrame], spelled: list[bytes] | None = None) -> Iterator[pd.DataFrame]:
-    """One block: ids of its words and positions of its documents -> ids of each document (and their bytes), in small frames."""
+def _lay_out(pieces: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One block: ids of its words and positions of its documents -> ids of each document, in small frames."""
     parts, head, seen = [], [], set()
     for pdf in pieces:
         for to, kind, doc_ids, nulls, sizes, data in pdf[["to", "kind", "doc_ids", "nulls", "sizes", "data"]].itertuples(index=False, name=None):
@@ -188,7 +192,7 @@ def _lay_out(pieces: Iterator[pd.DataFrame], spelled: list[bytes] | None = None)
         held += len(x)
     table = np.concatenate([p[2] for p in parts]) if parts else np.zeros(0, "<u4")
     parts.clear()
-    out: dict[str, list] = {"doc_id": [], "ids": []} | ({"decoded": []} if spelled else {})
+    out: dict[str, list] = {"doc_id": [], "ids": []}
 
     def frame() -> pd.DataFrame:
         made = pd.DataFrame(out | {"doc_id": pd.array(out["doc_id"], dtype="Int64")})
@@ -208,8 +212,6 @@ def _lay_out(pieces: Iterator[pd.DataFrame], spelled: list[bytes] | None = None)
             out["doc_id"].append(i if ok else None)
             out["ids"].append(ids)
             bytes_held += len(ids)
-            if spelled:
-                out["decoded"].append(decode_ids(ids, spelled))
             if bytes_held >= FRAME_BYTES:
                 yield frame()
                 bytes_held = 0
@@ -217,16 +219,12 @@ def _lay_out(pieces: Iterator[pd.DataFrame], spelled: list[bytes] | None = None)
             yield frame()
 
 
-def decode_ids(ids: bytes, table: list[bytes]) -> bytes:
-    return b"".join(map(table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-
-
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, decoded: bool = False) -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """Encode ``text`` of every row: (doc_id long, ids binary: little-endian unsigned 32-bit).
 
     Null and empty texts give empty ids. Repeated rows stay repeated; null ids stay null; other
-    columns are ignored. An empty table gives an empty table. With ``decoded`` the ids are joined
-    to the token-byte table in the same pass, as ``decode`` does it: one more column.
+    columns are ignored. An empty table gives an empty table. Positions ride through the shuffle of
+    words: writing them apart would cost more disk, and cutting the texts twice more time.
     """
     spark = docs.sparkSession
     n_to = max(8, common.partitions(spark))
@@ -236,37 +234,47 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, decoded: bool
         F.col("doc_id").isNull().alias("missing"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     ).mapInPandas(common.releasing(_blocks(pattern, n_to)), _MID)
-    ids = rows.repartition(n_to, "to").mapInPandas(common.releasing(_encode_words(shared, pattern)), _MID)
-
-    table = spark.sparkContext.broadcast(token_table(ranks)) if decoded else None
+    ids = rows.repartition(n_to, "to").mapInPandas(common.releasing(_encode_words(shared, pattern), None), _MID)
 
     def finish(pieces: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from _lay_out(pieces, table.value if table else None)
+        yield from _lay_out(pieces)
         common.release()
 
-    return ids.groupBy("block").applyInPandas(finish, "doc_id long, ids binary" + ", decoded binary" * decoded)
+    return ids.groupBy("block").applyInPandas(finish, "doc_id long, ids binary")
 
 
-def token_table(ranks: dict[bytes, int]) -> list[bytes]:
-    out = [b""] * (max(ranks.values(), default=-1) + 1)
-    for token, i in ranks.items():
-        out[i] = token
-    return out
+class TokenBytes:
+    """The token-byte table as two columns by id: where a token's bytes begin, and how many they are."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        spelled = [b""] * (max(ranks.values(), default=-1) + 1)
+        for token, i in ranks.items():
+            spelled[i] = token
+        self.size = np.array([len(x) for x in spelled], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.bytes = np.frombuffer(b"".join(spelled), np.uint8)
+
+    def join(self, ids: bytes) -> bytes:
+        """The bytes of a sequence of ids, joined to the table by id and put together by position."""
+        at = np.frombuffer(ids, "<u4")
+        n = self.size[at]
+        return self.bytes[np.repeat(self.start[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))].tobytes()
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """Join the token-byte table to ``ids`` by position: adds ``decoded`` binary; null ids decode to null.
+    """Join the token-byte table to ``ids`` by id: adds ``decoded`` binary; null ids decode to null. Other columns but doc_id go.
 
     The table is the vocabulary file's, so its size is known before it is sent (about 1 MB).
     """
-    shared = encoded.sparkSession.sparkContext.broadcast(token_table(ranks))
+    shared = encoded.sparkSession.sparkContext.broadcast(TokenBytes(ranks))
 
     def run(batches):
         table = shared.value
         for pdf in batches:
-            yield pdf.assign(decoded=[None if x is None else decode_ids(x, table) for x in pdf["ids"]])
+            yield pdf.assign(decoded=[None if x is None else table.join(x) for x in pdf["ids"]])
 
-    return encoded.select(F.col("doc_id").cast("string").alias("doc_id"), "ids").mapInPandas(run, "doc_id string, ids binary, decoded binary").withColumn("doc_id", F.col("doc_id").cast("long"))
+    slim = encoded.select(F.col("doc_id").cast("string").alias("doc_id"), "ids")
+    return slim.mapInPandas(common.releasing(run, "ids"), "doc_id string, ids binary, decoded binary").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def default_vocabulary() -> tuple[dict[bytes, int], str]:
@@ -278,7 +286,7 @@ def default_vocabulary() -> tuple[dict[bytes, int], str]:
 def round_trip(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The digest of encoding and decoding: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     ranks, pattern = default_vocabulary()
-    return encode(docs, ranks, pattern, decoded=True).select(
+    return decode(encode(docs, ranks, pattern), ranks).select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
