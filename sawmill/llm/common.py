@@ -64,7 +64,7 @@ FRAME_CHARS = 4_000_000
 def small_frames(batches, column: str = "text", chars: int = FRAME_CHARS):
     """The batches cut into frames of bounded text, whatever the session's Arrow settings (64 MB a batch by default)."""
     for pdf in batches:
-        size = pdf[column].str.len().fillna(0).to_numpy(np.int64) if len(pdf) else np.zeros(0, np.int64)
+        size = np.fromiter((0 if x is None else len(x) for x in pdf[column]), np.int64, len(pdf))
         if int(size.sum()) <= chars:
             yield pdf
             continue

@@ -1,11 +1,14 @@
 """Embedding near-dedup with hierarchical navigable small-world graphs.
 
-Equal vectors collapse first. The distinct ones are dealt over shards of bounded bytes, each shard
-gets a graph, and every vector queries every shard in blocks. A query whose beam fills up with
-links, or a block whose recall audit (a sample of its queries against brute force) fails, is
-searched again with a wider beam; beyond MAX_BEAM the shard is scanned exactly, so no number of
-neighbours is capped. Cosines are verified in double precision on the given values. Tasks return
-counts and a spanning forest of their links, never all pairs, and components are their union.
+Equal vectors collapse first (by 128 bits of their values). The distinct ones are dealt over shards
+of bounded bytes, each shard gets a graph, and every vector queries every shard in blocks. Beams
+widen until a recall audit passes: a sample of the block's queries against brute force, and
+queries planted beside known vectors, so that a block whose sample has no links is measured too.
+A query whose beam fills up with links goes on to a wider one, and beyond MAX_BEAM its shard is
+scanned exactly, so no number of neighbours is capped. Cosines are verified in double precision on
+the given values. Links that a beam found count for both ends, whichever end found them. Tasks
+work through their links in pieces of bounded size and return counts, the few links of each beam
+and a spanning forest, never all pairs of a group; components are the forests' union.
 """
 
 from __future__ import annotations
@@ -26,8 +29,11 @@ COSINE = 0.95
 MIN_SHARDS, SHARD_BYTES, BLOCK = 6, 32_000_000, 8192
 #: Links of a node and layer, beam of the build, first and last beam of a search.
 M, BUILD_BEAM, BEAM, MAX_BEAM = 12, 40, 32, 256
-#: Each AUDIT-th query of a block is audited; the queries' mean recall must reach AUDIT_RECALL (own matches and queries scanned exactly do not count).
-AUDIT, AUDIT_RECALL = 20, 0.995
+#: Each AUDIT-th query of a block is audited, and PLANTED queries beside vectors of the shard; mean recall of
+#: both must reach AUDIT_RECALL (own matches and queries that go on to the exact scan do not count).
+AUDIT, PLANTED, AUDIT_RECALL = 20, 256, 0.995
+#: Pairs that a task holds at once.
+PAIRS = 2_000_000
 
 
 class Graph:
@@ -180,7 +186,7 @@ def unit(raw: np.ndarray) -> np.ndarray:
 
 
 def _vectors(batches):
-    """embeddings -> vec_id, dim (0: links with nothing), key (hash of the values), raw (float64 bytes)."""
+    """embeddings -> vec_id, dim (0: links with nothing), k1 and k2 (128 bits of the values), raw (float64 bytes)."""
     for pdf in batches:
         rows = []
         for vec_id, e in zip(pdf["vec_id"].tolist(), pdf["embedding"].tolist()):
@@ -191,10 +197,10 @@ def _vectors(batches):
             if ok:
                 v = v / np.abs(v).max()  # no overflow in the norm; a cosine keeps its value
                 raw = v.tobytes()
-                rows.append((vec_id, len(v), int(np.uint64(xxhash.xxh3_64_intdigest(raw)).astype(np.int64)), raw))
+                rows.append((vec_id, len(v), *np.frombuffer(xxhash.xxh3_128_digest(raw), np.int64).tolist(), raw))
             else:
-                rows.append((vec_id, 0, 0, None))
-        yield pd.DataFrame(rows, columns=["vec_id", "dim", "key", "raw"])
+                rows.append((vec_id, 0, 0, 0, None))
+        yield pd.DataFrame(rows, columns=["vec_id", "dim", "k1", "k2", "raw"])
 
 
 def _pack(*arrays: np.ndarray) -> list[bytes]:
@@ -203,7 +209,7 @@ def _pack(*arrays: np.ndarray) -> list[bytes]:
 
 def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     """One shard -> one row with its vectors and graph."""
-    pdf = pdf.sort_values("key")
+    pdf = pdf.sort_values("node")
     dim = int(pdf["dim"].iloc[0])
     raw = np.frombuffer(b"".join(pdf["raw"]), np.float64).reshape(-1, dim)
     graph = Graph(unit(raw))
@@ -212,7 +218,7 @@ def _build(pdf: pd.DataFrame) -> pd.DataFrame:
         {
             "dim": [dim],
             "shard": [int(pdf["shard"].iloc[0])],
-            "keys": [pdf["key"].to_numpy(np.int64).tobytes()],
+            "nodes": [pdf["node"].to_numpy(np.int64).tobytes()],
             "copies": [pdf["copies"].to_numpy(np.int64).tobytes()],
             "raws": [raw.tobytes()],
             "layers": [_pack(*layers)],
@@ -221,107 +227,137 @@ def _build(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _open(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, Graph]:
-    keys, copies = np.frombuffer(row.keys, np.int64), np.frombuffer(row.copies, np.int64)
-    raw = np.frombuffer(row.raws, np.float64).reshape(len(keys), -1)
+    nodes, copies = np.frombuffer(row.nodes, np.int64), np.frombuffer(row.copies, np.int64)
+    raw = np.frombuffer(row.raws, np.float64).reshape(len(nodes), -1)
     layers, parts = [], [zstandard.ZstdDecompressor().decompress(x) for x in row.layers]
     for k in range(0, len(parts), 2):
         members = np.frombuffer(parts[k], np.int64)
         rows = np.frombuffer(parts[k + 1], np.int32).reshape(len(members), -1)
-        table = np.full((len(keys), rows.shape[1]), -1, np.int32)
+        table = np.full((len(nodes), rows.shape[1]), -1, np.int32)
         table[members] = rows
         layers.append((members, table))
-    return keys, copies, raw, Graph(unit(raw), layers)
+    return nodes, copies, raw, Graph(unit(raw), layers)
 
 
-def find_links(graph: Graph, raw: np.ndarray, queries: np.ndarray, cosine: float, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """(query, place) of all links found, verified in double precision. The first beam widens until the audit passes."""
+def planted(graph: Graph, cosine: float, n: int = PLANTED) -> tuple[np.ndarray, np.ndarray]:
+    """(queries, places): unit vectors halfway between the threshold and the vectors that they were made from."""
+    rng = np.random.default_rng(7)
+    at = np.unique(np.linspace(0, len(graph.x) - 1, n).astype(int))
+    x = graph.x[at].astype(np.float64)
+    off = rng.normal(size=x.shape)
+    off -= (off * x).sum(1, keepdims=True) * x
+    norm = np.linalg.norm(off, axis=1, keepdims=True)
+    c = (1 + cosine) / 2
+    return np.where(norm > 1e-9, c * x + np.sqrt(1 - c * c) * off / np.maximum(norm, 1e-9), x).astype(np.float32), at
+
+
+def find_links(graph: Graph, raw: np.ndarray, queries: np.ndarray, cosine: float, beam: int = BEAM):
+    """Yields (query, place, complete) in pieces: links verified in double precision, each once.
+
+    Complete pieces hold all links of their queries (exactly scanned); ``complete`` is their array
+    of queries, else None. The beam widens until the audit passes.
+    """
+    if not len(raw) or not len(queries):
+        return
     q = unit(queries)
     norm, q_norm = np.linalg.norm(raw, axis=1), np.linalg.norm(queries, axis=1)
     near = cosine - 1e-4
 
-    def exact(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        a, b = [], []
-        for i in range(0, len(rows), 256):
-            r, c = np.nonzero(q[rows[i : i + 256]] @ graph.x.T >= near)
-            a.append(rows[i + r])
-            b.append(c)
-        return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
-
-    def walk(rows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, place) of the links found, and the queries that went on to the exact scan."""
-        a, b = [], []
-        while len(rows):
-            if width > MAX_BEAM or width >= len(graph.x):
-                x, y = exact(rows)
-                return np.concatenate([*a, x]), np.concatenate([*b, y]), rows
-            full = []
-            for i in range(0, len(rows), 512):
-                part = rows[i : i + 512]
-                ids, sims = graph.search(q[part], width)
-                hit = sims >= near
-                sat = hit.all(1)  # more links may lie beyond the beam
-                r, c = np.nonzero(hit & ~sat[:, None])
-                a.append(part[r])
-                b.append(ids[r, c])
-                full.append(part[sat])
-            rows = np.concatenate(full)
-            width *= 4
-        return np.concatenate(a), np.concatenate(b), rows
-
-    if not len(raw) or not len(q):
-        return (np.zeros(0, np.int64),) * 2
-    every = np.arange(len(q))
-    audit = every[::AUDIT]
-    truth = exact(audit)
-    own = queries[truth[0], 0] == raw[truth[1], 0]
-    own[own] = (queries[truth[0][own]] == raw[truth[1][own]]).all(1)
-    want_a, want_b = truth[0][~own], truth[1][~own]
-
-    def recall(a: np.ndarray, b: np.ndarray, scanned: np.ndarray) -> float:
-        """Mean share of their links that audited queries found; a large group, scanned exactly, hides no small one."""
-        judged = ~np.isin(want_a, scanned)
-        if not judged.any():
-            return 1.0
-        x, y = want_a[judged], want_b[judged]
-        _, at = np.unique(x, return_inverse=True)
-        hit = np.isin(x * len(raw) + y, a * len(raw) + b)
-        return float((np.bincount(at, hit) / np.bincount(at)).mean())
-
-    while recall(*walk(audit, beam)) < AUDIT_RECALL and beam <= MAX_BEAM:
+    def close(rows: np.ndarray):
+        """(query, place) by brute force, PAIRS at most compared at once."""
+        step = max(1, PAIRS // len(raw))
+        for i in range(0, len(rows), step):
+            part = rows[i : i + step]
+            r, c = np.nonzero(q[part] @ graph.x.T >= near)
+            yield part, part[r], c
+
+    def searched(x: np.ndarray, width: int):
+        """For some queries at a time: their places, what is near, and which beams are full of links."""
+        for i in range(0, len(x), 512):
+            ids, sims = graph.search(x[i : i + 512], width)
+            hit = sims >= near
+            yield i, ids, hit, hit.all(1)
+
+    def verified(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ok = np.zeros(len(a), bool)
+        for i in range(0, len(a), 100_000):
+            x, y = a[i : i + 100_000], b[i : i + 100_000]
+            ok[i : i + 100_000] = np.einsum("ij,ij->i", queries[x], raw[y]) / (q_norm[x] * norm[y]) >= cosine
+        return a[ok], b[ok]
+
+    audit = np.arange(len(q))[::AUDIT]
+    sown, source = planted(graph, cosine)
+
+    def passes(width: int) -> bool:
+        found = [((ids == source[i : i + 512, None]) & hit).any(1) | full for i, ids, hit, full in searched(sown, width)]
+        if np.concatenate(found).mean() < AUDIT_RECALL:
+            return False
+        shares = []
+        for i, ids, hit, full in searched(q[audit], width):
+            rows = audit[i : i + 512][~full]
+            r, c = np.nonzero(hit[~full])
+            have = np.sort(rows[r] * len(raw) + ids[~full][r, c])
+            for _, a, b in close(rows):
+                own = queries[a, 0] == raw[b, 0]
+                own[own] = (queries[a[own]] == raw[b[own]]).all(1)
+                a, b = a[~own], b[~own]
+                if len(a):
+                    _, at = np.unique(a, return_inverse=True)
+                    shares.append(np.bincount(at, np.isin(a * len(raw) + b, have)) / np.bincount(at))
+        return not shares or np.concatenate(shares).mean() >= AUDIT_RECALL
+
+    while beam <= MAX_BEAM and beam < len(raw) and not passes(beam):
         beam *= 2
-    a, b, _ = walk(every, beam)
-    a, b = np.concatenate([a, truth[0]]), np.concatenate([b, truth[1]])
-    pair = np.unique(a * len(raw) + b)
-    a, b = pair // len(raw), pair % len(raw)
-    ok = np.zeros(len(a), bool)
-    for i in range(0, len(a), 100_000):
-        x, y = a[i : i + 100_000], b[i : i + 100_000]
-        ok[i : i + 100_000] = np.einsum("ij,ij->i", queries[x], raw[y]) / (q_norm[x] * norm[y]) >= cosine
-    return a[ok], b[ok]
+    rows = np.arange(len(q))
+    while len(rows) and beam <= MAX_BEAM and beam < len(raw):
+        rest = []
+        for i, ids, hit, full in searched(q[rows], beam):
+            part = rows[i : i + 512]
+            r, c = np.nonzero(hit & ~full[:, None])
+            yield *verified(part[r], ids[r, c]), None
+            rest.append(part[full])  # more links may lie beyond the beam
+        rows = np.concatenate(rest)
+        beam *= 4
+    for part, a, b in close(rows):
+        yield *verified(a, b), part
+
+
+_FOUND = "kind int, a long, b long, c long, d long"
 
 
 def _ask(cosine: float):
     def run(shards: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        """A block of queries against one shard -> (kind 0) links of each query, (kind 1) a forest of the links."""
-        none = pd.DataFrame({"kind": np.zeros(0, np.int32), "a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        """A block of queries against one shard.
+
+        Kind 0: a query (a) that was scanned exactly, its links' copies (b) and the shard (c). Kind 1:
+        a forest of all links. Kind 2: a link (a, b) that a beam found, with both ends' copies (c, d).
+        """
         if not len(shards) or not len(queries):
-            return none
-        keys, copies, raw, graph = _open(next(shards.itertuples(index=False)))
-        q_keys = queries["key"].to_numpy(np.int64)
+            return pd.DataFrame({k: np.zeros(0, np.int64) for k in ("kind", "a", "b", "c", "d")}).astype({"kind": "int32"})
+        shard = int(shards["shard"].iloc[0])
+        nodes, copies, raw, graph = _open(next(shards.itertuples(index=False)))
+        q_nodes, q_copies = queries["node"].to_numpy(np.int64), queries["copies"].to_numpy(np.int64)
         q_raw = np.frombuffer(b"".join(queries["raw"]), np.float64).reshape(len(queries), -1)
-        a, b = find_links(graph, raw, q_raw, cosine)
-        other = q_keys[a] != keys[b]
-        a, b = a[other], b[other]
-        if not len(a):
-            return none
-        n = np.bincount(a, copies[b], len(q_keys)).astype(np.int64)
-        node, root = common.roots(q_keys[a], keys[b])
-        return pd.concat(
-            [
-                pd.DataFrame({"kind": 0, "a": q_keys[n > 0], "b": n[n > 0]}),
-                pd.DataFrame({"kind": 1, "a": node[node != root], "b": root[node != root]}),
-            ]
-        ).astype({"kind": "int32"})
+        out, x, y = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+        def row(kind: int, a, b, c, d) -> None:
+            out.append(pd.DataFrame({"kind": np.int32(kind), "a": a, "b": b, "c": c, "d": d}))
+
+        for a, b, complete in find_links(graph, raw, q_raw, cosine):
+            other = q_nodes[a] != nodes[b]
+            a, b = a[other], b[other]
+            x.append(q_nodes[a])
+            y.append(nodes[b])
+            if sum(map(len, x)) > PAIRS:
+                n, root = common.roots(np.concatenate(x), np.concatenate(y))
+                x, y = [n[n != root]], [root[n != root]]
+            if complete is not None:
+                row(0, q_nodes[complete], np.bincount(a, copies[b], len(q_nodes)).astype(np.int64)[complete], shard, 0)
+            elif len(a):
+                row(2, q_nodes[a], nodes[b], q_copies[a], copies[b])
+        n, root = common.roots(np.concatenate(x), np.concatenate(y))
+        row(1, n[n != root], root[n != root], 0, 0)
+        return pd.concat(out)
 
     return run
 
@@ -334,32 +370,36 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, min_shards: i
     vectors of their own. Rows with a null id link with nothing. Other columns are ignored.
     """
     rows = embeddings.select(F.col("vec_id").cast("long").cast("string").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    table = common.written(rows.mapInPandas(_vectors, "vec_id string, dim int, key long, raw binary").withColumn("vec_id", F.col("vec_id").cast("long")), "vectors")
-    distinct = common.written(table.where("dim > 0").groupBy("key").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"), F.first("dim").alias("dim"), F.first("raw").alias("raw")), "distinct")
+    table = common.written(rows.mapInPandas(_vectors, "vec_id string, dim int, k1 long, k2 long, raw binary").withColumn("vec_id", F.col("vec_id").cast("long")), "vectors")
+    distinct = table.where("dim > 0").groupBy("k1", "k2").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"), F.first("dim").alias("dim"), F.first("raw").alias("raw"))
+    distinct = common.written(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct")
     n, size = distinct.agg(F.count("*"), F.coalesce(F.sum(F.col("dim") * 8), F.lit(0))).first()
-    shards, blocks = max(min_shards, -(-size // SHARD_BYTES)), max(1, -(-n // BLOCK))
-    sharded = distinct.withColumn("shard", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(shards)).cast("int"))
+    shards, blocks = int(max(min_shards, -(-size // SHARD_BYTES))), int(max(1, -(-n // BLOCK)))
+    shard_of = lambda c: F.pmod(F.xxhash64(c, F.lit(1)), F.lit(shards)).cast("int")
+    sharded = distinct.withColumn("shard", shard_of("node"))
     graphs = common.written(
-        sharded.groupBy("dim", "shard").applyInPandas(_build, "dim int, shard int, keys binary, copies binary, raws binary, layers array<binary>"), "graphs"
+        sharded.groupBy("dim", "shard").applyInPandas(_build, "dim int, shard int, nodes binary, copies binary, raws binary, layers array<binary>"), "graphs"
     )
-    asked = distinct.select("key", "dim", "raw", F.pmod(F.xxhash64("key", F.lit(2)), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(int(shards) - 1))).alias("shard"))
-    dealt = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(int(blocks) - 1))))
+    asked = distinct.select("node", "copies", "dim", "raw", F.pmod(F.xxhash64("node", F.lit(2)), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    dealt = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     by = ["dim", "shard", "block"]
-    found = common.written(dealt.groupBy(*by).cogroup(asked.groupBy(*by)).applyInPandas(_ask(cosine), "kind int, a long, b long"), "links")
-    counts = found.where("kind = 0").groupBy(F.col("a").alias("key")).agg(F.sum("b").alias("others"))
+    found = common.written(dealt.groupBy(*by).cogroup(asked.groupBy(*by)).applyInPandas(_ask(cosine), _FOUND), "links")
+    whole = found.where("kind = 0").select(F.col("a").alias("node"), F.col("b").alias("others"), F.col("c").cast("int").alias("shard"))
+    beams = found.where("kind = 2")
+    # The other end of a link that a beam found has it too, unless it was scanned exactly against that shard.
+    back = beams.select(F.col("b").alias("node"), F.col("a").alias("other"), F.col("c").alias("copies")).withColumn("shard", shard_of("other")).join(whole.select("node", "shard"), ["node", "shard"], "left_anti")
+    each = beams.select(F.col("a").alias("node"), F.col("b").alias("other"), F.col("d").alias("copies")).union(back.select("node", "other", "copies")).distinct()
+    counts = whole.select("node", "others").union(each.select("node", F.col("copies").alias("others"))).groupBy("node").agg(F.sum("others").alias("others"))
     comps = common.components(found.where("kind = 1").select("a", "b"))
     named = (
-        distinct.select("key", "vec_id", "copies")
-        .join(counts, "key", "left")
-        .join(comps.select(F.col("node").alias("key"), "component"), "key", "left")
-        .withColumn("component", F.coalesce("component", "key"))
+        distinct.select("k1", "k2", "node", "vec_id", "copies")
+        .join(counts, "node", "left")
+        .join(comps, "node", "left")
+        .withColumn("component", F.coalesce("component", "node"))
     )
     named = common.written(named, "named")
     ids = named.groupBy("component").agg(F.min("vec_id").alias("component_id"))
-    full = named.join(ids, "component").select("key", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id")
-    return (
-        table.select("vec_id", "dim", F.when(F.col("dim") > 0, F.col("key")).alias("key"))
-        .join(full, "key", "left")
-        .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-        .withColumn("kept", F.col("vec_id") == F.col("component_id"))
-    )
+    full = named.join(ids, "component").select("k1", "k2", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id")
+    linked = table.where("dim > 0").select("vec_id", "k1", "k2").join(full, ["k1", "k2"]).select("vec_id", "n_links", "component_id")
+    alone = table.where("dim = 0").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.union(alone).select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id").withColumn("kept", F.col("vec_id") == F.col("component_id"))

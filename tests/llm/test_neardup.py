@@ -102,7 +102,54 @@ def test_a_large_group_does_not_hide_missed_pairs_from_the_audit():
                 sims[small, 1:] = 0
             return ids, sims
 
-    a, b = neardup.find_links(Narrow(), raw, raw, 0.95)
+    a, b = found(Narrow(), raw, raw)
     x = raw / np.linalg.norm(raw, axis=1)[:, None]
     true = x @ x.T >= 0.95
     assert len(a) == true.sum() and true[a, b].all()
+
+
+def found(graph, raw, queries):
+    parts = list(neardup.find_links(graph, raw, queries, 0.95))
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
+def test_a_block_whose_sample_has_no_links_is_measured(monkeypatch):
+    """Queries planted beside known vectors show that a graph finds nothing, where audited queries have no links."""
+    rng = np.random.default_rng(5)
+    raw = rng.normal(size=(1200, 16))
+    queries = rng.normal(size=(400, 16))
+    queries[7] = raw[3] * 2  # no audited place
+
+    class Blind:
+        x = neardup.unit(raw)
+
+        def search(self, q, width):
+            return np.zeros((len(q), width), np.int64), np.zeros((len(q), width), np.float32)
+
+    a, b = found(Blind(), raw, queries)
+    assert (a.tolist(), b.tolist()) == ([7], [3])
+
+
+def test_few_pairs_are_held(monkeypatch):
+    monkeypatch.setattr(neardup, "PAIRS", 5_000)
+    rng = np.random.default_rng(6)
+    raw = np.concatenate([rng.normal(size=8) + 0.01 * rng.normal(size=(900, 8)), rng.normal(size=(300, 8))])
+    pieces = list(neardup.find_links(neardup.Graph(neardup.unit(raw)), raw, raw, 0.95))
+    assert max(len(p[0]) for p in pieces) <= max(5_000, 512 * neardup.MAX_BEAM)
+    assert sum(len(p[0]) for p in pieces) >= 900 * 900
+
+
+def test_links_count_for_both_ends(spark, monkeypatch):
+    """Beams that see a link from one end only: here a vector finds those of larger ids alone."""
+    plain = neardup.find_links
+
+    def one_way(graph, raw, queries, cosine, **kw):
+        for a, b, complete in plain(graph, raw, queries, cosine, **kw):
+            ok = queries[a, 0] <= raw[b, 0] if complete is None else np.ones(len(a), bool)
+            yield a[ok], b[ok], complete
+
+    monkeypatch.setattr(neardup, "find_links", one_way)
+    rows = vectors(3, n=500)
+    want = {w[0]: w[1] for w in brute(rows)}
+    got = {g[0]: g[1] for g in run(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), min_shards=2)}
+    assert sum(got[i] == want[i] for i in want) >= 0.98 * len(want) and all(got[i] <= want[i] for i in want)
