@@ -192,14 +192,18 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model:
     """Fit on at most ``bound`` labelled documents outside the held-out fold.
 
     Only the text is an input. The sample's ids are at most ``bound`` rows, so they are broadcast;
-    its statistics (a few numbers for each) come to the driver. Null texts count as empty.
+    its statistics (a few numbers for each, one row for an id: the least ones) come to the driver.
+    Null texts count as empty.
     """
     ids = common.labelled_sample(labels, "quality", bound).select(F.col("doc_id").alias("_id"), "label")
     stats = statistics(F.col("text"))
     rows = (
         docs.select(F.col("doc_id").alias("_doc"), "text")
         .join(F.broadcast(ids), F.col("_doc") == F.col("_id"))
-        .select("_id", "label", *[c.alias(k) for k, c in stats.items()])
+        .select("_id", "label", F.struct(*[c.cast("double").alias(k) for k, c in stats.items()]).alias("of"))
+        .groupBy("_id", "label")
+        .agg(F.min("of").alias("of"))
+        .select("_id", "label", "of.*")
         .toPandas()
         .sort_values("_id")
     )
