@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Labelled documents used for the fit (least hash of the id first).
-SAMPLE = 4_000
-#: Windows of a clean document in the fit of the chain, drawn at random over all of it. With SAMPLE the only sampling here.
+#: Labelled documents used for the fit (least hash of the id first), and characters of all of them: what goes beyond is left out whole.
+SAMPLE, SAMPLE_CHARS = 4_000, 24_000_000
+#: Windows of a clean document in the fit of the chain, drawn at random over all of it. With the sample the only sampling here.
 CLEAN_WINDOWS = 3
 THRESHOLD = 0.3
 #: Tokens of a text in the fit come in windows of this length.
@@ -122,89 +122,116 @@ def _look(words: np.ndarray, hashes: np.ndarray) -> tuple:
     return int(h.min()), int((h * np.uint64(0x9E3779B1) & np.uint64(0xFFFFFFFF)).min())
 
 
-def toxic_forms(docs: list[np.ndarray], vocabulary: list[str], y: np.ndarray, least: int = 4, least_share: float = 0.012, share: float = 0.97) -> set[str]:
-    """Forms that occur in enough toxic documents and almost nowhere else; near copies count once.
+def toxic_words(docs: list[np.ndarray], vocabulary: list[str], y: np.ndarray, least: int = 4, least_share: float = 0.012, share: float = 0.97) -> np.ndarray:
+    """Which words have a form that occurs in enough toxic documents and almost nowhere else; near copies count once.
 
     Documents are arrays of places in the vocabulary.
     """
-    tox: Counter = Counter()
-    non: Counter = Counter()
     known: set[tuple] = set()
     least = max(least, int(least_share * y.sum()))
     hashes = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in vocabulary], np.uint64)
 
-    def count(label: int, into: Counter, wanted) -> None:
+    def fresh(label: int):
         for words, x in zip(docs, y):
-            if x != label or (look := (label, *_look(words, hashes))) in known:
-                continue
-            known.add(look)
-            seen = {f for w in np.unique(words).tolist() for f in forms(vocabulary[w]) if f[0] in "wp" and len(f) >= 5}
-            into.update(seen if wanted is None else seen & wanted)
+            if x == label and (look := (label, *_look(words, hashes))) not in known:
+                known.add(look)
+                yield np.unique(words)
+
+    def of(word: str) -> list[str]:
+        return [f for f in forms(word) if f[0] in "wp" and len(f) >= 5]
 
-    count(1, tox, None)
+    tox: Counter = Counter()
+    for words in fresh(1):
+        tox.update({f for w in words.tolist() for f in of(vocabulary[w])})
     often = {f for f, n in tox.items() if n >= least}
-    count(0, non, often)
+    held = {i: own for i, w in enumerate(vocabulary) if (own := often.intersection(of(w)))}
+    some = np.zeros(len(vocabulary), bool)
+    some[list(held)] = True
+    non: Counter = Counter()
+    for words in fresh(0):
+        non.update(set().union(*(held[w] for w in words[some[words]].tolist())))
     a, b = max(1, int(y.sum())), max(1, int((1 - y).sum()))
-    return {f for f in often if (tox[f] / a) / (tox[f] / a + (non[f] + 0.5) / b) >= share}
+    bad = {f for f in often if (tox[f] / a) / (tox[f] / a + (non[f] + 0.5) / b) >= share}
+    out = np.zeros(len(vocabulary), bool)
+    out[[i for i, own in held.items() if own & bad]] = True
+    return out
 
 
-def train_chain(seqs: list[np.ndarray], labels: list[np.ndarray], vocabulary: list[str], rounds: int = 80, rate: float = 0.3) -> tuple[dict[str, float], float, np.ndarray, float]:
-    """Maximum likelihood by Adam over fixed-length windows; weights belong to state 1 against state 0."""
-    counts: Counter = Counter()
-    for s in seqs:
-        for w in np.unique(s).tolist():
-            counts.update(forms(vocabulary[w]))
-    names: dict[str, int] = {}
-    of_word: dict[int, np.ndarray] = {}
-    for w in np.unique(np.concatenate(seqs)).tolist():
-        of_word[w] = np.array([names.setdefault(f, len(names)) for f in forms(vocabulary[w]) if counts[f] >= 2], np.int32)
-    del counts
-    length = max(map(len, seqs))
-    n = len(seqs)
-    mask, y = np.zeros((n, length), bool), np.zeros((n, length), np.int8)
-    for i, lab in enumerate(labels):
-        mask[i, : len(lab)] = True
-        y[i, : len(lab)] = lab
-    per = [of_word[w] for s in seqs for w in s.tolist()]
-    feat = np.concatenate(per)
-    flat = np.repeat(np.flatnonzero(mask.ravel()).astype(np.int32), [len(x) for x in per])
-    del per, of_word
-    k = len(names)
-    theta = np.zeros(k + 6)  # weights, bias, transition (4), start
-    theta[k] = -3.0
-    m, v = np.zeros_like(theta), np.zeros_like(theta)
-    last = mask.sum(1) - 1
-    for it in range(1, rounds + 1):
-        e = np.bincount(flat, theta[feat], n * length).reshape(n, length) + theta[k]
+class Windows:
+    """Labelled windows of words as arrays, and the chain's penalised likelihood over them."""
+
+    def __init__(self, seqs: list[np.ndarray], labels: list[np.ndarray], vocabulary: list[str]):
+        used = np.unique(np.concatenate(seqs)).tolist()
+        counts: Counter = Counter()
+        windows = np.bincount(np.concatenate([np.unique(s) for s in seqs]), minlength=used[-1] + 1)
+        for w in used:
+            n = int(windows[w])
+            for f in forms(vocabulary[w]):
+                counts[f] += n
+        self.names: dict[str, int] = {}
+        of_word = {w: np.array([self.names.setdefault(f, len(self.names)) for f in forms(vocabulary[w]) if counts[f] >= 2], np.int32) for w in used}
+        del counts
+        self.n, self.length = len(seqs), max(map(len, seqs))
+        self.mask, self.y = np.zeros((self.n, self.length), bool), np.zeros((self.n, self.length), np.int8)
+        for i, lab in enumerate(labels):
+            self.mask[i, : len(lab)] = True
+            self.y[i, : len(lab)] = lab
+        per = [of_word[w] for s in seqs for w in s.tolist()]
+        self.feat = np.concatenate(per)
+        self.flat = np.repeat(np.flatnonzero(self.mask.ravel()).astype(np.int32), [len(x) for x in per])
+        both = self.mask[:, 1:]
+        self.seen = np.zeros((2, 2))
+        np.add.at(self.seen, (self.y[:, :-1][both], self.y[:, 1:][both]), 1)
+
+    def objective(self, theta: np.ndarray) -> tuple[float, np.ndarray]:
+        """(negative log-likelihood with its ridge, gradient) of weights, bias, transition (4) and start."""
+        k, n, length, mask, y = len(self.names), self.n, self.length, self.mask, self.y
+        e = np.bincount(self.flat, theta[self.feat], n * length).reshape(n, length) + theta[k]
         T = np.exp(theta[k + 1 : k + 5].reshape(2, 2))
         pot = np.stack([np.ones_like(e), np.exp(np.clip(e, -25, 25))], -1)
-        alpha, beta = np.zeros((n, length, 2)), np.ones((n, length, 2))
+        alpha, beta, scale = np.zeros((n, length, 2)), np.ones((n, length, 2)), np.ones((n, length))
         alpha[:, 0] = pot[:, 0] * np.array([1.0, np.exp(theta[k + 5])])
-        alpha[:, 0] /= alpha[:, 0].sum(-1, keepdims=True)
-        for t in range(1, length):
-            alpha[:, t] = (alpha[:, t - 1] @ T) * pot[:, t]
-            alpha[:, t] /= alpha[:, t].sum(-1, keepdims=True)
+        for t in range(length):
+            if t:
+                alpha[:, t] = (alpha[:, t - 1] @ T) * pot[:, t]
+            scale[:, t] = alpha[:, t, 0] + alpha[:, t, 1]
+            alpha[:, t] /= scale[:, t, None]
         for t in range(length - 2, -1, -1):
             nxt = (pot[:, t + 1] * beta[:, t + 1]) @ T.T
-            nxt /= nxt.sum(-1, keepdims=True)
+            nxt /= (nxt[:, 0] + nxt[:, 1])[:, None]
             beta[:, t] = np.where(mask[:, t + 1, None], nxt, 1.0)
         gamma = alpha * beta
-        gamma /= gamma.sum(-1, keepdims=True)
-        xi = alpha[:, :-1, :, None] * T * (pot[:, 1:] * beta[:, 1:])[:, :, None, :]
-        xi /= xi.sum((-1, -2), keepdims=True)
+        p = gamma[..., 1] / (gamma[..., 0] + gamma[..., 1])
+        ahead = pot[:, 1:] * beta[:, 1:]
+        pairs = [[alpha[:, :-1, i] * T[i, j] * ahead[..., j] for j in (0, 1)] for i in (0, 1)]
+        total = pairs[0][0] + pairs[0][1] + pairs[1][0] + pairs[1][1]
         both = mask[:, 1:]
-        seen = np.zeros((2, 2))
-        np.add.at(seen, (y[:, :-1][both], y[:, 1:][both]), 1)
-        diff = np.where(mask, gamma[..., 1] - y, 0.0)
+        xi = np.array([[(x / total)[both].sum() for x in row] for row in pairs])
+        diff = np.where(mask, p - y, 0.0)
+        ridge = np.concatenate([np.full(k, 0.05), [0.0], np.full(5, 0.1)])
         grad = np.empty_like(theta)
-        grad[:k] = np.bincount(feat, diff.ravel()[flat], k) + 0.05 * theta[:k]
+        grad[:k] = np.bincount(self.feat, diff.ravel()[self.flat], k)
         grad[k] = diff.sum()
-        grad[k + 1 : k + 5] = (xi[both].sum(0) - seen).ravel() + 0.1 * theta[k + 1 : k + 5]
-        grad[k + 5] = diff[:, 0].sum() + 0.1 * theta[k + 5]
+        grad[k + 1 : k + 5] = (xi - self.seen).ravel()
+        grad[k + 5] = diff[:, 0].sum()
+        gold = (e * y)[mask].sum() + (self.seen.ravel() * theta[k + 1 : k + 5]).sum() + theta[k + 5] * y[:, 0].sum()
+        loss = np.log(scale)[mask].sum() - gold + 0.5 * (ridge * theta**2).sum()
+        return float(loss), grad + ridge * theta
+
+
+def train_chain(seqs: list[np.ndarray], labels: list[np.ndarray], vocabulary: list[str], rounds: int = 80, rate: float = 0.3) -> tuple[dict[str, float], float, np.ndarray, float]:
+    """Maximum likelihood by Adam over fixed-length windows; weights belong to state 1 against state 0."""
+    windows = Windows(seqs, labels, vocabulary)
+    k = len(windows.names)
+    theta = np.zeros(k + 6)  # weights, bias, transition (4), start
+    theta[k] = -3.0
+    m, v = np.zeros_like(theta), np.zeros_like(theta)
+    for it in range(1, rounds + 1):
+        _, grad = windows.objective(theta)
         m = 0.9 * m + 0.1 * grad
         v = 0.99 * v + 0.01 * grad**2
         theta -= rate * (m / (1 - 0.9**it)) / (np.sqrt(v / (1 - 0.99**it)) + 1e-8)
-    weights = {f: float(theta[j]) for f, j in names.items() if abs(theta[j]) > 0.02}
+    weights = {f: float(theta[j]) for f, j in windows.names.items() if abs(theta[j]) > 0.02}
     return weights, float(theta[k]), theta[k + 1 : k + 5].reshape(2, 2), float(theta[k + 5])
 
 
@@ -236,8 +263,7 @@ def fit_texts(texts: list[str], y: np.ndarray, seed: int = 5, clean_windows: int
     vocabulary = list(place)
     del place
     rng = np.random.default_rng(seed)
-    bad = toxic_forms(docs, vocabulary, y)
-    is_bad = np.array([any(f in bad for f in forms(w)) for w in vocabulary], bool)
+    is_bad = toxic_words(docs, vocabulary, y)
     seqs, labels = [], []
     for ws, label in zip(docs, y):
         if not len(ws):
@@ -267,16 +293,21 @@ def fit_texts(texts: list[str], y: np.ndarray, seed: int = 5, clean_windows: int
     return Model(weights, bias, transition, start, tuple(map(float, theta)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model:
-    """Fit on at most ``bound`` labelled documents outside the held-out fold; their texts come to the driver."""
+def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Model:
+    """Fit on at most ``bound`` labelled documents outside the held-out fold; their texts come to the driver.
+
+    An id counts once, with the text of least hash. Documents beyond ``chars`` characters of all of
+    them together (least hash of the id first) are left out whole.
+    """
     ids = common.labelled_sample(labels, "toxic", bound).select(F.col("doc_id").alias("_id"), "label")
-    rows = (
-        docs.select(F.col("doc_id").alias("_doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-        .join(F.broadcast(ids), F.col("_doc") == F.col("_id"))
-        .select("_id", "label", "text")
-        .toPandas()
-        .sort_values(["_id", "text"])
-    )
+    texts = docs.select(F.col("doc_id").alias("_doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(ids), F.col("_doc") == F.col("_id"))
+    one = texts.groupBy("_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text"))
+    sample = common.written(one, "toxic-sample")
+    held = sample.select("_id", F.length("text").alias("n")).orderBy(F.xxhash64("_id"), "_id").collect()
+    total = np.cumsum([r.n for r in held])
+    if len(held) and total[-1] > chars:
+        sample = sample.where(F.col("_id").isin([r["_id"] for r, t in zip(held, total) if t <= chars]))
+    rows = sample.toPandas().sort_values("_id")
     return fit_texts(rows["text"].tolist(), rows["label"].to_numpy())
 
 

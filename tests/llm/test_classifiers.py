@@ -112,6 +112,53 @@ def test_marginals_by_enumeration(few, monkeypatch):
         assert np.allclose(p, want / total if n else [])
 
 
+def test_training_by_finite_differences():
+    rng = np.random.default_rng(1)
+    words = [f"w{c}" for c in "abcdefgh"] + ["abcdef", "abcdxy"]
+    seqs = [rng.integers(0, len(words), n) for n in (1, 4, 6, 6, 2)]
+    w = toxicity.Windows(seqs, [rng.integers(0, 2, len(s)) for s in seqs], words)
+    theta = rng.normal(size=len(w.names) + 6) * 0.5
+    _, grad = w.objective(theta)
+    for j in [*range(0, len(theta), 3), *range(len(theta) - 6, len(theta))]:
+        step = np.zeros_like(theta)
+        step[j] = 1e-5
+        assert abs((w.objective(theta + step)[0] - w.objective(theta - step)[0]) / 2e-5 - grad[j]) < 1e-5
+    # The likelihood by enumeration.
+    k, ridge = len(w.names), np.concatenate([np.full(len(w.names), 0.05), [0.0], np.full(5, 0.1)])
+    want = 0.5 * (ridge * theta**2).sum()
+    for s, row, n in zip(seqs, w.y, map(len, seqs)):
+        e = [theta[k] + sum(theta[w.names[f]] for f in toxicity.forms(words[x]) if f in w.names) for x in s.tolist()]
+        score = lambda y: sum(a * b for a, b in zip(e, y)) + theta[k + 5] * y[0] + sum(theta[k + 1 + 2 * a + b] for a, b in zip(y, y[1:]))  # noqa: B023, E731
+        want += np.log(sum(np.exp(score([(bits >> i) & 1 for i in range(n)])) for bits in range(1 << n))) - score(row[:n].tolist())
+    assert abs(w.objective(theta)[0] - want) < 1e-8
+
+
+def test_rules_fit_is_the_lasso_optimum():
+    """No weight can move without raising the penalised loss: signs and sizes of the gradient."""
+    rng = np.random.default_rng(2)
+    r = (rng.random((400, 12)) < 0.4).astype(np.float32)
+    y = (rng.random(400) < 1 / (1 + np.exp(-(2 * r[:, 0] - 1.5 * r[:, 3])))).astype(np.float32)
+    r = (r - r.mean(0)) / r.std(0)
+    w, b = quality.lasso_logistic(r, y, 0.02)
+    p = 1 / (1 + np.exp(-(r @ w + b)))
+    grad = r.T @ (p - y) / len(y)
+    assert abs((p - y).mean()) < 2e-3 and (w != 0).any() and (w == 0).any()
+    assert np.allclose(grad[w != 0], -0.02 * np.sign(w[w != 0]), atol=2e-3) and (np.abs(grad[w == 0]) <= 0.02 + 2e-3).all()
+
+
+def test_fit_is_bounded(data, spark):
+    docs, labels, _ = data
+    many = docs.union(spark.range(3000).selectExpr("3 as doc_id", "'same id ' || id as text"))
+    got = []
+    plain = toxicity.fit_texts
+    try:
+        toxicity.fit_texts = lambda texts, y: got.extend(texts) or plain(texts, y)
+        toxicity.fit(many, labels, chars=20_000)
+    finally:
+        toxicity.fit_texts = plain
+    assert 0 < sum(map(len, got)) <= 20_000 and len(got) > 5
+
+
 def test_nasty_rows(data, spark, nasty, clashing, empty):
     _, labels, _ = data
     bad_labels = spark.createDataFrame([(None, 1, 0), (1, None, None), (1, 1, 0), (1, 0, 1), (3, 0, 0), (7, 1, 1)], labels.schema)
