@@ -226,6 +226,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     columns are ignored. An empty table gives an empty table. Positions ride through the shuffle of
     words: writing them apart would cost more disk, and cutting the texts twice more time.
     """
+    docs = common.in_small_batches(docs)
     spark = docs.sparkSession
     n_to = max(8, common.partitions(spark))
     shared = spark.sparkContext.broadcast(ranks)

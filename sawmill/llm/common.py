@@ -57,8 +57,24 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Characters of the texts that a batch function gets at once (or one longer text).
-FRAME_CHARS = 4_000_000
+#: Rows of an Arrow batch of texts (Spark bounds its bytes by 64 MB), and characters that a batch
+#: function gets at once (or one longer text).
+BATCH_ROWS, FRAME_CHARS = 1_000, 4_000_000
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """The same frame in a clone of its session whose Arrow batches hold BATCH_ROWS at most.
+
+    Texts go to Python in such batches; the settings of the caller's session stay as they are.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark = df.sparkSession
+    if 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        return df
+    clone = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    clone.conf.set(key, str(BATCH_ROWS))
+    rows = spark.sparkContext._jvm.org.apache.spark.sql.classic.Dataset.ofRows(clone._jsparkSession, df._jdf.queryExecution().logical())
+    return type(df)(rows, clone)
 
 
 def small_frames(batches, column: str = "text", chars: int = FRAME_CHARS):
@@ -136,7 +152,7 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 #: Rows and bytes of a table that is sent to every task; both are counted before.
-BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 24_000_000
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 4_000_000
 
 
 def text_hash(text: str | Column = "text") -> Column:
@@ -159,7 +175,7 @@ def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def join_texts(texts: DataFrame, places: DataFrame, keys: list[str], size: Column, how: str = "inner") -> DataFrame:
-    """``texts`` joined with ``places``, a written table of one row for a key; ``size`` is a row's bytes.
+    """``texts`` joined with ``places``, a written table; ``size`` is the bytes of a row of it.
 
     Places are counted first. Few are sent to every task and no text moves. Of more, their keys are
     sent as far as BROADCAST_ROWS allow, and only texts with a place are shuffled.

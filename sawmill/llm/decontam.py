@@ -121,6 +121,7 @@ def match(text: str, auto, prepared) -> list[tuple[int, int, int, int]]:
 
 
 def _hits(docs: DataFrame, benchmark: DataFrame, rate: float, block_chars: int) -> DataFrame:
+    docs = common.in_small_batches(docs)
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0

@@ -248,5 +248,5 @@ def scan_licenses(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
             yield out
 
     # Ids go as text: pandas would turn a nullable long into a double.
-    slim = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    slim = common.in_small_batches(docs).select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return slim.mapInPandas(common.releasing(run), OUT).withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -212,7 +212,8 @@ def _postings(sketch, boundary: int):
     """documents -> rows (kind, sig, class, node, group).
 
     Kind 0: a posted set; group is 0, or names the chunk's linked group that it stands for. Kind 1:
-    a member of a group. Kind 2: a link within the chunk, the other node in sig.
+    a member of a group. Kind 2: a link within the chunk, the other node in group. The latter two
+    are dealt by their node, which is in sig as well.
     """
 
     def flush(sets, nodes, order):
@@ -235,9 +236,9 @@ def _postings(sketch, boundary: int):
         sig, who = sig[new], who[new]
         yield pd.DataFrame({"kind": np.int8(0), "sig": sig, "class": size[who], "node": node[who], "group": group[who]})
         several = np.flatnonzero(group)
-        yield pd.DataFrame({"kind": np.int8(1), "sig": 0, "class": np.int32(0), "node": node[several], "group": group[several]})
+        yield pd.DataFrame({"kind": np.int8(1), "sig": node[several], "class": np.int32(0), "node": node[several], "group": group[several]})
         linked = np.flatnonzero(up != np.arange(len(up)))
-        yield pd.DataFrame({"kind": np.int8(2), "sig": node[up[linked]], "class": np.int32(0), "node": node[linked], "group": np.int64(0)})
+        yield pd.DataFrame({"kind": np.int8(2), "sig": node[linked], "class": np.int32(0), "node": node[linked], "group": node[up[linked]]})
 
     def run(batches):
         order = Order(sketch.value)
@@ -373,14 +374,30 @@ def _bytes(x) -> np.ndarray:
     return np.frombuffer(x, np.uint64)
 
 
-def _verify(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs with both sets -> those that link."""
-    ok = [bool(links(np.array([len(np.intersect1d(a, b, assume_unique=True))]), len(a), np.array([len(b)]))[0]) for a, b in zip(map(_bytes, pdf["left"]), map(_bytes, pdf["right"]))]
-    return pdf.loc[ok, ["a", "b"]]
-
-
 def _verified(batches):
-    return map(_verify, batches)
+    """Rows (a, b, elements) in order of a, that of a itself (b = a) first -> the pairs that link."""
+    mine, of = None, None
+    for pdf in batches:
+        ok = []
+        for a, b, raw in zip(pdf["a"].tolist(), pdf["b"].tolist(), pdf["elements"]):
+            s = _bytes(raw)
+            if b == a:
+                mine, of = s, a
+            elif of == a:
+                ok.append((a, b) if links(np.array([len(np.intersect1d(mine, s, assume_unique=True))]), len(mine), np.array([len(s)]))[0] else None)
+        yield pd.DataFrame([x for x in ok if x], columns=["a", "b"]).astype("int64")
+
+
+def _checked(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the written pairs (a, b) that link. The set of a is sent once, and that of b to it for each pair."""
+    eight = F.lit(24)
+    own = pairs.select(F.col("a").alias("node")).distinct()
+    left = common.join_texts(sets, common.written(own, "asking"), ["node"], eight).select(F.col("node").alias("a"), F.col("node").alias("b"), "elements")
+    right = common.join_texts(sets, pairs.select(F.col("b").alias("node"), "a"), ["node"], eight).select("a", F.col("node").alias("b"), "elements")
+    n = common.partitions(sets.sparkSession)
+    first = (F.col("a") != F.col("b")).cast("int")
+    dealt = left.union(right).repartition(n, "a").sortWithinPartitions("a", first)
+    return dealt.mapInPandas(common.releasing(_verified, "elements"), "a long, b long")
 
 
 def _solve_group(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -457,6 +474,7 @@ def _filter_bits(nodes: DataFrame, n: int) -> np.ndarray:
 
 def _members_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members, components): members has doc_id, text_hash, size, node of each row; components has node, component of linked nodes."""
+    docs = common.in_small_batches(docs)
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("text_hash", common.text_hash())
     texts = rows.where("doc_id is not null and text <> ''").select("text")
@@ -474,9 +492,8 @@ def _members_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     boundary = choose_boundary(sizes)
 
     posted = texts.mapInPandas(common.releasing(_postings(shared, boundary)), "kind byte, sig long, class int, node long, group long")
-    # Members and links ride along under hashes of their own; lists have a line for each chunk, size class and linked group.
-    dealt = posted.withColumn("to", F.when(F.col("kind") == 0, F.col("sig")).otherwise(F.xxhash64("node", "kind"))).repartition(common.partitions(spark), "to")
-    ordered = dealt.sortWithinPartitions("kind", "sig", "class", "node")
+    # A list has a line for each chunk, size class and linked group. Members and links ride along.
+    ordered = posted.repartition(common.partitions(spark), "sig").sortWithinPartitions("kind", "sig", "class")
 
     def lists(batches):
         """Posted sets become pairs and rows of long lists; members (kind 2) and links (kind 3) pass."""
@@ -493,7 +510,7 @@ def _members_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
         def passed():
             for pdf in other:
-                yield pd.DataFrame({"kind": (pdf["kind"] + 1).astype("int8"), "a": pdf["sig"], "b": pdf["node"], "ga": pdf["group"], "gb": np.int64(0)})
+                yield pd.DataFrame({"kind": (pdf["kind"] + 1).astype("int8"), "a": pdf["node"], "b": pdf["group"], "ga": np.int64(0), "gb": np.int64(0)})
             other.clear()
 
         for out in _pairs(SHORT)(only_posted()):
@@ -501,11 +518,11 @@ def _members_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             yield from passed()
         yield from passed()
 
-    table = common.written(ordered.select("kind", "sig", "class", "node", "group").mapInPandas(common.releasing(lists, None), "kind byte, a long, b long, ga long, gb long"), "pairs")
+    table = common.written(ordered.mapInPandas(common.releasing(lists, None), "kind byte, a long, b long, ga long, gb long"), "pairs")
     # One pair can come from many lists.
     pairs = common.written(table.where("kind = 0").select("a", "b", "ga", "gb").distinct(), "distinct-pairs")
     local = table.where("kind = 3").select("a", "b")
-    groups = table.where("kind = 2").select(F.col("ga").alias("group"), F.col("b").alias("node"))
+    groups = table.where("kind = 2").select(F.col("b").alias("group"), F.col("a").alias("node"))
     long_rows = table.where("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("node"), F.col("ga").alias("group"))
 
     def sets_of(nodes: DataFrame) -> DataFrame:
@@ -517,8 +534,7 @@ def _members_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     both = pairs.select(F.explode(F.array("a", "b")).alias("node"))
     sets = sets_of(both.union(groups.select("node")).union(long_rows.select("node")))
-    left, right = sets.select(F.col("node").alias("a"), F.col("elements").alias("left")), sets.select(F.col("node").alias("b"), F.col("elements").alias("right"))
-    checked = pairs.select("a", "b").distinct().join(left, "a").join(right, "b").mapInPandas(_verified, "a long, b long")
+    checked = _checked(sets, common.written(pairs.select("a", "b").distinct(), "to-check"))
     links_ = common.written(checked.union(local), "links")
     linked = common.components(links_)
 
@@ -538,7 +554,8 @@ def _members_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     if not open_pairs.isEmpty():
         sides = open_pairs.select("x", "y", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("x").alias("key"), F.col("gx").alias("g")), F.struct(F.lit(1).alias("side"), F.col("y").alias("key"), F.col("gy").alias("g")))).alias("s")).select("x", "y", "s.*")
         expanded = sides.where("g").join(groups.withColumnRenamed("group", "key"), "key").select("x", "y", "side", "node").union(sides.where("not g").select("x", "y", "side", F.col("key").alias("node")))
-        more.append(expanded.distinct().join(sets, "node").groupBy("x", "y").applyInPandas(_sides, "a long, b long"))
+        expanded = common.written(expanded.distinct(), "open-members")
+        more.append(common.join_texts(sets, expanded, ["node"], F.lit(32)).groupBy("x", "y").applyInPandas(_sides, "a long, b long"))
     placed = long_rows.join(named.toDF("node", "c"), "node", "left").withColumn("c", part(F.col("c")))
     several = placed.groupBy("sig").agg((F.min("c") != F.max("c")).alias("open")).where("open")
     rows_open = common.written(placed.join(several.select("sig"), "sig", "left_semi").select("sig", "node", "group"), "open-lists")
@@ -548,10 +565,10 @@ def _members_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         whole = rows_open.where("group <> 0").select("node", "group").distinct().join(groups.withColumnRenamed("node", "b"), "group").select(F.col("node").alias("a"), "b")
         joined = rows_open.select(F.col("node").alias("a"), first.alias("b")).union(whole)
         lists_ = common.components(joined).select("node", F.col("component").alias("list"))
-        held = lists_.join(sets, "node").join(named.toDF("node", "c"), "node", "left").withColumn("component", part(F.col("c"))).drop("c")
+        held = common.join_texts(sets, common.written(lists_, "lists"), ["node"], F.lit(16)).join(named.toDF("node", "c"), "node", "left").withColumn("component", part(F.col("c"))).drop("c")
         held = common.written(held, "open-sets")
         weight = held.groupBy("list").agg(F.ceil(F.sum(F.length("elements")) / TASK_BYTES).cast("int").alias("blocks"), F.countDistinct("component").alias("parts")).where("parts > 1").drop("parts")
-        held = held.join(common.written(weight, "weights"), "list")
+        held = held.join(common.written(weight, "weights"), "list").select("list", "node", "component", "elements", "blocks")
         more.append(held.where("blocks = 1").groupBy("list").applyInPandas(_solve_group, "a long, b long"))
         if not held.where("blocks > 1").isEmpty():
             more.append(_solve_blocks(held.where("blocks > 1")))

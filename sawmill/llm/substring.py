@@ -251,6 +251,7 @@ def remove_repeats(docs: DataFrame, cells: int = CELLS) -> DataFrame:
     no words. Other columns are ignored. An empty table gives an empty table. Fewer ``cells`` let
     more candidates pass and change no result.
     """
+    docs = common.in_small_batches(docs)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("row", F.xxhash64("text", "doc_id"))
     known = rows.where("doc_id is not null and length(text) >= 99")  # 50 words take 99 characters

@@ -348,7 +348,7 @@ def tag(docs: DataFrame, model: Model, span_at: float = 0.5) -> DataFrame:
                 spans.append([{"start": m.start(), "end": m.end(), "p": float(p[t])} for t, m in enumerate(_TOKEN.finditer(text)) if t in hit] if hit else [])
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": scores, "n_toxic": counts, "spans": spans})
 
-    slim = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    slim = common.in_small_batches(docs).select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return slim.mapInPandas(common.releasing(run), OUT).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 

@@ -1,10 +1,11 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 import corpus_pipeline
-from sawmill.llm import bpe, common, decontam, pii, quality
+from sawmill.llm import bpe, common, decontam, licenses, pii, quality
 
 from .test_classifiers import corpus, prose
 from .test_decontam import distance
@@ -70,3 +71,27 @@ def test_stages_like_a_plain_version(spark, tables):
     whole = sorted(map(tuple, corpus_pipeline.run(spark, d).collect()), key=str)
     assert whole == sorted(map(tuple, last), key=str)
     assert np.all([len(r.ids_sha256) == 64 for r in last])
+
+
+def test_settings_of_the_session_stay(spark, nasty):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    out = licenses.scan_licenses(nasty)
+    assert out.count() == nasty.count() and spark.conf.get(key) == before
+    assert out.sparkSession.conf.get(key) == str(common.BATCH_ROWS)
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    class Elsewhere:
+        conf = type("C", (), {"get": staticmethod(lambda key, default=None: default)})
+        sparkContext = type("S", (), {"master": "spark://somewhere:7077", "applicationId": "a"})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_dir(Elsewhere)
+
+
+def test_small_frames_hold_all_rows():
+    pdf = pd.DataFrame({"text": ["ab" * i for i in range(50)] + [None], "n": range(51)})
+    got = list(common.small_frames([pdf, pdf.iloc[:0]], chars=300))
+    assert pd.concat(got).reset_index(drop=True).equals(pdf) and len(got) > 5
+    assert all(x["text"].str.len().iloc[:-1].sum() <= 300 for x in got)
