@@ -40,34 +40,49 @@ class AliasFields:
 
     ``aliases`` maps an alias to (template_id, var_idx) pairs. The map is a query-time
     configuration of bounded size, so it compiles into CASE expressions on the line itself: no join,
-    no shuffle, and the template id stays a pushed-down predicate.
+    no shuffle, and the template id stays a pushed-down predicate. Segments with aliases of their own
+    (``segments``: segment to aliases) use those and not the index's.
     """
 
-    def __init__(self, aliases: dict[str, list[tuple[int, int]]], constants: dict[int, str] | None = None):
+    def __init__(self, aliases: dict[str, list[tuple[int, int]]], constants: dict[int, str] | None = None, segments: dict[str, dict[str, list[tuple[int, int]]]] | None = None):
         self.aliases = {k.lower(): list(dict.fromkeys(v)) for k, v in aliases.items()}
+        self.segments = {s: {k.lower(): list(dict.fromkeys(v)) for k, v in of.items()} for s, of in (segments or {}).items()}
         self.constants = constants or {}
 
     @property
     def names(self) -> set[str]:
-        return set(self.aliases)
+        return set(self.aliases).union(*self.segments.values())
+
+    def _scopes(self, name: str) -> list[tuple[Column | None, list[tuple[int, int]]]]:
+        """(which segments, variables) of an alias."""
+        low = name.lower()
+        if low not in self.names:
+            raise QueryError(f"unknown field: {name}")
+        rest = ~F.col("segment_id").isin(sorted(self.segments)) if self.segments else None
+        scopes = [(rest, self.aliases.get(low, []))] + [(F.col("segment_id") == s, of.get(low, [])) for s, of in sorted(self.segments.items())]
+        return [(where, held) for where, held in scopes if held]
 
     def attach(self, lines: DataFrame) -> DataFrame:
         return lines
 
     def values(self, name: str) -> list[Column]:
-        if name.lower() not in self.aliases:
-            raise QueryError(f"unknown field: {name}")
-        by_var: dict[int, list[int]] = {}
-        for template, var in self.aliases[name.lower()]:
-            by_var.setdefault(var, []).append(template)
-        return [F.when(F.col("template_id").isin(ids), F.get(F.col("vars"), F.lit(var))) for var, ids in sorted(by_var.items())]
+        out = []
+        for where, held in self._scopes(name):
+            by_var: dict[int, list[int]] = {}
+            for template, var in held:
+                by_var.setdefault(var, []).append(template)
+            for var, ids in sorted(by_var.items()):
+                mine = F.col("template_id").isin(ids)
+                out.append(F.when(mine if where is None else where & mine, F.get(F.col("vars"), F.lit(var))))
+        return out
 
     def value(self, name: str) -> Column:
         """One value for each line: the first of its template's variables under the alias."""
         return F.coalesce(*self.values(name))
 
     def owns(self, name: str) -> Column:
-        return F.col("template_id").isin(sorted({t for t, _ in self.aliases[name.lower()]}))
+        owned = [(where, F.col("template_id").isin(sorted({t for t, _ in held}))) for where, held in self._scopes(name)]
+        return any_of([mine if where is None else where & mine for where, mine in owned])
 
 
 def long_form(lines: DataFrame, fields: ColumnFields | AliasFields, name: str, *keep: Column) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import template_id
-from ..functions.text import DELIMITERS, tokens_of
+from ..functions.text import DELIMITERS, tokens_of, wildcard
 
 SAMPLE, LEAST, SIMILARITY = 0.01, 2_000, 0.5
 #: Lines (or templates) of one token count that one task clusters. More are dealt into chunks, and the chunks' templates clustered again.
@@ -23,7 +23,6 @@ PER_LENGTH = 20_000
 #: Templates are clustered again as long as a round leaves at most this share of them.
 SHRINKS = 0.9
 _TOKEN = re.compile(r"[^ \t:=,]+|[ \t:=,]")
-_SLOT = re.compile(r"<V(\d+)>")
 
 
 @dataclass(frozen=True)
@@ -39,9 +38,28 @@ class Template:
 
     @property
     def id(self) -> int:
+        """Its id where no other template has the same hash; see ``numbered``."""
         return template_id(self.content)
 
 
+def numbered(templates: list[Template]) -> dict[Template, int]:
+    """Every template's id within its segment: its hash, or the next free number after it; beyond 16 bits once those are used up.
+
+    The order of the texts decides who comes first, so the same templates have the same ids.
+    """
+    taken: set[int] = set()
+    out = {}
+    for t in sorted(set(templates), key=lambda t: (t.content, len(t.tokens), [x or "" for x in t.tokens])):
+        at = t.id
+        if len(taken) >= 0xFFFF:
+            at = len(taken) + 1
+        while at in taken:
+            at = at % 0xFFFF + 1
+        taken.add(at)
+        out[t] = at
+    return out
+
+
 def split(line: str) -> list[str]:
     return _TOKEN.findall(line)
 
@@ -154,7 +172,7 @@ def match(lines: DataFrame, templates: list[Template]) -> DataFrame:
             index[n] = {}
             for t in ts:
                 index[n].setdefault(t.tokens[0], []).append(t)
-        ids = {t: t.id for t in shared.value}
+        ids = numbered(shared.value)
         for pdf in batches:
             got_id, got_vars = [], []
             for raw in pdf["raw"]:
@@ -171,21 +189,20 @@ def match(lines: DataFrame, templates: list[Template]) -> DataFrame:
     return lines.mapInPandas(run, ", ".join([*names, "template_id int", "vars array<string>"]))
 
 
-def segments(content: str) -> list[dict]:
-    """A template's text as segments: kind (const, delim, var), text, var."""
-    out = []
-    for part in re.findall(r"<V\d+>|[ \t:=,]|(?:(?!<V\d+>)[^ \t:=,])+", content):
-        m = _SLOT.fullmatch(part)
-        kind = "var" if m else "delim" if part in DELIMITERS else "const"
-        out.append({"kind": kind, "text": None if m else part, "var": int(m[1]) if m else None})
+def segments(template: Template) -> list[dict]:
+    """A template as segments: kind (const, delim, var), text, var."""
+    out, var = [], 0
+    for t in template.tokens:
+        out.append({"kind": "var" if t is None else "delim" if t in DELIMITERS else "const", "text": t, "var": var if t is None else None})
+        var += t is None
     return out
 
 
 def catalog(matched: DataFrame, templates: list[Template]) -> DataFrame:
     """The template dimension: (segment_id,) template_id, count, content, segs; most frequent first."""
     spark = matched.sparkSession
-    rows = [(t.id, t.content, segments(t.content)) for t in templates]
-    table = spark.createDataFrame(rows, "template_id int, content string, segs array<struct<kind:string,text:string,var:int>>").dropDuplicates(["template_id"])
+    rows = [(i, t.content, segments(t)) for t, i in numbered(templates).items()]
+    table = spark.createDataFrame(rows, "template_id int, content string, segs array<struct<kind:string,text:string,var:int>>")
     keys = [c for c in ("segment_id",) if c in matched.columns]
     counts = matched.where("template_id <> -1").groupBy(*keys, "template_id").agg(F.count("*").alias("count"))
     return counts.join(F.broadcast(table), "template_id").select(*keys, "template_id", "count", "content", "segs").orderBy(*keys, F.desc("count"), "template_id")
@@ -194,7 +211,7 @@ def catalog(matched: DataFrame, templates: list[Template]) -> DataFrame:
 def rebuild(matched: DataFrame, catalog_: DataFrame) -> DataFrame:
     """Lines put together again from constants and variables: adds ``rebuilt`` (outliers: the line itself)."""
     keys = [c for c in ("segment_id",) if c in matched.columns and c in catalog_.columns]
-    joined = matched.join(F.broadcast(catalog_.select(*keys, "template_id", "segs")), [*keys, "template_id"], "left")
+    joined = matched.join(catalog_.select(*keys, "template_id", "segs"), [*keys, "template_id"], "left")
     parts = F.transform("segs", lambda s: F.when(s["kind"] == "var", F.get(F.col("vars"), s["var"])).otherwise(s["text"]))
     return joined.withColumn("rebuilt", F.when(F.col("template_id") == -1, F.col("raw")).otherwise(F.array_join(parts, ""))).drop("segs")
 
@@ -210,6 +227,15 @@ def variables(matched: DataFrame) -> DataFrame:
     return matched.where("template_id <> -1").select(*keys, "template_id", F.posexplode("vars").alias("var_idx", "value"))
 
 
+def select_values(matched: DataFrame, template: int, var: int, pattern: str | None = None, segment: str | None = None) -> DataFrame:
+    """One variable's column (segment_id, line_no, value), of lines whose value holds ``pattern`` (``*`` stands for any run)."""
+    rows = matched.where(F.col("template_id") == template)
+    if segment is not None:
+        rows = rows.where(F.col("segment_id") == segment)
+    out = rows.select("segment_id", "line_no", F.get("vars", F.lit(var)).alias("value")).where("value is not null")
+    return out if not pattern else out.where(wildcard(F.col("value"), pattern))
+
+
 #: Bits of the character classes of a value.
 CLASSES = {"0-9": 1, "A-F": 2, "a-f": 4, "G-Z": 8, "g-z": 16}
 SYMBOL = 32

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.numeric import lenient
 from ..plans.ast import QueryError
@@ -104,8 +105,50 @@ def average(found: DataFrame, fields, name: str) -> DataFrame:
     return long_form(found, fields, name).where("value <> ''").agg(F.coalesce(F.avg(lenient(F.col("value"))), F.lit(0.0)).alias("value"))
 
 
+#: Values with their counts that come to the driver to be put in order.
+ORDERED = 50_000
+
+
+def _at_rank(x: DataFrame, rank: int, total: int, accuracy: int = 10_000) -> float:
+    """The value of ``x`` (column ``x``, no nulls) at a rank from 0, exactly.
+
+    A quantile sketch, merged from partial ones, brackets the rank; the bracket is narrowed until its
+    distinct values are at most ORDERED, which are counted and put in order. Each step reads the
+    input once and leaves some 4 / accuracy of the rows, so two do for any size.
+    """
+    below, held, part = 0, total, x
+    while True:
+        if held > ORDERED:
+            q = (rank - below) / max(1, held - 1)
+            edges = [max(0.0, q - 2 / accuracy), min(1.0, q + 2 / accuracy)]
+            low, high = part.agg(F.percentile_approx("x", F.array(*map(F.lit, edges)), F.lit(accuracy)).alias("e")).first()["e"]
+            inner = part.where(F.col("x").between(low, high))
+            n, under = part.agg(F.count_if(F.col("x").between(low, high)), F.count_if(F.col("x") < low)).first()
+            if below + under <= rank < below + under + n and (low == high or n < held):
+                below, held, part = below + under, n, inner
+                if low == high:
+                    return low
+                continue
+        rows = part.groupBy("x").agg(F.count("*").alias("n")).orderBy("x").limit(ORDERED).collect()
+        for r in rows:
+            below += r["n"]
+            held -= r["n"]
+            if below > rank:
+                return r["x"]
+        part = part.where(F.col("x") > rows[-1]["x"])
+
+
+def _values_at(found: DataFrame, fields, name: str, ranks) -> DataFrame:
+    """The mean of the values at ``ranks(total)``; 0 without values."""
+    x = long_form(found, fields, name).where("value <> ''").select(lenient(F.col("value")).alias("x"))
+    total = x.count()
+    got = [_at_rank(x, r, total) for r in sorted(set(ranks(total)))] if total else [0.0]
+    return found.sparkSession.createDataFrame([(sum(got) / len(got),)], "value double")
+
+
 def median(found: DataFrame, fields, name: str) -> DataFrame:
-    return long_form(found, fields, name).where("value <> ''").agg(F.coalesce(F.median(lenient(F.col("value"))), F.lit(0.0)).alias("value"))
+    """The middle value, or the mean of the two in the middle."""
+    return _values_at(found, fields, name, lambda n: [(n - 1) // 2, n // 2])
 
 
 def stddev(found: DataFrame, fields, name: str) -> DataFrame:
@@ -113,22 +156,9 @@ def stddev(found: DataFrame, fields, name: str) -> DataFrame:
     return long_form(found, fields, name).where("value <> ''").agg(F.coalesce(F.stddev_pop(lenient(F.col("value"))), F.lit(0.0)).alias("value"))
 
 
-def percentile(found: DataFrame, fields, name: str, p: float, accuracy: int = 10_000) -> DataFrame:
-    """The value at floor rank ``p * (n - 1) / 100``, without interpolation; 0 without values.
-
-    A quantile sketch brackets the rank (its error is n / accuracy at most), so only some
-    4 / accuracy of the values are sorted, whatever their distribution.
-    """
-    x = long_form(found, fields, name).where("value <> ''").select(lenient(F.col("value")).alias("x"))
-    q = p / 100
-    low, high = (F.percentile_approx("x", F.lit(min(1.0, max(0.0, v))), F.lit(accuracy)) for v in (q - 2 / accuracy, q + 2 / accuracy))
-    edges = F.broadcast(x.agg(low.alias("low"), high.alias("high"), F.count("*").alias("total")))
-    placed = x.join(edges)
-    below = placed.where("x < low").agg(F.count("*").alias("below"))
-    inner = placed.where("x between low and high").groupBy("x", "total").agg(F.count("*").alias("n")).join(F.broadcast(below))
-    upto = F.col("below") + F.sum("n").over(Window.orderBy("x"))
-    rank = F.floor(F.lit(p) * (F.col("total") - 1) / 100)
-    return inner.withColumn("upto", upto).where(F.col("upto") > rank).agg(F.coalesce(F.min("x"), F.lit(0.0)).alias("value"))
+def percentile(found: DataFrame, fields, name: str, p: float) -> DataFrame:
+    """The value at floor rank ``p * (n - 1) / 100``, without interpolation; 0 without values."""
+    return _values_at(found, fields, name, lambda n: [math.floor(p * (n - 1) / 100)])
 
 
 def grouped_average(found: DataFrame, fields, value: str, group: str) -> DataFrame:

@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import numeric, text
 from .ast import All, And, FieldCompare, FieldMatch, Node, Not, Or, Phrase, QueryError, Regex, TimeRange
@@ -77,23 +76,26 @@ def with_fallbacks(lines: DataFrame, tree: Node, fields) -> DataFrame:
 
     Where no variable of the alias holds the value in a (segment, template), the template's
     constants decide; where the alias has no hit at all, any line that holds the value counts.
-    Both are ``any`` aggregates over small keys, joined back by broadcast.
+    Whether there is a hit is one question to the input, which ends at the first. Only templates of
+    the alias whose constants hold the value are then counted and joined; mostly there are none.
     """
     if not hasattr(fields, "aliases"):
         return lines
     for node in dict.fromkeys(n for n in field_nodes(tree) if not n.strict):
         hit = variable_hit(node, fields)
         name = _fallback_name(node)
-        keys = [c for c in ("segment_id", "template_id") if c in lines.columns]
-        by_template = lines.groupBy(*keys).agg(F.max(hit).alias("_any")).withColumn("_some", F.max("_any").over(Window.partitionBy()))
+        line = F.coalesce(F.col("raw"), F.lit(""))
         value = node.value.lower() if node.ci else node.value
-        constants = {t: c for t, c in fields.constants.items() if value in (c.lower() if node.ci else c)}
-        in_constant = F.col("template_id").isin(sorted(constants)) if constants else F.lit(False)
-        owns = fields.owns(node.name)
-        small = by_template.select(*[F.col(k).alias(f"_{k}") for k in keys], "_any", "_some")
+        if lines.where(hit).limit(1).isEmpty():
+            lines = lines.withColumn(name, F.lower(line).contains(value) if node.ci else line.contains(value))
+            continue
+        constants = sorted(t for t, c in fields.constants.items() if value in (c.lower() if node.ci else c))
+        if not constants:
+            lines = lines.withColumn(name, F.lit(False))
+            continue
+        keys = [c for c in ("segment_id", "template_id") if c in lines.columns]
+        mine = fields.owns(node.name) & F.col("template_id").isin(constants)
+        held = lines.where(mine & hit).select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct().withColumn("_any", F.lit(True))
         match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
-        line = F.coalesce(F.col("raw"), F.lit(""))
-        whole = F.lower(line).contains(value) if node.ci else line.contains(value)
-        fallback = F.when(F.col("_some"), owns & ~F.col("_any") & in_constant).otherwise(whole)
-        lines = lines.join(F.broadcast(small), match, "left").withColumn(name, fallback).drop("_any", "_some", *[f"_{k}" for k in keys])
+        lines = lines.join(held, match, "left").withColumn(name, mine & F.col("_any").isNull()).drop("_any", *[f"_{k}" for k in keys])
     return lines
