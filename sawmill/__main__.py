@@ -66,7 +66,7 @@ def run(spark: SparkSession, argv: list[str]) -> str:
         return engine.render(engine.Engine(catalog).query(args.index, args.text, args.limit), command, args.pretty) + "\n"
     if args.command == "ingest":
         if args.stream:
-            ingest.start(catalog, args.index, source.stream_text(spark, args.path), args.stream).awaitTermination()
+            ingest.start(catalog, args.index, ingest.stream(catalog, args.index, args.path), args.stream).awaitTermination()
             return ""
         return f"{ingest.bulk(catalog, args.index, source.read_text(spark, args.path))}\n"
     if args.command == "create":

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,22 +50,47 @@ def query(lines: DataFrame, text: str, fields=None, limit: int | None = search.D
 
 
 class Engine:
-    """Queries over the indices of a catalog."""
+    """Queries over the indices of a catalog.
 
-    def __init__(self, catalog: Catalog):
-        self.catalog = catalog
+    With ``session_cache`` the last so many results stay with Spark, under the query and the
+    segments that it saw; new segments make a query run again. ``counters`` holds how many queries
+    were planned and answered from the cache, and the seconds that planning took.
+    """
+
+    def __init__(self, catalog: Catalog, session_cache: int = 0):
+        self.catalog, self.session_cache = catalog, session_cache
+        self.held: dict[tuple, DataFrame] = {}
+        self.counters = {"queries": 0, "cached": 0, "plan_seconds": 0.0}
 
     def query(self, index: str, text: str, limit: int | None = search.DEFAULT_LIMIT, exact_distinct: bool = False) -> DataFrame:
         if not index or not text:
             raise StoreError("missing index or q")
+        began = time.monotonic()
+        self.counters["queries"] += 1
+        if not self.session_cache:
+            out = self._planned(index, text, limit, exact_distinct)
+        else:
+            seen = tuple(sorted(map(tuple, self.catalog.segments(index).select("segment_id", "written_ms").collect())))
+            key = (index, text, limit, exact_distinct, seen)
+            out = self.held.pop(key, None)
+            self.counters["cached"] += out is not None
+            out = self._planned(index, text, limit, exact_distinct).persist() if out is None else out
+            self.held[key] = out
+            while len(self.held) > self.session_cache:
+                self.held.pop(next(iter(self.held))).unpersist()
+        self.counters["plan_seconds"] += time.monotonic() - began
+        return out
+
+    def _planned(self, index: str, text: str, limit: int | None, exact_distinct: bool) -> DataFrame:
         lines = self.catalog.lines(index)
         aliases = self.catalog.aliases(index)
+        scopes = {s: a.of for s, a in self.catalog.scopes(index).items()}
         templates = self.catalog.templates(index)
         fields = None
-        if aliases.of:
-            wanted = sorted({t for vs in aliases.of.values() for t, _ in vs})
+        if aliases.of or scopes:
+            wanted = sorted({t for of in (aliases.of, *scopes.values()) for vs in of.values() for t, _ in vs})
             content = {r[0]: r[1] for r in templates.where(F.col("template_id").isin(wanted)).select("template_id", "content").distinct().collect()}
-            fields = AliasFields(aliases.of, content)
+            fields = AliasFields(aliases.of, content, scopes)
         left, command = plan(text)
         if command is None:
             return search.records(search.search(lines, left, limit, fields), templates)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +13,8 @@ from ..operators import discover, mining, search, stats, timechart
 from ..operators.aliases import Aliases, table, values
 from ..operators.fields import ColumnFields
 from ..sources import lines as source
-from ..sources.store import expired
-from ..streaming.ingest import live_timechart
+from ..sources.store import Catalog, expired, scratch
+from ..streaming import ingest
 from . import engine
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,10 +76,10 @@ _docs("password=*5", "contains(text, 'password') AND contains(text, '=') AND con
 _docs("/[0-9]{3}-[0-9]{4}/", "regexp_matches(text, '[0-9]{3}-[0-9]{4}')", "search_regex")
 
 
-@_query("search_pages_url", "SELECT page_id, url FROM pages WHERE contains(url, 'https') AND contains(html, 'href')")
+@_query("search_pages_url", "SELECT page_id, url FROM pages WHERE contains(url || ' ' || html, 'https') AND contains(url || ' ' || html, 'href')")
 def search_pages_url(spark, sf_dir):
     pages = _read(spark, sf_dir, "pages")
-    return search.matching(pages.withColumn("raw", F.concat_ws(" ", "url", "html")), "https AND href").where(F.col("url").contains("https") & F.col("html").contains("href")).select("page_id", "url")
+    return search.matching(pages.withColumn("raw", F.concat_ws(" ", "url", "html")), "https AND href").select("page_id", "url")
 
 
 @_query("search_limit", "SELECT doc_id, n_chars FROM documents WHERE contains(text, 'License') ORDER BY doc_id LIMIT 20")
@@ -87,6 +88,12 @@ def search_limit(spark, sf_dir):
     return search.search(lines, "License", 20).select("doc_id", "n_chars")
 
 
+@_query("search_cli_limit", "SELECT doc_id FROM documents WHERE contains(text, 'e') ORDER BY doc_id LIMIT 200")
+def search_cli_limit(spark, sf_dir):
+    lines = source.table_view(_read(spark, sf_dir, "documents"), "text", "doc_id")
+    return search.search(lines, "e", search.CLI_LIMIT).select("doc_id")
+
+
 @_query("search_records", "SELECT text AS log_line, -1::INT AS template_id, 'OUTLIER' AS template, doc_id AS line_number FROM documents WHERE contains(text, 'Apache')")
 def search_records(spark, sf_dir):
     lines = source.table_view(_read(spark, sf_dir, "documents"), "text", "doc_id")
@@ -154,16 +161,28 @@ _piped("by_count", "| by(event_type) count()", "SELECT event_type AS key, count(
 _piped("stats_distinct_by", "| stats distinct(user_id) by event_type", "SELECT event_type AS key, count(DISTINCT user_id) AS value FROM events GROUP BY event_type")
 _piped("by_distinct", "| by(event_type) distinct(user_id)", "SELECT event_type AS key, count(DISTINCT user_id) AS value FROM events GROUP BY event_type")
 _piped("distinct_exact", "click | distinct(user_id)", f"SELECT 'distinct' AS op, 'user_id' AS field, count(DISTINCT user_id) AS value {_CLICK}", exact=True)
-_piped("distinct_sketch", "click | stats distinct(user_id)", None)
+
+
+@_query("distinct_sketch", f"SELECT 'distinct' AS op, 'user_id' AS field, count(DISTINCT user_id) AS exact, true AS close {_CLICK}")
+def distinct_sketch(spark, sf_dir):
+    """The sketch's estimate beside the exact count: at most 5 % apart."""
+    lines, fields = _events(spark, sf_dir)
+    guess, exact = (engine.query(lines, "click | stats distinct(user_id)", fields, exact_distinct=e).withColumnRenamed("value", n) for e, n in ((False, "guess"), (True, "exact")))
+    return guess.join(exact, ["op", "field"]).select("op", "field", "exact", (F.abs(F.col("guess") - F.col("exact")) <= F.greatest(F.lit(1), 0.05 * F.col("exact"))).alias("close"))
+
+
 _piped("top_k", "| top 3 event_type", "SELECT event_type AS value, count(*) AS count FROM events GROUP BY event_type ORDER BY count DESC, value LIMIT 3")
 _piped("top_call", "click | top(user_id,20)", f"SELECT user_id::VARCHAR AS value, count(*) AS count {_CLICK} GROUP BY user_id ORDER BY count DESC, value LIMIT 20")
 _piped("top_default", "| top(user_id)", "SELECT user_id::VARCHAR AS value, count(*) AS count FROM events GROUP BY user_id ORDER BY count DESC, value LIMIT 10")
 
 
-@_query("distinct_sketch_merge")
+@_query("distinct_sketch_merge", "SELECT count(DISTINCT user_id) AS exact, true AS close FROM events")
 def distinct_sketch_merge(spark, sf_dir):
+    """Sketches of each event type merged, beside the exact count."""
     lines, fields = _events(spark, sf_dir)
-    return stats.merged(stats.sketch(lines, fields, "user_id", "event_type"))
+    merged = stats.merged(stats.sketch(lines, fields, "user_id", "event_type"))
+    exact = lines.agg(F.countDistinct("user_id").alias("exact"))
+    return merged.join(exact).select("exact", (F.abs(F.col("value") - F.col("exact")) <= F.greatest(F.lit(1), 0.05 * F.col("exact"))).alias("close"))
 
 
 # --------------------------------------------------------------------- library statistics
@@ -226,10 +245,11 @@ _chart("timechart_bins_range", "| timechart bins=5 start=1704499200000 end=17049
 _chart("timechart_bins_by", "| timechart bins=6 count by event_type", _bins("true", 6, group="event_type"))
 
 
-@_query("timechart_nested")
+@_query("timechart_nested", f"SELECT key, '[' || string_agg('{{\"ts\":' || ts || ',\"count\":' || n || '}}', ',' ORDER BY ts) || ']' AS points FROM (SELECT event_type AS key, ms - ms % 86400000 AS ts, count(*) AS n FROM {LINES} GROUP BY ALL) GROUP BY key")
 def timechart_nested(spark, sf_dir):
+    """Points of each group as JSON."""
     lines, fields = _events(spark, sf_dir)
-    return timechart.nested(timechart.by_span(lines, 86_400_000, fields, "event_type"))
+    return timechart.nested(timechart.by_span(lines, 86_400_000, fields, "event_type")).select("key", F.to_json("points").alias("points"))
 
 
 @_query("timechart_orders", "SELECT (epoch_us(o_orderdate) // 1000) - (epoch_us(o_orderdate) // 1000) % 2592000000 AS ts, count(*) AS count FROM orders GROUP BY ALL")
@@ -241,7 +261,7 @@ def timechart_orders(spark, sf_dir):
 @_query("timechart_window", "SELECT epoch_us(time_bucket(INTERVAL '1 hour', ts)) // 1000 AS ts, event_type AS key, count(*) AS count FROM events GROUP BY ALL")
 def timechart_window(spark, sf_dir):
     events = _read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return live_timechart(events, "1 hour", "10 minutes", "event_type")
+    return ingest.live_timechart(events, "1 hour", "10 minutes", "event_type")
 
 
 # ------------------------------------------------------ templates, aliases, store, ingest
@@ -260,46 +280,64 @@ def mining_rebuild(spark, sf_dir):
     return mining.rebuild(matched, mining.catalog(matched, templates)).select("line_no", "raw", "rebuilt")
 
 
-@_query("mining_coverage", "SELECT count(*) AS lines FROM events")
+@_query("mining_coverage", "SELECT count(*) AS lines, count(*) AS matched FROM events")
 def mining_coverage(spark, sf_dir):
-    """Lines of all templates and outliers together."""
+    """Lines, and those that fit a template: all of them, since event lines are of one make."""
     matched, _ = _mined(spark, sf_dir)
-    return matched.groupBy("template_id").agg(F.count("*").alias("n")).agg(F.sum("n").alias("lines"))
+    return matched.agg(F.count("*").alias("lines"), F.count_if(F.col("template_id") != -1).alias("matched"))
 
 
-@_query("mining_catalog")
+@_query("mining_catalog", "SELECT 'events' AS segment_id, count(*) AS lines, true AS apart, true AS told FROM events")
 def mining_catalog(spark, sf_dir):
+    """Counts of all templates together; ids apart from each other, and constants that tell what the lines say."""
     matched, templates = _mined(spark, sf_dir)
-    return mining.catalog(matched, templates).select("segment_id", "template_id", "count", "content")
+    rows = mining.catalog(matched, templates)
+    return rows.groupBy("segment_id").agg(F.sum("count").alias("lines"), (F.countDistinct("template_id") == F.count("*")).alias("apart"), F.bool_and(F.col("content").contains("user=") & F.col("content").contains("props=")).alias("told"))
 
 
-@_query("mining_profile")
+@_query("mining_profile", "SELECT max(length(user_id::VARCHAR)) AS max_length, 1 AS classes, count(*) AS rows FROM events")
 def mining_profile(spark, sf_dir):
-    matched, _ = _mined(spark, sf_dir)
-    return mining.profile(matched)
+    """The column of the variable behind ``user=``: its longest value, its classes (digits only), its rows."""
+    matched, templates = _mined(spark, sf_dir)
+    users = spark.createDataFrame(_variables_behind(templates, "user"), "template_id int, var_idx int")
+    return mining.profile(matched).join(users, ["template_id", "var_idx"]).agg(F.max("max_length").cast("int").alias("max_length"), F.bit_or("classes").alias("classes"), F.sum("rows").alias("rows"))
+
+
+def _variables_behind(templates: list[mining.Template], name: str) -> list[tuple[int, int]]:
+    """Every template's variable behind ``name=``."""
+    out = []
+    for t, i in mining.numbered(templates).items():
+        for k, token in enumerate(t.tokens):
+            if token is None and k >= 2 and t.tokens[k - 1] == "=" and t.tokens[k - 2] == name:
+                out.append((i, sum(x is None for x in t.tokens[:k])))
+    return out
+
+
+_USERS = "SELECT '{}' AS alias, user_id::VARCHAR AS value, count(*) AS n FROM events GROUP BY user_id"
 
 
-@_query("alias_count_by", "SELECT 'user' AS alias, user_id::VARCHAR AS value, count(*) AS n FROM events GROUP BY user_id")
+@_query("alias_count_by", _USERS.format("user"))
 def alias_count_by(spark, sf_dir):
     """Every template's variable behind ``user=`` under one alias, joined by template and counted."""
     matched, templates = _mined(spark, sf_dir)
-    aliases = Aliases()
-    for t in templates:
-        var = -1
-        for i, token in enumerate(t.tokens):
-            var += token is None
-            if token is None and i >= 2 and t.tokens[i - 1] == "=" and t.tokens[i - 2] == "user":
-                aliases.add("user", (t.id, var))
-    # A user whom sampling saw in one template only is a constant there.
-    found = values(matched, table(spark, {"index:events": aliases})).select("alias", "value")
-    rest = matched.where(~F.col("template_id").isin([t for t, _ in aliases.of.get("user", [])] or [-2])).select(F.lit("user").alias("alias"), F.regexp_extract("raw", "user=([0-9]+)", 1).alias("value"))
-    return found.union(rest).groupBy("alias", "value").agg(F.count("*").alias("n"))
-
-
-@_query("alias_discovery")
+    aliases = Aliases({"user": _variables_behind(templates, "user")})
+    return values(matched, table(spark, {"index:events": aliases})).groupBy("alias", "value").agg(F.count("*").alias("n"))
+
+
+@_query("alias_discovery", _USERS.format("username"))
 def alias_discovery(spark, sf_dir):
+    """What discovery calls ``username``, counted by value: the variable behind ``user=`` by its neighbour (and words, which look like names)."""
     matched, templates = _mined(spark, sf_dir)
-    return table(spark, {"index:events": discover.discover(matched, templates)})
+    found = values(matched, table(spark, {"index:events": discover.discover(matched, templates)}))
+    return found.where("alias = 'username' and value rlike '^[0-9]+$'").groupBy("alias", "value").agg(F.count("*").alias("n"))
+
+
+@_query("alias_file", "SELECT * FROM (VALUES ('index:i', 'host', 6, 4), ('index:i', 'port', 7, 5), ('index:i', 'user', 7, 4), ('index:i', 'old', 9, 2)) t(scope, alias, template_id, var_idx)")
+def alias_file(spark, sf_dir):
+    """An alias file read, changed (a variable moves), written, and read again."""
+    held = Aliases.parse("# names\nhost: E7_V4, E6_V4.VAR\nport: 7_5\nE9_V2=old\n")
+    held.add("user", (7, 4))
+    return table(spark, {"index:i": Aliases.parse(held.dump())})
 
 
 @_query("join_lookup", "SELECT n.n_name AS key, count(*) AS value FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey GROUP BY n.n_name")
@@ -330,12 +368,139 @@ def ingest_clean(spark, sf_dir):
     return source.from_bodies(bodies).groupBy("doc_id").agg(F.count("*").alias("lines"))
 
 
-@_query("segment_metadata", f"SELECT event_type AS segment_id, count(*) AS records, sum(strlen(raw) + 1)::BIGINT AS bytes, min(ms) AS start_ms, max(ms) AS end_ms FROM {LINES} GROUP BY event_type")
+# The same lines with their times in seconds, as they are read from the text.
+SECONDS = f"(SELECT *, ms - ms % 1000 AS s FROM {LINES})"
+
+
+def _index(spark: SparkSession, sf_dir: str, parts: int = 1, **options: str) -> Catalog:
+    """A new index ``events`` in the shared folder, of one or more segments by user."""
+    catalog = Catalog(spark, scratch(spark))
+    catalog.create("events", **options)
+    lines, _ = _events(spark, sf_dir)
+    for k in range(parts):
+        ingest.bulk(catalog, "events", lines.where(F.col("user_id") % parts == k), f"seg_{k}")
+    return catalog
+
+
+@_query("segment_metadata", f"SELECT 'seg_' || (user_id % 2) AS segment_id, count(*) AS records, sum(strlen(raw) + 1)::BIGINT AS bytes, min(s) AS start_ms, max(s) AS end_ms, true AS ok FROM {SECONDS} GROUP BY ALL")
 def segment_metadata(spark, sf_dir):
+    """What the store noted of two segments, and whether their lines still give the noted checksums."""
+    catalog = _index(spark, sf_dir, 2)
+    return catalog.segments("events").join(catalog.verify("events"), "segment_id").select("segment_id", "records", "bytes", "start_ms", "end_ms", "ok")
+
+
+@_query("store_replay", "SELECT count(*) AS lines, 1::BIGINT AS segments FROM events")
+def store_replay(spark, sf_dir):
+    """A segment that is written twice is there once."""
+    catalog = _index(spark, sf_dir)
     lines, _ = _events(spark, sf_dir)
-    return lines.groupBy(F.col("event_type").alias("segment_id")).agg(
-        F.count("*").alias("records"), F.sum(F.octet_length("raw") + 1).cast("long").alias("bytes"), F.min("ts_ms").alias("start_ms"), F.max("ts_ms").alias("end_ms")
-    )
+    catalog.write_segment("events", lines.select("raw"), "seg_0")
+    return catalog.lines("events").agg(F.count("*").alias("lines"), F.countDistinct("segment_id").alias("segments"))
+
+
+@_query("store_stats", f"SELECT 'events' AS index, 2::BIGINT AS segments, sum(strlen(raw) + 1)::BIGINT AS bytes, count(*) AS records FROM {LINES}")
+def store_stats(spark, sf_dir):
+    return _index(spark, sf_dir, 2).stats()
+
+
+@_query("store_config", "SELECT 'events' AS index, 65536::BIGINT AS flush_bytes, 700::BIGINT AS flush_records, 9::BIGINT AS max_segments, 1048576::BIGINT AS max_disk_bytes")
+def store_config(spark, sf_dir):
+    """An index created, changed, and another one created and deleted; sizes with units."""
+    catalog = Catalog(spark, scratch(spark))
+    catalog.create("events", FLUSH_BYTES="64k", max_segments="5", flush_records="700")
+    catalog.create("events", max_segments="9", max_disk_bytes="1m")
+    catalog.create("other")
+    catalog.delete("other")
+    return catalog.indices().select("index", "flush_bytes", "flush_records", "max_segments", "max_disk_bytes")
+
+
+@_query("store_dropped", "SELECT 'seg_' || (user_id % 3) AS segment_id, count(*) AS lines FROM events WHERE user_id % 3 > 0 GROUP BY ALL")
+def store_dropped(spark, sf_dir):
+    """Three segments whose index holds two: the one that ended first is out of every query (here its lines are a year older)."""
+    catalog = Catalog(spark, scratch(spark))
+    catalog.create("events", max_segments="2")
+    lines, _ = _events(spark, sf_dir)
+    for k in (1, 0, 2):
+        part = lines.where(F.col("user_id") % 3 == k)
+        ingest.bulk(catalog, "events", part.withColumn("raw", F.regexp_replace("raw", "^2024", "2023")) if k == 0 else part, f"seg_{k}")
+    return catalog.lines("events").groupBy("segment_id").agg(F.count("*").alias("lines"))
+
+
+@_query("store_export", f"SELECT 'seg_' || (user_id % 2) AS segment_id, raw AS value FROM {LINES}")
+def store_export(spark, sf_dir):
+    """All lines back as text, by segment."""
+    catalog, out = _index(spark, sf_dir, 2), scratch(spark)
+    catalog.export("events", out)
+    return spark.read.text(out).select("segment_id", "value")
+
+
+@_query("store_search", f"SELECT raw AS log_line, true AS told FROM {LINES} WHERE contains(raw, 'click') AND s BETWEEN epoch_ms(TIMESTAMP '2024-01-05 00:00:00') AND epoch_ms(TIMESTAMP '2024-01-06 00:00:00')".replace(LINES, SECONDS))
+def store_search(spark, sf_dir):
+    """Records of a stored index with the text of their template."""
+    found = engine.Engine(_index(spark, sf_dir)).query("events", 'click -time "2024-01-05 00:00:00" "2024-01-06 00:00:00"', None)
+    return found.select("log_line", F.col("template").contains("user=").alias("told"))
+
+
+@_query("store_timechart", f"SELECT s - s % 86400000 AS ts, count(*) AS count FROM {SECONDS} WHERE contains(raw, 'view') GROUP BY ALL")
+def store_timechart(spark, sf_dir):
+    return engine.Engine(_index(spark, sf_dir, 2)).query("events", "view | timechart span=1d count")
+
+
+def _aliased(spark: SparkSession, sf_dir: str) -> engine.Engine:
+    """An index whose alias ``user`` names the variable behind ``user=``, and the second of two segments' own alias ``user`` too."""
+    catalog = _index(spark, sf_dir, 2)
+    for segment in (None, "seg_1"):
+        rows = catalog.templates("events").where(F.col("segment_id") == (segment or "seg_0")).collect()
+        held = Aliases()
+        for r in rows:
+            for k, x in enumerate(r.segs):
+                if x.kind == "var" and k >= 2 and r.segs[k - 1].text == "=" and r.segs[k - 2].text == "user":
+                    held.add("user", (r.template_id, x.var))
+        catalog.set_aliases("events", held, segment)
+    return engine.Engine(catalog)
+
+
+@_query("alias_filter", f"SELECT raw AS log_line FROM {LINES} WHERE contains(user_id::VARCHAR, '14')")
+def alias_filter(spark, sf_dir):
+    """A value within an alias's variables; a segment's own aliases count for it."""
+    return _aliased(spark, sf_dir).query("events", "user:14 |strict", None).select("log_line")
+
+
+@_query("alias_fallback", f"SELECT raw AS log_line FROM {LINES} WHERE contains(raw, '2024-01-07')")
+def alias_fallback(spark, sf_dir):
+    """No variable of the alias holds the value anywhere, so that any line that holds it counts."""
+    return _aliased(spark, sf_dir).query("events", "user:2024-01-07", None).select("log_line")
+
+
+@_query("alias_fallback_ci", f"SELECT raw AS log_line FROM {LINES} WHERE contains(lower(raw), 'view')")
+def alias_fallback_ci(spark, sf_dir):
+    """The same whatever the case: a value of the alias keeps its case, the fallback does not."""
+    return _aliased(spark, sf_dir).query("events", "user:VIEW |ci", None).select("log_line")
+
+
+@_query("alias_top", "SELECT user_id::VARCHAR AS value, count(*) AS count FROM events GROUP BY user_id ORDER BY count DESC, value LIMIT 12")
+def alias_top(spark, sf_dir):
+    return _aliased(spark, sf_dir).query("events", "| top 12 user")
+
+
+@_query("variable_values", "SELECT user_id::VARCHAR AS value, count(*) AS n FROM events WHERE regexp_matches(user_id::VARCHAR, '1.*2') GROUP BY user_id")
+def variable_values(spark, sf_dir):
+    """A search within the columns of the variables behind ``user=``."""
+    matched, templates = _mined(spark, sf_dir)
+    found = [mining.select_values(matched, t, v, "1*2") for t, v in _variables_behind(templates, "user")]
+    return reduce(DataFrame.union, found).groupBy("value").agg(F.count("*").alias("n"))
+
+
+@_query("ingest_stream", f"SELECT event_type, count(*) AS lines FROM {LINES} GROUP BY event_type")
+def ingest_stream(spark, sf_dir):
+    """Text files taken as a stream into segments of at most 3,000 lines, until none is left."""
+    lines, _ = _events(spark, sf_dir)
+    root = scratch(spark)
+    lines.select("raw").repartition(3).write.text(f"{root}/in")
+    catalog = Catalog(spark, f"{root}/index")
+    catalog.create("events", flush_records="3000", max_pending="2")
+    ingest.start(catalog, "events", ingest.stream(catalog, "events", f"{root}/in"), f"{root}/checkpoint", once=True).awaitTermination()
+    return catalog.lines("events").groupBy(F.regexp_extract("raw", "^[^ ]+ [^ ]+ ([^ ]+)", 1).alias("event_type")).agg(F.count("*").alias("lines"))
 
 
 @_query("time_parse", f"SELECT event_id, ms - ms % 1000 AS ts_ms FROM {LINES}")

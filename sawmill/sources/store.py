@@ -1,14 +1,18 @@
 """The store: a catalog of indices, immutable segments as Parquet partitions, retention.
 
 An index is a directory. ``lines/segment_id=<id>/dt=<day>`` holds its lines, ``templates`` and
-``segments`` its dimensions. A segment becomes visible with its row in ``segments``, which is
-written last, so a batch that is run again after a failure replaces its own files and is counted once.
+``segments`` its dimensions, one folder for each segment too. A segment becomes visible with its
+row in ``segments``, which is written last and taken away first, so a batch that is run again after
+a failure, on another day too, replaces all that it had written and is counted once.
 """
 
 from __future__ import annotations
 
+import atexit
 import json
+import tempfile
 import time
+import uuid
 from dataclasses import asdict, dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,7 +43,10 @@ class IndexConfig:
     flush_interval_ms: int = 3_000
     max_segments: int = 0
     max_disk_bytes: int = 0
+    #: Kept for the listing: a checkpoint's log is written whole and synced in any case.
     wal_fsync: bool = False
+    #: New files that a streaming batch takes at most (0: all that are there): the rest waits its turn.
+    max_pending: int = 0
 
     @classmethod
     def from_options(cls, options: dict[str, str], env: dict[str, str] | None = None) -> "IndexConfig":
@@ -95,6 +102,10 @@ class FileStore:
         fs, p = self._at(path)
         fs.delete(p, True)
 
+    def names(self, path: str) -> list[str]:
+        fs, p = self._at(path)
+        return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
     def size(self, path: str) -> int:
         fs, p = self._at(path)
         return fs.getContentSummary(p).getLength() if fs.exists(p) else 0
@@ -146,7 +157,7 @@ class Catalog:
     def indices(self) -> DataFrame:
         """index, path, and the thresholds."""
         rows = [(k, v["path"], *asdict(IndexConfig(**v["config"])).values()) for k, v in sorted(self._load().items())]
-        return self.spark.createDataFrame(rows, "index string, path string, flush_bytes long, flush_records long, flush_interval_ms long, max_segments long, max_disk_bytes long, wal_fsync boolean")
+        return self.spark.createDataFrame(rows, "index string, path string, flush_bytes long, flush_records long, flush_interval_ms long, max_segments long, max_disk_bytes long, wal_fsync boolean, max_pending long")
 
     def stats(self) -> DataFrame:
         """index, segments, bytes, records."""
@@ -165,59 +176,70 @@ class Catalog:
     def metrics(self) -> dict:
         """Counts of indices and of running ingest streams with their last progress."""
         active = [q for q in self.spark.streams.active if (q.name or "").startswith("ingest-")]
-        return {"indices": len(self._load()), "writers": len(active), "pending": sum((q.lastProgress or {}).get("numInputRows", 0) for q in active)}
+        limits = [IndexConfig(**v["config"]).max_pending for v in self._load().values()]
+        return {"indices": len(limits), "writers": len(active), "workers": self.spark.sparkContext.defaultParallelism, "max_pending": max(limits, default=0), "pending": sum((q.lastProgress or {}).get("numInputRows", 0) for q in active)}
 
     # ----------------------------------------------------------------- segments
 
     def _table(self, name: str, part: str, schema: str) -> DataFrame:
         path = f"{self.path(name)}/{part}"
-        return self.spark.read.schema(schema).parquet(path) if self.files.exists(path) else self.spark.createDataFrame([], schema)
+        if not self.files.names(path):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(path).select(*[f.split()[0] for f in schema.split(", ")])
 
     def segments(self, name: str) -> DataFrame:
-        """One row for each segment that is there; of a batch that was run twice the last row counts."""
-        rows = self._table(name, "segments", SEGMENTS).join(self._table(name, "dropped", "segment_id string"), "segment_id", "left_anti")
-        last = rows.withColumn("_r", F.row_number().over(Window.partitionBy("segment_id").orderBy(F.desc("written_ms"))))
-        return last.where("_r = 1").drop("_r")
+        """One row for each segment that is there."""
+        return self._table(name, "segments", SEGMENTS).join(self._table(name, "dropped", "segment_id string"), "segment_id", "left_anti")
 
     def templates(self, name: str) -> DataFrame:
-        held = self._table(name, "templates", TEMPLATES).dropDuplicates(["segment_id", "template_id"])
-        return held.join(self.segments(name).select("segment_id"), "segment_id", "left_semi")
+        return self._table(name, "templates", TEMPLATES).join(self.segments(name).select("segment_id"), "segment_id", "left_semi")
 
     def lines(self, name: str) -> DataFrame:
         """All lines of visible segments. Filters on segment, day, time and template reach the scan."""
         if not self.files.exists(f"{self.path(name)}/lines"):
             raise StoreError("no segment")
-        seen = F.broadcast(self.segments(name).select("segment_id"))  # one row a segment, few thousands at most
+        seen = self.segments(name).select("segment_id")  # Spark broadcasts it by its size
         return self._table(name, "lines", LINES).join(seen, "segment_id", "left_semi")
 
-    def write_segment(self, name: str, batch: DataFrame, segment_id: str, time_fallback=None) -> dict:
+    def write_segment(self, name: str, batch: DataFrame, segment_id: str, time_fallback=None, file_records: int = 0) -> dict:
         """Mine, match and store one batch of lines (column ``raw``) as a segment; returns its metadata.
 
-        Writing the same segment again replaces it.
+        Writing the same segment again replaces it, whatever days its lines had the first time. Files
+        hold ``file_records`` lines at most (0: as Spark deals them). Vars get a bloom filter, so that a
+        search for one value skips row groups.
         """
-        path = self.path(name)
-        spark = self.spark
-        if batch.isEmpty():
-            return {"segment": None, "records": 0}
+        path, spark = self.path(name), self.spark
+        folder = {part: f"{path}/{part}/segment_id={segment_id}" for part in ("segments", "templates", "lines")}
+        for part in folder.values():
+            self.files.delete(part)
         timed = source.with_time(batch, time_fallback)
         templates = mining.mine(timed)
         number = F.row_number().over(Window.partitionBy("_part").orderBy("_order"))
         rows = mining.match(timed.select("raw", "ts_ms", "ts"), templates)
         rows = rows.withColumn("_part", F.spark_partition_id()).withColumn("_order", F.monotonically_increasing_id())
         # Line numbers rise within each input split and do not need a global sort.
-        rows = rows.withColumn("line_no", (F.col("_part").cast("long") * (1 << 33)) + number).drop("_part", "_order")
-        rows = rows.withColumn("segment_id", F.lit(segment_id)).withColumn("dt", F.to_date("ts"))
-        out = rows.select(*[f.split()[0] for f in LINES.split(", ")])
-        (out.write.mode("overwrite").option("compression", "zstd").option("partitionOverwriteMode", "dynamic").partitionBy("segment_id", "dt").parquet(f"{path}/lines"))
-        stored = spark.read.schema(LINES).parquet(f"{path}/lines").where(F.col("segment_id") == segment_id)
-        catalog = mining.catalog(stored, templates)
-        catalog.select(*[f.split()[0] for f in TEMPLATES.split(", ")[:4]], "segs").coalesce(1).write.mode("append").parquet(f"{path}/templates")
+        rows = rows.withColumn("line_no", (F.col("_part").cast("long") * (1 << 33)) + number).drop("_part", "_order").withColumn("dt", F.to_date("ts"))
+        columns = [c for c in (f.split()[0] for f in LINES.split(", ")) if c != "segment_id"]
+        writer = rows.select(*columns).write.option("compression", "zstd").option("parquet.bloom.filter.enabled#vars.list.element", "true")
+        if file_records:
+            writer = writer.option("maxRecordsPerFile", file_records)
+        writer.partitionBy("dt").parquet(folder["lines"])
+        # Only this segment's folder is read back. No lines leave no file but a mark.
+        stored = spark.read.schema(", ".join(f for f in LINES.split(", ") if not f.startswith("segment_id"))).parquet(folder["lines"])
         meta = stored.agg(
             F.sum(F.octet_length("raw") + 1).alias("bytes"), F.count("*").alias("records"), F.min("ts_ms").alias("start_ms"), F.max("ts_ms").alias("end_ms"), F.expr("bit_xor(crc32(concat(raw, '\\n')))").alias("crc32")
-        )
-        meta = meta.select(F.lit(segment_id).alias("segment_id"), F.lit(name).alias("index"), "bytes", "records", "start_ms", "end_ms", "crc32", F.lit(int(time.time() * 1000)).alias("written_ms"))
-        meta.coalesce(1).write.mode("append").parquet(f"{path}/segments")
-        row = self.segments(name).where(F.col("segment_id") == segment_id).first()
+        ).first()
+        if not meta["records"]:
+            self.files.delete(folder["lines"])
+            return {"segment": None, "records": 0}
+        mining.catalog(stored, templates).select("template_id", "count", "content", "segs").coalesce(1).write.parquet(folder["templates"])
+        if self.files.exists(f"{path}/dropped"):  # a segment that was dropped and is written again is there again
+            gone = [r[0] for r in self._table(name, "dropped", "segment_id string").distinct().collect()]
+            if segment_id in gone:
+                self.spark.createDataFrame([(s,) for s in gone if s != segment_id], "segment_id string").coalesce(1).write.mode("overwrite").parquet(f"{path}/dropped")
+        row = {"index": name, **meta.asDict(), "written_ms": int(time.time() * 1000)}
+        columns = [f for f in SEGMENTS.split(", ") if not f.startswith("segment_id")]
+        spark.createDataFrame([tuple(row[f.split()[0]] for f in columns)], ", ".join(columns)).coalesce(1).write.parquet(folder["segments"])
         return {"segment": segment_id, **{k: row[k] for k in ("records", "bytes", "start_ms", "end_ms", "crc32")}}
 
     def verify(self, name: str) -> DataFrame:
@@ -251,11 +273,44 @@ class Catalog:
         own = self.files.read(f"{self.path(name)}/aliases-{segment}.conf") if segment else None
         return Aliases.parse(own or self.files.read(f"{self.path(name)}/aliases.conf") or "")
 
+    def scopes(self, name: str) -> dict[str, Aliases]:
+        """Aliases of the segments that have their own."""
+        found = {}
+        for file in self.files.names(self.path(name)):
+            if file.startswith("aliases-") and file.endswith(".conf"):
+                segment = file.removeprefix("aliases-").removesuffix(".conf")
+                found[segment] = self.aliases(name, segment)
+        return found
+
+    def dump_values(self, name: str, path: str) -> None:
+        """Every variable's column as text, one folder for each segment, template and variable; constants are in the templates."""
+        held = mining.variables(self.lines(name))
+        held.select("segment_id", "template_id", "var_idx", "value").write.mode("overwrite").partitionBy("segment_id", "template_id", "var_idx").text(path)
+
     def export(self, name: str, path: str) -> None:
         """All lines back to text files, one directory for each segment."""
         self.lines(name).select("segment_id", "raw").write.mode("overwrite").partitionBy("segment_id").text(path)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: below ``spark.checkpoint.dir``; only a local master may do without that. It goes when the driver ends."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise StoreError("spark.checkpoint.dir must name a folder that driver and executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="sawmill-")
+    path = f"{shared}/index-{uuid.uuid4().hex}"
+    atexit.register(_forget, spark, path)
+    return path
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    try:
+        FileStore(spark).delete(path)
+    except Exception:  # noqa: BLE001 - the session may already be gone at exit
+        pass
+
+
 def expired(segments: DataFrame, max_segments: int, max_bytes: int) -> DataFrame:
     """Segments beyond the newest ``max_segments`` or the newest ``max_bytes`` (0: no limit). Segments are a small dimension."""
     order = Window.partitionBy("index").orderBy(F.desc("end_ms"), F.desc("segment_id"))

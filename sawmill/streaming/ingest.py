@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sources import lines as source
-from ..sources.store import Catalog
+from ..sources.store import Catalog, IndexConfig
 
 
 def segment_of(stream: str, batch_id: int) -> str:
@@ -19,7 +19,8 @@ def segment_of(stream: str, batch_id: int) -> str:
 def start(catalog: Catalog, index: str, lines: DataFrame, checkpoint: str, stream: str = "ing", once: bool = False) -> StreamingQuery:
     """Write a stream of lines (column ``raw``) into an index.
 
-    The trigger is the index's flush interval; ``maxFilesPerTrigger`` of the source bounds a batch.
+    The trigger is the index's flush interval. A batch beyond the index's flush_records or
+    flush_bytes becomes several segments; ``max_pending`` (see ``stream``) bounds what a batch takes.
     The checkpoint stands in for a write-ahead log: after a crash the unfinished batch runs again
     and, its segment being named by the batch, replaces what it had written. ``once`` flushes what
     is there and stops.
@@ -27,7 +28,16 @@ def start(catalog: Catalog, index: str, lines: DataFrame, checkpoint: str, strea
     config = catalog.config(index)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        catalog.write_segment(index, batch.select("raw"), segment_of(stream, batch_id))
+        held = batch.select("raw").persist()
+        try:
+            records, size = held.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("raw") + 1), F.lit(0))).first()
+            parts = cuts(records, size, config)
+            # By hash, so that a batch that runs again is cut alike.
+            which = F.pmod(F.xxhash64("raw", F.monotonically_increasing_id()), F.lit(parts))
+            for k in range(parts if records else 0):
+                catalog.write_segment(index, held.where(which == k) if parts > 1 else held, segment_of(stream, batch_id) + (f"_{k}" if parts > 1 else ""))
+        finally:
+            held.unpersist()
         if config.max_segments or config.max_disk_bytes:
             catalog.retain(index)
 
@@ -36,16 +46,21 @@ def start(catalog: Catalog, index: str, lines: DataFrame, checkpoint: str, strea
     return writer.start()
 
 
+def cuts(records: int, size: int, config: IndexConfig) -> int:
+    """Segments that a batch becomes, so that each is within the index's thresholds (0: no threshold)."""
+    by = [(records, config.flush_records), (size, config.flush_bytes)]
+    return max(1, *[-(-n // most) for n, most in by if most > 0], 1)
+
+
+def stream(catalog: Catalog, index: str, path: str) -> DataFrame:
+    """Lines of new files of a directory, at most the index's ``max_pending`` files a batch."""
+    return source.stream_text(catalog.spark, path, catalog.config(index).max_pending or None)
+
+
 def bulk(catalog: Catalog, index: str, lines: DataFrame, segment: str | None = None) -> dict:
     """Write one bounded set of lines; large ones are cut into files of the index's flush_records."""
     config = catalog.config(index)
-    spark = lines.sparkSession
-    key, old = "spark.sql.files.maxRecordsPerFile", spark.conf.get("spark.sql.files.maxRecordsPerFile")
-    spark.conf.set(key, str(config.flush_records))
-    try:
-        meta = catalog.write_segment(index, source.clean(lines.select("raw")), segment or f"ing_{int(time.time() * 1000)}_0")
-    finally:
-        spark.conf.set(key, old)
+    meta = catalog.write_segment(index, source.clean(lines.select("raw")), segment or f"ing_{int(time.time() * 1000)}_0", file_records=config.flush_records)
     if config.max_segments or config.max_disk_bytes:
         catalog.retain(index)
     return {"ingested": meta["records"], "flushed": bool(meta["segment"]), "segment": meta["segment"]}
