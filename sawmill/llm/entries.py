@@ -111,7 +111,24 @@ SELECT d.doc_id, coalesce(max(n.n), 0)::BIGINT AS n_shingles, min(r) AS componen
 FROM d JOIN reach USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY d.doc_id
 """
 
+OP3_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+), ok AS (
+  SELECT * FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), link AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95
+), n AS (
+  SELECT x, count(*) AS n FROM link GROUP BY x
+), reach AS (
+  SELECT vec_id, vec_id AS r FROM v UNION SELECT reach.vec_id, y FROM reach JOIN link ON x = r
+)
+SELECT v.vec_id, coalesce(max(n.n), 0)::BIGINT AS n_links, min(r) AS component_id, min(r) = v.vec_id AS kept
+FROM v JOIN reach USING (vec_id) LEFT JOIN n ON n.x = v.vec_id GROUP BY v.vec_id
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_neardup": OP3_SQL,
     "op7_substring": OP7_SQL,
     "op8_ngram_join": OP8_SQL,
 }

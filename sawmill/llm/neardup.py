@@ -32,6 +32,8 @@ M, BUILD_BEAM, BEAM, MAX_BEAM = 12, 40, 32, 256
 #: Each AUDIT-th query of a block is audited, and PLANTED queries beside vectors of the shard; mean recall of
 #: both must reach AUDIT_RECALL (own matches and queries that go on to the exact scan do not count).
 AUDIT, PLANTED, AUDIT_RECALL = 20, 256, 0.995
+#: Vectors of a shard up to which brute force is cheaper than a walk.
+FEW = 128
 #: Pairs that a task holds at once.
 PAIRS = 2_000_000
 
@@ -306,6 +308,8 @@ def find_links(graph: Graph, raw: np.ndarray, queries: np.ndarray, cosine: float
                     shares.append(np.bincount(at, np.isin(a * len(raw) + b, have)) / np.bincount(at))
         return not shares or np.concatenate(shares).mean() >= AUDIT_RECALL
 
+    if len(raw) <= FEW:
+        beam = MAX_BEAM + 1
     while beam <= MAX_BEAM and beam < len(raw) and not passes(beam):
         beam *= 2
     rows = np.arange(len(q))
