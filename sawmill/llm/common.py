@@ -174,14 +174,15 @@ def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return docs.join(gone, (docs["doc_id"].cast("long") == gone[name]) & (text_hash(docs["text"]) == gone[text]), "left_anti")
 
 
-def join_texts(texts: DataFrame, places: DataFrame, keys: list[str], size: Column, how: str = "inner") -> DataFrame:
+def join_texts(texts: DataFrame, places: DataFrame, keys: list[str], size: Column, how: str = "inner", most: int | None = None) -> DataFrame:
     """``texts`` joined with ``places``, a written table; ``size`` is the bytes of a row of it.
 
-    Places are counted first. Few are sent to every task and no text moves. Of more, their keys are
-    sent as far as BROADCAST_ROWS allow, and only texts with a place are shuffled.
+    Places are counted first. Up to ``most`` bytes (BROADCAST_BYTES) are sent to every task and no
+    text moves. Of more, their keys are sent as far as BROADCAST_ROWS allow, and only texts with a
+    place are shuffled.
     """
     rows, held = places.agg(F.count("*"), F.coalesce(F.sum(size + 48), F.lit(0))).first()
-    if held <= BROADCAST_BYTES:
+    if held <= (BROADCAST_BYTES if most is None else most):
         return texts.join(F.broadcast(places), keys, how)
     if rows <= BROADCAST_ROWS:
         wanted = F.broadcast(places.select(*keys))

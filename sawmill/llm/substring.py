@@ -32,6 +32,8 @@ from . import common
 SPAN, SUB = 50, 25
 #: Cells of the sketch. They exist only where a part falls; 10^12 parts (some 100 TB of text) load them to 6 %.
 CELLS = 1 << 44
+#: Bytes of answers or places that are sent to every task. Both grow with the input, so the bound is low and the plan mostly the same.
+PLACES_BYTES = 250_000
 #: Words that one task settles at once.
 CHUNK_WORDS = 1_500_000
 
@@ -257,11 +259,11 @@ def remove_repeats(docs: DataFrame, cells: int = CELLS) -> DataFrame:
     known = rows.where("doc_id is not null and length(text) >= 99")  # 50 words take 99 characters
     # An answer shared by two rows of one hash flags more than it must, never less.
     answers = common.written(prefilter(known, cells), "answers")
-    asked = common.join_texts(known, answers, ["row"], F.size("cells") * 8 + F.coalesce(F.aggregate("known", F.lit(0), lambda a, x: a + F.length(x)), F.lit(0)))
+    asked = common.join_texts(known, answers, ["row"], F.size("cells") * 8 + F.coalesce(F.aggregate("known", F.lit(0), lambda a, x: a + F.length(x)), F.lit(0)), most=PLACES_BYTES)
     found = asked.select("doc_id", "row", "text", "cells", "known").mapInPandas(common.releasing(_candidates(cells)), "h1 long, h2 long, doc_id long, row long, at int, settled binary")
     # A window has at most one document of each chunk here, so its group is bounded by the chunks.
     late = found.withColumn("first", F.min("doc_id").over(Window.partitionBy("h1", "h2"))).where("settled is not null or first < doc_id")
     places = common.written(late.groupBy("doc_id", "row").agg(F.collect_set("at").alias("ats"), F.collect_set("settled").alias("settled")), "places")
     sized = F.size("ats") * 4 + F.coalesce(F.aggregate("settled", F.lit(0), lambda a, x: a + F.length(x)), F.lit(0))
-    out = common.join_texts(rows, places, ["doc_id", "row"], sized, "left").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "ats", "settled")
+    out = common.join_texts(rows, places, ["doc_id", "row"], sized, "left", PLACES_BYTES).select(F.col("doc_id").cast("string").alias("doc_id"), "text", "ats", "settled")
     return out.mapInPandas(common.releasing(_finish), "doc_id string, n_words long, n_removed long, kept string").withColumn("doc_id", F.col("doc_id").cast("long"))

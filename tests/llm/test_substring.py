@@ -66,7 +66,7 @@ def test_small_sketch_and_chunks_lose_nothing(spark, monkeypatch):
 
 @pytest.mark.parametrize("rows", [0, 1_000_000])
 def test_shuffled_ways_back(spark, monkeypatch, rows):
-    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(substring, "PLACES_BYTES", 0)
     monkeypatch.setattr(common, "BROADCAST_ROWS", rows)
     docs = corpus(4)
     assert run(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)) == brute(docs)
