@@ -34,6 +34,8 @@ SPAN, SUB = 50, 25
 CELLS = 1 << 44
 #: Bytes of answers or places that are sent to every task. Both grow with the input, so the bound is low and the plan mostly the same.
 PLACES_BYTES = 250_000
+#: Times that a document holds a window from which on its places travel together.
+OFTEN = 8
 #: Words that one task settles at once.
 CHUNK_WORDS = 1_500_000
 
@@ -176,9 +178,11 @@ def _runs(at: np.ndarray) -> bytes:
 
 
 def _candidates(cells: int):
-    """documents with their cells -> windows estimated repeated: (h1, h2, doc_id, row, at, settled).
+    """documents with their cells -> windows estimated repeated: (h1, h2, doc_id, row, at, runs, settled).
 
-    Windows with an earlier document in their chunk are settled: runs of places, one line for a document.
+    A window's place is in ``at``; one that its document holds OFTEN or more times has one line with
+    runs of places. Windows with an earlier document in their chunk are settled: runs
+    too, one line for a document.
     """
 
     def run(batches):
@@ -190,21 +194,32 @@ def _candidates(cells: int):
             h1, h2, at = (np.concatenate([x[k] for x in hold]) for k in range(3))
             n = [len(x[2]) for x in hold]
             line, doc = np.repeat(np.arange(len(hold)), n), np.repeat([x[3] for x in hold], n)
-            order = np.lexsort((doc, h2, h1))
-            new = np.ones(len(h1), bool)
-            new[1:] = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
-            first = np.empty(len(h1), np.int64)
-            first[order] = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-            late = doc != first
             ids, rows = np.array([x[3] for x in hold], np.int64), np.array([x[4] for x in hold], np.int64)
-            open_ = ~late
-            # Of a window's places in its earliest document here, one line each; the others wait for no answer.
-            yield pd.DataFrame({"h1": h1[open_].view(np.int64), "h2": h2[open_].view(np.int64), "doc_id": doc[open_], "row": rows[line[open_]], "at": pd.array(at[open_], dtype="Int32"), "settled": None})
-            line, at = line[late], at[late]
-            cut = np.flatnonzero(np.diff(line, prepend=-1))
+
+            def frame(h1, h2, mine, at, runs, settled):
+                at = pd.array(at if at is not None else [None] * len(mine), dtype="Int32")
+                return pd.DataFrame({"h1": h1, "h2": h2, "doc_id": ids[mine], "row": rows[mine], "at": at, "runs": runs, "settled": settled})
+
+            order = np.lexsort((line, doc, h2, h1))  # stable: places keep rising
+            h1, h2, at, doc, line = h1[order].view(np.int64), h2[order].view(np.int64), at[order], doc[order], line[order]
+            new = np.ones(len(h1), bool)
+            new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+            late = doc != doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+            open_ = np.flatnonzero(~late)
+            cut = np.flatnonzero(new[open_] | (np.diff(line[open_], prepend=-1) != 0))
+            n = np.diff(np.append(cut, len(open_)))
+            one = open_[np.repeat(n < OFTEN, n)]
+            one = one[np.lexsort((at[one], line[one]))]  # neighbours compress well
+            yield frame(h1[one], h2[one], line[one], at[one], None, False)
+            if (n >= OFTEN).any():
+                first = open_[cut[n >= OFTEN]]
+                yield frame(h1[first], h2[first], line[first], None, [_runs(at[open_[a : a + k]]) for a, k in zip(cut[n >= OFTEN], n[n >= OFTEN])], False)
+            by = np.flatnonzero(late)
+            by = by[np.lexsort((at[by], line[by]))]
+            cut = np.flatnonzero(np.diff(line[by], prepend=-1))
             if len(cut):
-                mine = line[cut]
-                yield pd.DataFrame({"h1": rows[mine], "h2": ids[mine], "doc_id": ids[mine], "row": rows[mine], "at": pd.array([None] * len(mine), dtype="Int32"), "settled": [_runs(x) for x in np.split(at, cut[1:])]})
+                mine = line[by][cut]
+                yield frame(rows[mine], ids[mine], mine, None, [_runs(x) for x in np.split(at[by], cut[1:])], True)
 
         for pdf in batches:
             for doc_id, row, text, mine, known in zip(pdf["doc_id"].tolist(), pdf["row"].tolist(), pdf["text"].tolist(), pdf["cells"], pdf["known"]):
@@ -225,11 +240,11 @@ def _candidates(cells: int):
 
 def _cut(pdf: pd.DataFrame) -> pd.DataFrame:
     n_words, n_removed, kept_text = [], [], []
-    for text, ats, settled in zip(pdf["text"].tolist(), pdf["ats"], pdf["settled"]):
+    for text, ats, held in zip(pdf["text"].tolist(), pdf["ats"], pdf["runs"]):
         words = words_of(text)
         n_words.append(len(words))
         if ats is not None:
-            runs = [np.frombuffer(x, np.int32).reshape(-1, 2) for x in settled]
+            runs = [np.frombuffer(x, np.int32).reshape(-1, 2) for x in held]
             runs = np.concatenate([np.stack([np.asarray(ats, np.int32), np.ones(len(ats), np.int32)], 1), *runs]).astype(np.int64)
             edge = np.zeros(len(words) + 1, np.int64)
             np.add.at(edge, runs[:, 0], 1)
@@ -260,10 +275,10 @@ def remove_repeats(docs: DataFrame, cells: int = CELLS) -> DataFrame:
     # An answer shared by two rows of one hash flags more than it must, never less.
     answers = common.written(prefilter(known, cells), "answers")
     asked = common.join_texts(known, answers, ["row"], F.size("cells") * 8 + F.coalesce(F.aggregate("known", F.lit(0), lambda a, x: a + F.length(x)), F.lit(0)), most=PLACES_BYTES)
-    found = asked.select("doc_id", "row", "text", "cells", "known").mapInPandas(common.releasing(_candidates(cells)), "h1 long, h2 long, doc_id long, row long, at int, settled binary")
+    found = asked.select("doc_id", "row", "text", "cells", "known").mapInPandas(common.releasing(_candidates(cells)), "h1 long, h2 long, doc_id long, row long, at int, runs binary, settled boolean")
     # A window has at most one document of each chunk here, so its group is bounded by the chunks.
-    late = found.withColumn("first", F.min("doc_id").over(Window.partitionBy("h1", "h2"))).where("settled is not null or first < doc_id")
-    places = common.written(late.groupBy("doc_id", "row").agg(F.collect_set("at").alias("ats"), F.collect_set("settled").alias("settled")), "places")
-    sized = F.size("ats") * 4 + F.coalesce(F.aggregate("settled", F.lit(0), lambda a, x: a + F.length(x)), F.lit(0))
-    out = common.join_texts(rows, places, ["doc_id", "row"], sized, "left", PLACES_BYTES).select(F.col("doc_id").cast("string").alias("doc_id"), "text", "ats", "settled")
+    late = found.withColumn("first", F.min("doc_id").over(Window.partitionBy("h1", "h2"))).where("settled or first < doc_id")
+    places = common.written(late.groupBy("doc_id", "row").agg(F.collect_set("at").alias("ats"), F.collect_set("runs").alias("runs")), "places")
+    sized = F.size("ats") * 4 + F.coalesce(F.aggregate("runs", F.lit(0), lambda a, x: a + F.length(x)), F.lit(0))
+    out = common.join_texts(rows, places, ["doc_id", "row"], sized, "left", PLACES_BYTES).select(F.col("doc_id").cast("string").alias("doc_id"), "text", "ats", "runs")
     return out.mapInPandas(common.releasing(_finish), "doc_id string, n_words long, n_removed long, kept string").withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from sawmill.llm import common, substring
@@ -80,6 +82,16 @@ def test_few_texts_move(spark, capsys):
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
 
 
+def test_a_window_that_a_document_holds_often_is_one_line(spark):
+    docs = [(1, "again " * 5000), (2, "again " * 900 + "end"), (3, " ".join(f"x{i % 60}" for i in range(3000)))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    assert run(df) == brute(docs)
+    rows = df.selectExpr("doc_id", "text", "xxhash64(text, doc_id) as row").toPandas()
+    cells = [np.unique(substring._cells(substring.window_parts(substring.hashed(substring.words_of(t)), substring.Roller()), 1 << 44)) for t in rows["text"]]
+    out = pd.concat(substring._candidates(1 << 44)([rows.assign(cells=cells, known=[[]] * 3)]))
+    assert len(out) < 100 and (out["runs"].notna() != out["at"].notna()).all()
+
+
 def test_nasty_rows(spark, nasty, clashing, empty):
     want = brute([(i, t) for i, t, *_ in NASTY])
     assert run(nasty) == want and run(clashing) == want
