@@ -109,46 +109,48 @@ def average(found: DataFrame, fields, name: str) -> DataFrame:
 ORDERED = 50_000
 
 
-def _at_rank(x: DataFrame, rank: int, total: int, accuracy: int = 10_000) -> float:
-    """The value of ``x`` (column ``x``, no nulls) at a rank from 0, exactly.
+def _at_ranks(x: DataFrame, first: int, last: int, total: int, accuracy: int = 10_000) -> list[float]:
+    """The values of ``x`` (column ``x``, no nulls) at two neighbouring ranks from 0 (or twice at one), exactly.
 
-    A quantile sketch, merged from partial ones, brackets the rank; the bracket is narrowed until its
+    A quantile sketch, merged from partial ones, brackets the ranks; the bracket is narrowed until its
     distinct values are at most ORDERED, which are counted and put in order. Each step reads the
     input once and leaves some 4 / accuracy of the rows, so two do for any size.
     """
     below, held, part = 0, total, x
+    found: list[float] = []
     while True:
         if held > ORDERED:
-            q = (rank - below) / max(1, held - 1)
-            edges = [max(0.0, q - 2 / accuracy), min(1.0, q + 2 / accuracy)]
+            low_q, high_q = ((r - below) / max(1, held - 1) for r in (first, last))
+            edges = [max(0.0, low_q - 2 / accuracy), min(1.0, high_q + 2 / accuracy)]
             low, high = part.agg(F.percentile_approx("x", F.array(*map(F.lit, edges)), F.lit(accuracy)).alias("e")).first()["e"]
             inner = part.where(F.col("x").between(low, high))
             n, under = part.agg(F.count_if(F.col("x").between(low, high)), F.count_if(F.col("x") < low)).first()
-            if below + under <= rank < below + under + n and (low == high or n < held):
+            if below + under <= first and last < below + under + n and (low == high or n < held):
                 below, held, part = below + under, n, inner
                 if low == high:
-                    return low
+                    return [low, low]
                 continue
         rows = part.groupBy("x").agg(F.count("*").alias("n")).orderBy("x").limit(ORDERED).collect()
         for r in rows:
             below += r["n"]
             held -= r["n"]
-            if below > rank:
-                return r["x"]
+            found += [r["x"]] * ((below > first) + (below > last) - len(found))
+            if len(found) == 2:
+                return found
         part = part.where(F.col("x") > rows[-1]["x"])
 
 
 def _values_at(found: DataFrame, fields, name: str, ranks) -> DataFrame:
-    """The mean of the values at ``ranks(total)``; 0 without values."""
+    """The mean of the values at the two ``ranks(total)``, neighbours or the same; 0 without values."""
     x = long_form(found, fields, name).where("value <> ''").select(lenient(F.col("value")).alias("x"))
     total = x.count()
-    got = [_at_rank(x, r, total) for r in sorted(set(ranks(total)))] if total else [0.0]
-    return found.sparkSession.createDataFrame([(sum(got) / len(got),)], "value double")
+    got = _at_ranks(x, *ranks(total), total) if total else [0.0, 0.0]
+    return found.sparkSession.createDataFrame([((got[0] + got[1]) / 2,)], "value double")
 
 
 def median(found: DataFrame, fields, name: str) -> DataFrame:
     """The middle value, or the mean of the two in the middle."""
-    return _values_at(found, fields, name, lambda n: [(n - 1) // 2, n // 2])
+    return _values_at(found, fields, name, lambda n: ((n - 1) // 2, n // 2))
 
 
 def stddev(found: DataFrame, fields, name: str) -> DataFrame:
@@ -158,7 +160,7 @@ def stddev(found: DataFrame, fields, name: str) -> DataFrame:
 
 def percentile(found: DataFrame, fields, name: str, p: float) -> DataFrame:
     """The value at floor rank ``p * (n - 1) / 100``, without interpolation; 0 without values."""
-    return _values_at(found, fields, name, lambda n: [math.floor(p * (n - 1) / 100)])
+    return _values_at(found, fields, name, lambda n: [math.floor(p * (n - 1) / 100)] * 2)
 
 
 def grouped_average(found: DataFrame, fields, value: str, group: str) -> DataFrame:

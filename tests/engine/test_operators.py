@@ -203,3 +203,17 @@ def test_plans_push_down_and_stay_narrow(spark, tmp_path, capsys):
     engine.query(df, "9 -time 100 200 | stats count").explain()
     plan = capsys.readouterr().out
     assert "GreaterThanOrEqual(ts_ms,100)" in plan and "other" not in plan.split("ReadSchema")[1] and "Python" not in plan
+
+
+@pytest.mark.parametrize("ordered", [3, 40, 100_000])
+def test_ranks_by_narrowed_brackets(spark, monkeypatch, ordered):
+    """Exact whatever fits the driver: spread values, heavy ties, two values, an odd and an even number."""
+    monkeypatch.setattr(stats, "ORDERED", ordered)
+    for values in ([(i * 7919) % 1000 / 4 for i in range(1000)], [5.0] * 600 + [1.0, 9.0, 9.5] * 21, [1.0, 2.0] * 50, [3.0], list(range(101))):
+        values = sorted(map(float, values))
+        n = len(values)
+        df = spark.createDataFrame([(str(v),) for v in values], "v string")
+        fields = ColumnFields(["v"])
+        assert stats.median(df, fields, "v").first().value == (values[(n - 1) // 2] + values[n // 2]) / 2
+        for p in (0, 37, 100):
+            assert stats.percentile(df, fields, "v", p).first().value == values[p * (n - 1) // 100]
