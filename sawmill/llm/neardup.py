@@ -21,12 +21,14 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from . import common
 
 COSINE = 0.95
-#: Shards at least, bytes of a shard's vectors at most, queries of one block.
-MIN_SHARDS, SHARD_BYTES, BLOCK = 6, 32_000_000, 8192
+#: Shards and blocks of queries at least, bytes of a shard's or block's vectors at most. A vector is sent
+#: once to each shard and a graph once to each block, so both are as large as a task can hold.
+MIN_SHARDS, MIN_BLOCKS, SHARD_BYTES = 6, 4, 32_000_000
 #: Links of a node and layer, beam of the build, first and last beam of a search.
 M, BUILD_BEAM, BEAM, MAX_BEAM = 12, 40, 32, 256
 #: Each AUDIT-th query of a block is audited, and PLANTED queries beside vectors of the shard; mean recall of
@@ -34,7 +36,7 @@ M, BUILD_BEAM, BEAM, MAX_BEAM = 12, 40, 32, 256
 AUDIT, PLANTED, AUDIT_RECALL = 20, 256, 0.995
 #: Vectors of a shard up to which brute force is cheaper than a walk.
 FEW = 128
-#: Pairs that a task holds at once.
+#: Pairs that a task holds at once, and numbers in double precision.
 PAIRS = 2_000_000
 
 
@@ -184,56 +186,70 @@ class Graph:
 
 
 def unit(raw: np.ndarray) -> np.ndarray:
-    return (raw / np.linalg.norm(raw, axis=1, keepdims=True)).astype(np.float32)
+    out = np.empty(raw.shape, np.float32)
+    step = max(1, PAIRS // max(1, raw.shape[1]))
+    for i in range(0, len(raw), step):
+        x = raw[i : i + step].astype(np.float64)
+        out[i : i + step] = x / np.linalg.norm(x, axis=1, keepdims=True)
+    return out
 
 
-def _vectors(batches):
-    """embeddings -> vec_id, dim (0: links with nothing), k1 and k2 (128 bits of the values), raw (float64 bytes)."""
-    for pdf in batches:
-        rows = []
+def _vectors(width: str):
+    """embeddings -> vec_id, dim (0: links with nothing), k1 and k2 (128 bits of the values), raw (bytes of ``width``)."""
+
+    def rows_of(pdf: pd.DataFrame):
         for vec_id, e in zip(pdf["vec_id"].tolist(), pdf["embedding"].tolist()):
             ok = e is not None and len(e) > 0
             if ok:
                 v = np.array([np.nan if c is None else c for c in e], np.float64) + 0.0
                 ok = bool(np.isfinite(v).all()) and bool(v.any()) and vec_id is not None
             if ok:
-                v = v / np.abs(v).max()  # no overflow in the norm; a cosine keeps its value
-                raw = v.tobytes()
-                rows.append((vec_id, len(v), *np.frombuffer(xxhash.xxh3_128_digest(raw), np.int64).tolist(), raw))
+                if width == "f8":
+                    v = v / np.abs(v).max()  # no overflow in the norm; a cosine keeps its value
+                raw = v.astype(width).tobytes()
+                yield vec_id, len(v), *np.frombuffer(xxhash.xxh3_128_digest(raw), np.int64).tolist(), raw
             else:
-                rows.append((vec_id, 0, 0, 0, None))
-        yield pd.DataFrame(rows, columns=["vec_id", "dim", "k1", "k2", "raw"])
+                yield vec_id, 0, 0, 0, None
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame(list(rows_of(pdf)), columns=["vec_id", "dim", "k1", "k2", "raw"])
+
+    return run
 
 
 def _pack(*arrays: np.ndarray) -> list[bytes]:
     return [zstandard.ZstdCompressor(level=1).compress(a.tobytes()) for a in arrays]
 
 
-def _build(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One shard -> one row with its vectors and graph."""
-    pdf = pdf.sort_values("node")
-    dim = int(pdf["dim"].iloc[0])
-    raw = np.frombuffer(b"".join(pdf["raw"]), np.float64).reshape(-1, dim)
-    graph = Graph(unit(raw))
-    layers = [x for members, table in graph.layers for x in (members.astype(np.int64), table[members])]
-    return pd.DataFrame(
-        {
-            "dim": [dim],
-            "shard": [int(pdf["shard"].iloc[0])],
-            "nodes": [pdf["node"].to_numpy(np.int64).tobytes()],
-            "copies": [pdf["copies"].to_numpy(np.int64).tobytes()],
-            "raws": [raw.tobytes()],
-            "layers": [_pack(*layers)],
-        }
-    )
+def _build(width: str):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """One shard -> one row with its vectors and graph."""
+        pdf = pdf.sort_values("node")
+        dim = int(pdf["dim"].iloc[0])
+        raw = np.frombuffer(b"".join(pdf["raw"]), width).reshape(-1, dim)
+        graph = Graph(unit(raw))
+        layers = [x for members, table in graph.layers for x in (members.astype(np.int32), table[members])]
+        return pd.DataFrame(
+            {
+                "dim": [dim],
+                "shard": [int(pdf["shard"].iloc[0])],
+                "nodes": [pdf["node"].to_numpy(np.int64).tobytes()],
+                "copies": [pdf["copies"].to_numpy(np.int64).tobytes()],
+                "raws": [raw.tobytes()],
+                "layers": [_pack(*layers)],
+            }
+        )
+
+    return run
 
 
-def _open(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, Graph]:
+def _open(row, width: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, Graph]:
     nodes, copies = np.frombuffer(row.nodes, np.int64), np.frombuffer(row.copies, np.int64)
-    raw = np.frombuffer(row.raws, np.float64).reshape(len(nodes), -1)
+    raw = np.frombuffer(row.raws, width).reshape(len(nodes), -1)
     layers, parts = [], [zstandard.ZstdDecompressor().decompress(x) for x in row.layers]
     for k in range(0, len(parts), 2):
-        members = np.frombuffer(parts[k], np.int64)
+        members = np.frombuffer(parts[k], np.int32)
         rows = np.frombuffer(parts[k + 1], np.int32).reshape(len(members), -1)
         table = np.full((len(nodes), rows.shape[1]), -1, np.int32)
         table[members] = rows
@@ -262,7 +278,6 @@ def find_links(graph: Graph, raw: np.ndarray, queries: np.ndarray, cosine: float
     if not len(raw) or not len(queries):
         return
     q = unit(queries)
-    norm, q_norm = np.linalg.norm(raw, axis=1), np.linalg.norm(queries, axis=1)
     near = cosine - 1e-4
 
     def close(rows: np.ndarray):
@@ -282,9 +297,10 @@ def find_links(graph: Graph, raw: np.ndarray, queries: np.ndarray, cosine: float
 
     def verified(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ok = np.zeros(len(a), bool)
-        for i in range(0, len(a), 100_000):
-            x, y = a[i : i + 100_000], b[i : i + 100_000]
-            ok[i : i + 100_000] = np.einsum("ij,ij->i", queries[x], raw[y]) / (q_norm[x] * norm[y]) >= cosine
+        step = max(1, PAIRS // raw.shape[1])
+        for i in range(0, len(a), step):
+            x, y = queries[a[i : i + step]].astype(np.float64), raw[b[i : i + step]].astype(np.float64)
+            ok[i : i + step] = np.einsum("ij,ij->i", x, y) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1)) >= cosine
         return a[ok], b[ok]
 
     audit = np.arange(len(q))[::AUDIT]
@@ -329,7 +345,7 @@ def find_links(graph: Graph, raw: np.ndarray, queries: np.ndarray, cosine: float
 _FOUND = "kind int, a long, b long, c long, d long"
 
 
-def _ask(cosine: float):
+def _ask(cosine: float, width: str):
     def run(shards: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         """A block of queries against one shard.
 
@@ -339,9 +355,9 @@ def _ask(cosine: float):
         if not len(shards) or not len(queries):
             return pd.DataFrame({k: np.zeros(0, np.int64) for k in ("kind", "a", "b", "c", "d")}).astype({"kind": "int32"})
         shard = int(shards["shard"].iloc[0])
-        nodes, copies, raw, graph = _open(next(shards.itertuples(index=False)))
+        nodes, copies, raw, graph = _open(next(shards.itertuples(index=False)), width)
         q_nodes, q_copies = queries["node"].to_numpy(np.int64), queries["copies"].to_numpy(np.int64)
-        q_raw = np.frombuffer(b"".join(queries["raw"]), np.float64).reshape(len(queries), -1)
+        q_raw = np.frombuffer(b"".join(queries["raw"]), width).reshape(len(queries), -1)
         out, x, y = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
 
         def row(kind: int, a, b, c, d) -> None:
@@ -373,21 +389,23 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, min_shards: i
     and are components of their own; vectors of different lengths never link. Repeated ids are
     vectors of their own. Rows with a null id link with nothing. Other columns are ignored.
     """
+    single = getattr(embeddings.schema["embedding"].dataType, "elementType", None) == FloatType()
+    width = "f4" if single else "f8"  # as the values are given; cosines are taken in double precision
     rows = embeddings.select(F.col("vec_id").cast("long").cast("string").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    table = common.written(rows.mapInPandas(_vectors, "vec_id string, dim int, k1 long, k2 long, raw binary").withColumn("vec_id", F.col("vec_id").cast("long")), "vectors")
+    table = common.written(rows.mapInPandas(_vectors(width), "vec_id string, dim int, k1 long, k2 long, raw binary").withColumn("vec_id", F.col("vec_id").cast("long")), "vectors")
     distinct = table.where("dim > 0").groupBy("k1", "k2").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"), F.first("dim").alias("dim"), F.first("raw").alias("raw"))
     distinct = common.written(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct")
-    n, size = distinct.agg(F.count("*"), F.coalesce(F.sum(F.col("dim") * 8), F.lit(0))).first()
-    shards, blocks = int(max(min_shards, -(-size // SHARD_BYTES))), int(max(1, -(-n // BLOCK)))
+    size = distinct.agg(F.coalesce(F.sum(F.col("dim").cast("long") * (4 if single else 8)), F.lit(0))).first()[0]
+    shards, blocks = (int(max(least, -(-size // SHARD_BYTES))) for least in (min_shards, MIN_BLOCKS))
     shard_of = lambda c: F.pmod(F.xxhash64(c, F.lit(1)), F.lit(shards)).cast("int")
     sharded = distinct.withColumn("shard", shard_of("node"))
     graphs = common.written(
-        sharded.groupBy("dim", "shard").applyInPandas(_build, "dim int, shard int, nodes binary, copies binary, raws binary, layers array<binary>"), "graphs"
+        sharded.groupBy("dim", "shard").applyInPandas(_build(width), "dim int, shard int, nodes binary, copies binary, raws binary, layers array<binary>"), "graphs"
     )
     asked = distinct.select("node", "copies", "dim", "raw", F.pmod(F.xxhash64("node", F.lit(2)), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
     dealt = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     by = ["dim", "shard", "block"]
-    found = common.written(dealt.groupBy(*by).cogroup(asked.groupBy(*by)).applyInPandas(_ask(cosine), _FOUND), "links")
+    found = common.written(dealt.groupBy(*by).cogroup(asked.groupBy(*by)).applyInPandas(_ask(cosine, width), _FOUND), "links")
     whole = found.where("kind = 0").select(F.col("a").alias("node"), F.col("b").alias("others"), F.col("c").cast("int").alias("shard"))
     beams = found.where("kind = 2")
     # The other end of a link that a beam found has it too, unless it was scanned exactly against that shard.
