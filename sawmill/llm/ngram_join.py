@@ -33,7 +33,6 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import common
 
@@ -263,15 +262,20 @@ def _postings(sketch, boundary: int):
 
 
 def _pairs(short: int):
-    """Posted sets by list and size class -> (kind 0) pairs to verify, (kind 1) the rows of lists longer than ``short``.
+    """Rows of ``_postings``, posted sets by list and size class -> (kind, a, b, ga, gb).
 
-    A pair is a, b with their groups; of a row, a is the list and b the node.
+    Kind 0: a pair to verify, with its groups. Kind 1: a row of a list longer than ``short``: a is
+    the list, b the node. Kinds 2 and 3: members and links (1 and 2 there), passed on. A task holds a
+    batch and at most ``short`` rows more: of a longer list only its last row is kept.
     """
 
-    def of(sig, size, node, group):
+    def of(sig, size, node, group, opened: bool):
+        """Whole lists; the first one, if ``opened``, is long and goes on from its row 0, which was given before."""
         start = np.flatnonzero(np.diff(sig, prepend=sig[:1] - 1))
         length = np.diff(np.append(start, len(sig)))
         long = np.repeat(length > short, length)
+        if opened:
+            long[: length[0]] = True
         left, right = [], []
         for step in range(1, min(short, int(length.max()))):
             here = np.arange(len(sig) - step)
@@ -286,21 +290,33 @@ def _pairs(short: int):
             x, y = np.where(swap, y, x), np.where(swap, x, y)
             rows = np.unique(np.stack([node[x], node[y], group[x], group[y]], 1), axis=0)
             yield pd.DataFrame({"kind": np.int8(0), "a": rows[:, 0], "b": rows[:, 1], "ga": rows[:, 2], "gb": rows[:, 3]})
-        yield pd.DataFrame({"kind": np.int8(1), "a": sig[long], "b": node[long], "ga": group[long], "gb": np.int64(0)})
+        new = np.flatnonzero(long)[int(opened) :]
+        yield pd.DataFrame({"kind": np.int8(1), "a": sig[new], "b": node[new], "ga": group[new], "gb": np.int64(0)})
 
     def run(batches):
-        rest = None
+        rest, opened = None, False
         for pdf in batches:
-            got = [pdf[c].to_numpy() for c in ("sig", "class", "node", "group")]
+            posted = pdf["kind"].to_numpy() == 0
+            if not posted.all():
+                other = pdf[~posted]
+                yield pd.DataFrame({"kind": (other["kind"] + 1).astype("int8"), "a": other["node"], "b": other["group"], "ga": np.int64(0), "gb": np.int64(0)})
+            if not posted.any():
+                continue
+            got = [pdf[c].to_numpy()[posted] for c in ("sig", "class", "node", "group")]
             if rest is not None:
                 got = [np.concatenate(x) for x in zip(rest, got)]
             # The last list may go on in the next batch.
-            end = np.searchsorted(got[0], got[0][-1]) if len(got[0]) else 0
-            rest = [x[end:] for x in got]
+            end = int(np.searchsorted(got[0], got[0][-1]))
+            if len(got[0]) - end > short or opened and end == 0:
+                yield from of(*got, opened)
+                rest, opened = [x[-1:] for x in got], True
+                continue
             if end:
-                yield from of(*[x[:end] for x in got])
-        if rest is not None and len(rest[0]):
-            yield from of(*rest)
+                yield from of(*[x[:end] for x in got], opened)
+                opened = False
+            rest = [x[end:] for x in got]
+        if rest is not None:
+            yield from of(*rest, opened)
 
     return run
 
@@ -495,30 +511,7 @@ def _members_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # A list has a line for each chunk, size class and linked group. Members and links ride along.
     ordered = posted.repartition(common.partitions(spark), "sig").sortWithinPartitions("kind", "sig", "class")
 
-    def lists(batches):
-        """Posted sets become pairs and rows of long lists; members (kind 2) and links (kind 3) pass."""
-
-        def only_posted():
-            for pdf in batches:
-                mine = pdf["kind"].to_numpy() == 0
-                if mine.any():
-                    yield pdf[mine]
-                if not mine.all():
-                    other.append(pdf[~mine])
-
-        other: list[pd.DataFrame] = []
-
-        def passed():
-            for pdf in other:
-                yield pd.DataFrame({"kind": (pdf["kind"] + 1).astype("int8"), "a": pdf["node"], "b": pdf["group"], "ga": np.int64(0), "gb": np.int64(0)})
-            other.clear()
-
-        for out in _pairs(SHORT)(only_posted()):
-            yield out
-            yield from passed()
-        yield from passed()
-
-    table = common.written(ordered.mapInPandas(common.releasing(lists, None), "kind byte, a long, b long, ga long, gb long"), "pairs")
+    table = common.written(ordered.mapInPandas(common.releasing(_pairs(SHORT), None), "kind byte, a long, b long, ga long, gb long"), "pairs")
     # One pair can come from many lists.
     pairs = common.written(table.where("kind = 0").select("a", "b", "ga", "gb").distinct(), "distinct-pairs")
     local = table.where("kind = 3").select("a", "b")
@@ -557,13 +550,12 @@ def _members_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         expanded = common.written(expanded.distinct(), "open-members")
         more.append(common.join_texts(sets, expanded, ["node"], F.lit(32)).groupBy("x", "y").applyInPandas(_sides, "a long, b long"))
     placed = long_rows.join(named.toDF("node", "c"), "node", "left").withColumn("c", part(F.col("c")))
-    several = placed.groupBy("sig").agg((F.min("c") != F.max("c")).alias("open")).where("open")
-    rows_open = common.written(placed.join(several.select("sig"), "sig", "left_semi").select("sig", "node", "group"), "open-lists")
+    several = placed.groupBy("sig").agg((F.min("c") != F.max("c")).alias("open"), F.min("node").alias("first")).where("open")
+    rows_open = common.written(placed.join(several.select("sig", "first"), "sig").select("first", "node", "group"), "open-lists")
     if not rows_open.isEmpty():
         # Overlapping lists are one; their posted sets stand for their groups.
-        first = F.min("node").over(Window.partitionBy("sig"))
         whole = rows_open.where("group <> 0").select("node", "group").distinct().join(groups.withColumnRenamed("node", "b"), "group").select(F.col("node").alias("a"), "b")
-        joined = rows_open.select(F.col("node").alias("a"), first.alias("b")).union(whole)
+        joined = rows_open.select(F.col("node").alias("a"), F.col("first").alias("b")).union(whole)
         lists_ = common.components(joined).select("node", F.col("component").alias("list"))
         held = common.join_texts(sets, common.written(lists_, "lists"), ["node"], F.lit(16)).join(named.toDF("node", "c"), "node", "left").withColumn("component", part(F.col("c"))).drop("c")
         held = common.written(held, "open-sets")

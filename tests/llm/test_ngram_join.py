@@ -1,7 +1,9 @@
+import math
 import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from sawmill.llm import ngram_join
@@ -93,6 +95,28 @@ def test_a_passage_in_every_document_joins_nothing(spark, monkeypatch):
     assert seen[0] <= 40  # the links that unite
 
 
+def test_lists_stream_through_a_task():
+    """However rows are cut into batches, pairs and long lists are the same, and a long list is not held."""
+    rng = np.random.default_rng(2)
+    sig = np.sort(np.concatenate([np.repeat(np.arange(40), rng.integers(1, 7, 40)), np.repeat(50, 3000), np.repeat(51, 4)]))
+    rows = pd.DataFrame({"kind": np.int8(0), "sig": sig, "class": np.int32(0), "node": rng.permutation(len(sig)) + 10, "group": 0})
+    other = pd.DataFrame({"kind": np.int8([1, 2, 2]), "sig": [0, 1, 2], "class": np.int32(0), "node": [1, 2, 3], "group": [4, 5, 6]})
+    rows = pd.concat([rows, other], ignore_index=True)
+
+    def made(step):
+        out = list(ngram_join._pairs(4)(rows[i : i + step] for i in range(0, len(rows), step)))
+        return max(map(len, out)), sorted(pd.concat(out)[["kind", "a", "b", "ga", "gb"]].itertuples(index=False, name=None))
+
+    want = made(len(rows))[1]
+    length = np.bincount(sig)
+    assert sum(r[0] == 1 for r in want) == length[length > 4].sum()
+    assert sum(r[0] == 0 for r in want) == sum(math.comb(n, 2) if n <= 4 else n - 1 for n in length.tolist())
+    assert [r for r in want if r[0] > 1] == [(2, 1, 4, 0, 0), (3, 2, 5, 0, 0), (3, 3, 6, 0, 0)]
+    for step in (1, 2, 3, 7, 100):
+        most, got = made(step)
+        assert got == want and most <= 3 * step + 12
+
+
 def test_local_links_are_exact():
     rng = np.random.default_rng(4)
     base = [np.unique(rng.integers(0, 1 << 62, 40).astype(np.uint64)) for _ in range(6)]
