@@ -14,6 +14,7 @@ bounds every task's memory.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,8 @@ from . import common
 
 #: Characters of text in one block.
 BLOCK_CHARS = 14_000_000
+#: Characters of a text from which on its words are cut one by one instead of as a list.
+LONG_TEXT = 200_000
 #: Words whose ids a task remembers (some 150 bytes each); tasks are enough that few meet more.
 KNOWN_WORDS = 1_000_000
 #: Bytes of ids in one frame that goes back to Spark.
@@ -93,24 +96,29 @@ def _blocks(pattern: str, n_to: int):
     def run(batches):
         import regex
 
-        find = regex.compile(pattern).findall
+        compiled = regex.compile(pattern)
         ids: list = []
-        texts: list[str] = []
+        sizes: list[int] = []
+        seen: dict[str, int] = {}
+        flat = array("i")
         held = 0
 
-        def flush():
-            seen: dict[str, int] = {}
+        def cut(t: str) -> None:
+            """Texts are cut as they come: a block holds its words and positions, no texts."""
+            before = len(flat)
             code = seen.setdefault
-            flat: list[int] = []
-            sizes = []
-            for t in texts:
-                pieces = find(t)
-                sizes.append(len(pieces))
-                flat += [code(p, len(seen)) for p in pieces]
-            at = np.array(flat, np.int64)
+            if len(t) <= LONG_TEXT:
+                flat.extend([code(p, len(seen)) for p in compiled.findall(t)])
+            else:
+                flat.extend(code(m.group(), len(seen)) for m in compiled.finditer(t))
+            sizes.append(len(flat) - before)
+
+        def flush():
+            at = np.frombuffer(flat, np.int32)
             count = np.bincount(at, minlength=len(seen))
             order = np.argsort(-count, kind="stable")  # frequent words get small numbers
-            rank = np.empty(len(seen), np.int64)
+            del count
+            rank = np.empty(len(seen), np.int32)
             rank[order] = np.arange(len(seen))
             spelled = [w.encode("utf-8", "surrogatepass") for w in seen]
             words = [spelled[i] for i in order]
@@ -118,7 +126,7 @@ def _blocks(pattern: str, n_to: int):
             some = np.array([x is not None for x in ids], np.uint8)
             doc_ids = np.array([x or 0 for x in ids], np.int64)
             head = xxhash.xxh3_128()
-            for part in (doc_ids.tobytes(), some.tobytes(), np.array(sizes, np.int64).tobytes(), at.tobytes(), b"\0".join(words)):
+            for part in (doc_ids, some, np.array(sizes, np.int64), at, b"\0".join(words)):
                 head.update(part)
             block = head.digest()
             rows = [(block, int.from_bytes(block[:4], "little") % n_to, 0, doc_ids.tobytes(), some.tobytes(), _pack_numbers(np.array(sizes, np.int64)), _pack_numbers(at))]
@@ -136,11 +144,13 @@ def _blocks(pattern: str, n_to: int):
         for pdf in batches:
             for i, missing, t in zip(pdf["doc_id"].tolist(), pdf["missing"].tolist(), pdf["text"].tolist()):
                 ids.append(None if missing else i)
-                texts.append(t)
+                cut(t)
                 held += len(t) + 16
                 if held >= BLOCK_CHARS:
-                    yield flush()
-                    ids, texts, held = [], [], 0
+                    made = flush()
+                    ids, sizes, seen, flat, held = [], [], {}, array("i"), 0
+                    common.release()
+                    yield made
         if ids:
             yield flush()
 

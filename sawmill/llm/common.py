@@ -104,9 +104,13 @@ def release() -> None:
 
 
 def releasing(run, column: str = "text"):
-    """A batch function over texts that gets them in small frames and gives its memory back at the end of a task."""
+    """A batch function over texts that gets them in small frames and gives its memory back at the end of a task.
+
+    What an earlier function left in the worker is given back before.
+    """
 
     def wrapped(batches):
+        release()
         try:
             yield from run(small_frames(batches, column) if column else batches)
         finally:
@@ -115,6 +119,20 @@ def releasing(run, column: str = "text"):
     return wrapped
 
 
+def releasing_groups(run, column: str, size: int = 2_000_000):
+    """A function of one group that gives its memory back after groups whose ``column`` holds more than ``size`` bytes."""
+
+    def wrapped(pdf: pd.DataFrame) -> pd.DataFrame:
+        held = sum(map(len, pdf[column]))
+        try:
+            return run(pdf)
+        finally:
+            if held > size:
+                release()
+
+    return wrapped
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

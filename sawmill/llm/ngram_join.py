@@ -466,7 +466,7 @@ def _solve_blocks(sets: DataFrame) -> DataFrame:
     every = sets.join(top, "list").withColumn("block", at)
     asking = every.where("component <> top").select("list", "node", "elements", F.lit(0).alias("side"), F.col("block").alias("of"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     asked = every.select("list", "node", "elements", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("of"), "block")
-    return asking.select(*asked.columns).union(asked).groupBy("list", "of", "block").applyInPandas(_sides, "a long, b long")
+    return asking.select(*asked.columns).union(asked).groupBy("list", "of", "block").applyInPandas(common.releasing_groups(_sides, "elements"), "a long, b long")
 
 
 def _filter_bits(nodes: DataFrame, n: int) -> np.ndarray:
@@ -501,7 +501,7 @@ def _members_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     table = common.written(rows.mapInPandas(common.releasing(_members(cells)), "kind int, doc_id string, text_hash long, size long, node long, data binary"), "members")
     members = table.where("kind = 0").select(F.col("doc_id").cast("long").alias("doc_id"), "text_hash", "size", "node")
     sketch = np.zeros((2, cells), np.uint8)
-    for r, block, raw in table.where("kind = 1").select("size", "node", "data").groupBy("size", "node").applyInPandas(_merge_counts, "r long, block long, data binary").toLocalIterator():
+    for r, block, raw in table.where("kind = 1").select("size", "node", "data").groupBy("size", "node").applyInPandas(common.releasing_groups(_merge_counts, "data", 200_000), "r long, block long, data binary").toLocalIterator():
         sketch[r, block * len(raw) : (block + 1) * len(raw)] = np.frombuffer(raw, np.uint8)
     shared = spark.sparkContext.broadcast(sketch)
     sizes = [(r[0], r[1]) for r in members.where("size between 2 and 4096").groupBy("size").count().collect()]
@@ -548,7 +548,7 @@ def _members_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         sides = open_pairs.select("x", "y", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("x").alias("key"), F.col("gx").alias("g")), F.struct(F.lit(1).alias("side"), F.col("y").alias("key"), F.col("gy").alias("g")))).alias("s")).select("x", "y", "s.*")
         expanded = sides.where("g").join(groups.withColumnRenamed("group", "key"), "key").select("x", "y", "side", "node").union(sides.where("not g").select("x", "y", "side", F.col("key").alias("node")))
         expanded = common.written(expanded.distinct(), "open-members")
-        more.append(common.join_texts(sets, expanded, ["node"], F.lit(32)).groupBy("x", "y").applyInPandas(_sides, "a long, b long"))
+        more.append(common.join_texts(sets, expanded, ["node"], F.lit(32)).groupBy("x", "y").applyInPandas(common.releasing_groups(_sides, "elements"), "a long, b long"))
     placed = long_rows.join(named.toDF("node", "c"), "node", "left").withColumn("c", part(F.col("c")))
     several = placed.groupBy("sig").agg((F.min("c") != F.max("c")).alias("open"), F.min("node").alias("first")).where("open")
     rows_open = common.written(placed.join(several.select("sig", "first"), "sig").select("first", "node", "group"), "open-lists")
@@ -561,7 +561,7 @@ def _members_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         held = common.written(held, "open-sets")
         weight = held.groupBy("list").agg(F.ceil(F.sum(F.length("elements")) / TASK_BYTES).cast("int").alias("blocks"), F.countDistinct("component").alias("parts")).where("parts > 1").drop("parts")
         held = held.join(common.written(weight, "weights"), "list").select("list", "node", "component", "elements", "blocks")
-        more.append(held.where("blocks = 1").groupBy("list").applyInPandas(_solve_group, "a long, b long"))
+        more.append(held.where("blocks = 1").groupBy("list").applyInPandas(common.releasing_groups(_solve_group, "elements"), "a long, b long"))
         if not held.where("blocks > 1").isEmpty():
             more.append(_solve_blocks(held.where("blocks > 1")))
     if more:
