@@ -45,6 +45,7 @@ class Graph:
 
     def __init__(self, x: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]] | None = None, m: int = M, beam: int = BUILD_BEAM, seed: int = 3):
         self.x, self.m = x, m
+        self._flags = np.zeros(0, bool)
         self.layers = layers if layers is not None else self._build(beam, np.random.default_rng(seed))
 
     def _build(self, beam: int, rng) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -54,6 +55,7 @@ class Graph:
         if n:
             level = np.minimum(level, max(0, int(math.log(max(n, 2)) / math.log(self.m))))
         order = rng.permutation(n)
+        order = order[np.argsort(-level[order], kind="stable")]  # entries of a layer come before the places that they lead to
         self.layers = []
         out = []
         for at in range(int(level.max()) if n else 0, -1, -1):
@@ -68,12 +70,18 @@ class Graph:
         done = min(len(members), 4 * width)
         first = members[:done]
         self._link(table, first, *self._dense(first, first, width))
+        placed = np.zeros(len(self.x) + 1, bool)
+        placed[first] = True
         while done < len(members):
             batch = members[done : done + min(done, 512)]
-            ids, sims = self._beam(table, self.x[batch], self._descend(self.x[batch], members[:1]), beam)
+            at = self._descend(self.x[batch], members[:1])
+            at = np.where(placed[at], at, -1)  # a walk from places without links would end there
+            at = np.concatenate([at, np.where((at == members[0]).any(1), -1, members[0])[:, None]], 1)
+            ids, sims = self._beam(table, self.x[batch], at, beam)
             own, own_sims = self._dense(batch, batch, self.m)
             ids, sims = np.concatenate([ids, own], 1), np.concatenate([sims, own_sims], 1)
             self._link(table, batch, ids, sims)
+            placed[batch] = True
             done += len(batch)
         return table
 
@@ -87,47 +95,54 @@ class Graph:
         return np.where(sims > -2, b[top], -1), sims
 
     def _spread(self, ids: np.ndarray, sims: np.ndarray, width: int) -> np.ndarray:
-        """From candidates by falling similarity: those nearer to the node than to one chosen before; then the nearest others."""
-        at = np.argsort(-sims, kind="stable")
-        ids, sims = ids[at], sims[at]
-        keep = ids >= 0
-        ids, sims = ids[keep], sims[keep]
-        ids, where = np.unique(ids, return_index=True)
-        at = np.argsort(where)
-        ids, sims = ids[at], sims[where[at]]
-        if len(ids) <= width:
-            return ids
-        ids, sims = ids[: 3 * width], sims[: 3 * width]
-        among = self.x[ids] @ self.x[ids].T
-        chosen: list[int] = []
-        nearest = np.full(len(ids), -2.0)
-        for j in range(len(ids)):
-            if nearest[j] <= sims[j]:
-                chosen.append(j)
-                np.maximum(nearest, among[j], out=nearest)
-                if len(chosen) == width:
-                    break
-        if len(chosen) < width:
-            taken = set(chosen)
-            chosen += [j for j in range(len(ids)) if j not in taken][: width - len(chosen)]
-        return ids[chosen]
+        """For each row of different candidates by falling similarity: those nearer to the node than to one chosen before; then the nearest others."""
+        ids, sims = ids[:, : 3 * width], sims[:, : 3 * width]
+        out = np.full((len(ids), width), -1, np.int32)
+        step = max(1, PAIRS // (ids.shape[1] * self.x.shape[1] + 1))
+        for i in range(0, len(ids), step):
+            some, near = ids[i : i + step], sims[i : i + step]
+            there = self.x[some]
+            among = there @ there.transpose(0, 2, 1)
+            chosen = np.zeros(some.shape, bool)
+            nearest = np.full(some.shape, -2, np.float32)
+            count = np.zeros(len(some), int)
+            for j in range(some.shape[1]):
+                rows = np.flatnonzero((nearest[:, j] <= near[:, j]) & (some[:, j] >= 0) & (count < width))
+                chosen[rows, j] = True
+                count[rows] += 1
+                nearest[rows] = np.maximum(nearest[rows], among[rows, j])
+            first = np.argsort(np.where(some < 0, 2, 1 - chosen), 1, kind="stable")[:, :width]
+            out[i : i + step, : first.shape[1]] = np.take_along_axis(some, first, 1)
+        return out
 
     def _link(self, table: np.ndarray, nodes: np.ndarray, ids: np.ndarray, sims: np.ndarray) -> None:
+        """Links new nodes with some of their candidates (different ones in a row), and these back with them."""
         width = table.shape[1]
-        back: dict[int, list[int]] = {}
-        for r, node in enumerate(nodes.tolist()):
-            got = self._spread(ids[r], sims[r], self.m if width > self.m else max(2, width // 2))
-            table[node, : len(got)] = got
-            table[node, len(got) :] = -1
-            for g in got.tolist():
-                back.setdefault(g, []).append(node)
-        for node, new in back.items():
-            old = table[node][table[node] >= 0]
-            every = np.unique(np.concatenate([old, np.array(new, np.int32)]))
-            if len(every) > width:
-                every = self._spread(every, self.x[every] @ self.x[node], width)
-            table[node, : len(every)] = every
-            table[node, len(every) :] = -1
+        at = np.argsort(np.where(ids < 0, 4, -sims), 1, kind="stable")
+        got = self._spread(np.take_along_axis(ids, at, 1), np.take_along_axis(sims, at, 1), self.m if width > self.m else max(2, width // 2))
+        table[nodes] = -1
+        table[nodes, : got.shape[1]] = got
+        ends = np.unique(got[got >= 0]).astype(np.int64)  # products of places exceed 32 bits
+        old = table[ends]
+        pairs = np.concatenate([(ends[:, None] * len(self.x) + old)[old >= 0], (got.astype(np.int64) * len(self.x) + nodes[:, None])[got >= 0]])
+        a, b = np.divmod(np.unique(pairs), len(self.x))
+        near = np.empty(len(a), np.float32)
+        step = max(1, PAIRS // self.x.shape[1])
+        for i in range(0, len(a), step):
+            near[i : i + step] = np.einsum("kd,kd->k", self.x[a[i : i + step]], self.x[b[i : i + step]])
+        at = np.lexsort((-near, a))
+        a, b, near = a[at], b[at], near[at]
+        row = np.searchsorted(ends, a)
+        place = np.arange(len(a)) - np.searchsorted(a, a)
+        fits = place < 3 * width
+        held = int(place[fits].max(initial=0)) + 1
+        every, by = np.full((len(ends), held), -1, np.int64), np.full((len(ends), held), -3, np.float32)
+        every[row[fits], place[fits]], by[row[fits], place[fits]] = b[fits], near[fits]
+        crowded = (every >= 0).sum(1) > width
+        kept = np.full((len(ends), width), -1, np.int32)
+        kept[:, : min(held, width)] = every[:, :width]
+        kept[crowded] = self._spread(every[crowded], by[crowded], width)
+        table[ends] = kept
 
     def _descend(self, q: np.ndarray, start: np.ndarray) -> np.ndarray:
         """Entry places for the lowest layer: a narrow search through the layers above it."""
@@ -137,42 +152,58 @@ class Graph:
         return at
 
     def _beam(self, table: np.ndarray, q: np.ndarray, start: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """Best-first search of all queries side by side: (places, similarities) of the best ``width``, -1 where fewer."""
-        n_q = len(q)
+        """Best-first search of all queries side by side: (places, similarities) of the best ``width``, -1 where fewer.
+
+        Places in a row of ``start`` differ, as those in a row of ``table`` do.
+        """
+        n_q, span = len(q), len(self.x) + 1
+        step = max(128, PAIRS // span)
+        if n_q > step:  # flags that a processor's cache can hold, whatever the size of the graph
+            parts = [self._beam(table, q[i : i + step], start[i : i + step], width) for i in range(0, n_q, step)]
+            return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         ids = np.full((n_q, width), -1, np.int64)
         sims = np.full((n_q, width), -3.0, np.float32)
         open_ = np.zeros((n_q, width), bool)
-        seen = np.zeros((n_q, len(self.x) + 1), bool)
-        seen[:, -1] = True  # where -1 points
-        rows = np.arange(n_q)
-        fresh = start
-        live = rows
+        seen = self._unseen(n_q * span)
+        seen[span - 1 :: span] = True  # where -1 points, from the row after (the last one's for the first row)
+        marks = []
+        fresh, live = start, np.arange(n_q)
         while len(live):
-            bad = seen[live[:, None], fresh]
-            # the same place twice in one row counts once
-            order = np.argsort(fresh, 1, kind="stable")
-            srt = np.take_along_axis(fresh, order, 1)
-            twin = np.zeros_like(bad)
-            np.put_along_axis(twin, order[:, 1:], srt[:, 1:] == srt[:, :-1], 1)
-            bad |= twin | (fresh < 0)
-            seen[live[:, None], fresh] = True
-            s = np.einsum("qkd,qd->qk", self.x[fresh], q[live])
-            s[bad] = -3.0
-            all_ids = np.concatenate([ids[live], np.where(bad, -1, fresh)], 1)
-            all_sims = np.concatenate([sims[live], s], 1)
-            all_open = np.concatenate([open_[live], ~bad], 1)
+            spots = (live[:, None] * span + fresh).ravel()
+            new = np.flatnonzero(~seen[spots])
+            spots, row = spots[new], new // fresh.shape[1]
+            seen[spots] = True
+            marks.append(spots)
+            s = np.full(fresh.size, -3.0, np.float32)
+            s[new] = np.einsum("kd,kd->k", self.x.take(fresh.ravel()[new], 0), q.take(live[row], 0))
+            s = s.reshape(fresh.shape)
+            better = np.flatnonzero(s.max(1) > sims[live].min(1))  # rows whose beam changes
+            at = live[better]
+            s, fresh = s[better], fresh[better]
+            all_sims = np.concatenate([sims[at], s], 1)
             top = np.argpartition(-all_sims, width - 1, 1)[:, :width]
-            ids[live], sims[live] = np.take_along_axis(all_ids, top, 1), np.take_along_axis(all_sims, top, 1)
-            open_[live] = np.take_along_axis(all_open, top, 1) & (ids[live] >= 0)
-            live = live[open_[live].any(1)]
-            if not len(live):
-                break
-            best = np.where(open_[live], sims[live], -4).argmax(1)
+            top += np.arange(len(at))[:, None] * all_sims.shape[1]
+            sims[at] = all_sims.take(top)
+            ids[at] = np.concatenate([ids[at], np.where(s > -3, fresh, -1)], 1).take(top)
+            open_[at] = np.concatenate([open_[at], s > -3], 1).take(top)
+            far = np.where(open_[live], sims[live], -4)
+            best = far.argmax(1)
+            going = far[np.arange(len(live)), best] > -4
+            live, best = live[going], best[going]
             open_[live, best] = False
-            fresh = table[ids[live, best]].astype(np.int64)
+            fresh = table[ids[live, best]]
+        for spots in marks:
+            seen[spots] = False
+        seen[span - 1 :: span] = False
         order = np.argsort(-sims, 1, kind="stable")
         return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
 
+    def _unseen(self, size: int) -> np.ndarray:
+        """``size`` flags, all False; a search clears what it sets, so that it costs what it visits and not the whole graph."""
+        if len(self._flags) < size:
+            self._flags = np.zeros(size, bool)
+        return self._flags[:size]
+
     def search(self, q: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         if not len(self.x):
             return np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0), np.float32)

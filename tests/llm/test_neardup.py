@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 
 from sawmill.llm import neardup
@@ -153,3 +155,61 @@ def test_links_count_for_both_ends(spark, monkeypatch):
     want = {w[0]: w[1] for w in brute(rows)}
     got = {g[0]: g[1] for g in run(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), min_shards=2)}
     assert sum(got[i] == want[i] for i in want) >= 0.98 * len(want) and all(got[i] <= want[i] for i in want)
+
+
+def test_a_walk_compares_a_place_once():
+    class Counted(np.ndarray):
+        """Vectors that note which places are read."""
+
+        def take(self, at, *args):
+            got.extend(np.ravel(at).tolist())
+            return np.asarray(self).take(at, *args)
+
+        def __getitem__(self, at):
+            got.extend(np.ravel(at).tolist())
+            return np.asarray(self)[at]
+
+    got = []
+    x = neardup.unit(np.random.default_rng(8).normal(size=(900, 16)))
+    graph = neardup.Graph(x)
+    lowest = neardup.Graph(x.view(Counted), graph.layers[:1])
+    ids, _ = lowest.search(x[5:6], 32)
+    assert ids[0, 0] == 5 and len(got) > 32 and len(got) == len(set(got))
+
+
+def test_a_walk_costs_what_it_visits():
+    """Memory of a search does not follow the size of the graph: a ring of many places, of which few are visited."""
+    n = 200_000
+    at = np.arange(n)
+    x = neardup.unit(np.random.default_rng(9).normal(size=(n, 4)))
+    graph = neardup.Graph(x, [(at, np.stack([(at + 1) % n, (at - 1) % n], 1).astype(np.int32))])
+    before = graph.search(x[:64], 4)
+    tracemalloc.start()
+    after = graph.search(x[:64], 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2_000_000  # 64 flags a place would be 12.8 MB
+    assert (before[0] == after[0]).all()
+
+
+def test_spread_and_links():
+    rng = np.random.default_rng(10)
+    x = neardup.unit(rng.normal(size=(400, 8)))
+    graph = neardup.Graph(x)
+    ids = np.array([rng.permutation(400)[:30] for _ in range(50)])
+    sims = (x[ids] * x[350:, None]).sum(2)
+    at = np.argsort(-sims, 1)
+    ids, sims = np.take_along_axis(ids, at, 1), np.take_along_axis(sims, at, 1)
+    ids[:10, 5:] = -1  # rows with few candidates
+    for row, near, got in zip(ids, sims, graph._spread(ids, sims, 8)):
+        row = row[row >= 0][:24]
+        want = []
+        for i, s in zip(row, near):
+            if len(want) < 8 and all(x[i] @ x[w] <= s for w in want):
+                want.append(i)
+        want += [i for i in row if i not in want][: 8 - len(want)]
+        assert got[got >= 0].tolist() == want
+    for members, table in graph.layers:
+        for i in members:
+            links = table[i][table[i] >= 0].tolist()
+            assert len(links) == len(set(links)) and i not in links and set(links) <= set(members.tolist())
