@@ -315,3 +315,25 @@ def test_live_timechart(spark, tmp_path):
     q = ingest.live_timechart(stream, "1 hour", "10 minutes", "k").writeStream.outputMode("complete").format("memory").queryName("live").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(map(tuple, spark.table("live").collect())) == sorted(map(tuple, ingest.live_timechart(df, "1 hour", "10 minutes", "k").collect()))
+
+
+def test_mining_reads_every_line(spark):
+    """Statements that stand in one of 20,000 lines have their templates."""
+    rows = [(f"click user={i % 97} n={i}" if i % 2_000 else f"rare{i} made of words number {'x ' * (i // 2_000)}", i, "s") for i in range(20_000)]
+    df = spark.createDataFrame(rows, "raw string, line_no long, segment_id string")
+    templates = mining.mine(df)
+    assert mining.match(df, templates).where("template_id = -1").count() == 0 and len(templates) == 11
+
+
+@pytest.mark.parametrize("held, in_all", [(1, 100), (3, 5), (500, 20_000)])
+def test_what_a_task_holds_is_bounded(lines, held, in_all):
+    """However few templates a task may hold, each line fits a row, and parts stay apart."""
+    parted = lines.select((F.col("line_no") % 3).cast("int").alias("part"), "raw")
+    rows = mining.gathered(parted, held=held, in_all=in_all).collect()
+    for r in parted.where("raw <> ''").collect():
+        assert any(x.part == r.part and mining.Fit(x.tokens)(mining.split(r.raw)) is not None for x in rows if x.n == len(mining.split(r.raw)))
+
+
+def test_all_values_of_a_variable_are_judged(spark):
+    rows = [(7, 0, str(i)) for i in range(300)] * 2
+    assert discover.form_shares(spark.createDataFrame(rows, "template_id int, var_idx int, value string")).first().port == 299 / 300
