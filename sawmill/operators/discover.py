@@ -17,6 +17,8 @@ from .mining import Template, numbered, variables
 
 #: Share of a variable's distinct values that must be of a form, meanings kept, tokens that are near.
 SHARE, MOST, REACH = 0.5, 2, 3
+#: Forms that any small number has: where shares are equal, a meaning that a word beside the variable names comes before them.
+BARE = {"http_status", "port"}
 
 METHODS = ["GET", "HEAD", "POST", "PUT", "DELETE", "PATCH", "OPTIONS", "TRACE", "CONNECT"]
 TIMES = ["H:mm:ss", "H:mm", "yyyy-MM-dd", "yyyy/MM/dd", "dd/MM/yyyy", "MM/dd/yyyy", "dd/MMM/yyyy"]
@@ -107,10 +109,12 @@ def neighbours(template: Template) -> dict[int, dict[str, float]]:
 def suggest(matched: DataFrame, templates: list[Template]) -> dict[tuple[int, int], list[str]]:
     """Up to MOST meanings for each variable, best first: share of its values plus what its neighbours name.
 
-    A form counts from SHARE on; a name without values of its form counts as far as it is near. What
-    comes to the driver is bounded by the templates' variables.
+    A form counts from SHARE on; a name without values of its form counts as far as it is near. Of
+    equals, forms of bare numbers that no neighbour names come last. What comes to the driver is
+    bounded by the templates' variables.
     """
     ids = numbered(templates)
+    beside: dict[tuple[int, int], set[str]] = defaultdict(set)
     names = list(forms(F.lit("")))
     scores: dict[tuple[int, int], dict[str, float]] = defaultdict(dict)
     for r in form_shares(variables(matched)).collect():
@@ -119,9 +123,11 @@ def suggest(matched: DataFrame, templates: list[Template]) -> dict[tuple[int, in
         for var, named in neighbours(t).items():
             for kind, weight in named.items():
                 own = scores[ids[t], var]
+                beside[ids[t], var].add(kind)
                 own[kind] = own.get(kind, 0.0) + weight
     rank = {n: i for i, n in enumerate([*names, "pid"])}
-    return {key: [k for k, s in sorted(kinds.items(), key=lambda x: (-x[1], rank[x[0]])) if s >= SHARE][:MOST] for key, kinds in scores.items()}
+    bare = {key: BARE - beside[key] for key in scores}
+    return {key: [k for k, s in sorted(kinds.items(), key=lambda x: (-x[1], x[0] in bare[key], rank[x[0]])) if s >= SHARE][:MOST] for key, kinds in scores.items()}
 
 
 def discover(matched: DataFrame, templates: list[Template]) -> Aliases:

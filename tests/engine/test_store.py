@@ -337,3 +337,11 @@ def test_what_a_task_holds_is_bounded(lines, held, in_all):
 def test_all_values_of_a_variable_are_judged(spark):
     rows = [(7, 0, str(i)) for i in range(300)] * 2
     assert discover.form_shares(spark.createDataFrame(rows, "template_id int, var_idx int, value string")).first().port == 299 / 300
+
+
+def test_a_name_beside_a_variable_comes_before_bare_numbers(spark):
+    """All values of ``user=`` are ports as well as numbers of users; the word beside them says what they are."""
+    df = spark.createDataFrame([(f"did user={i} n={i}", i, "s") for i in range(1, 400)], "raw string, line_no long, segment_id string")
+    templates = mining.mine(df)
+    found = discover.discover(mining.match(df, templates), templates)
+    assert [len(v) for k, v in found.of.items() if k == "username"] == [1]
