@@ -277,7 +277,7 @@ def _mined(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[mining.Tem
 @_query("mining_rebuild", f"SELECT event_id AS line_no, raw, raw AS rebuilt FROM {LINES}")
 def mining_rebuild(spark, sf_dir):
     matched, templates = _mined(spark, sf_dir)
-    return mining.rebuild(matched, mining.catalog(matched, templates)).select("line_no", "raw", "rebuilt")
+    return mining.rebuild(matched, mining.texts(spark, templates)).select("line_no", "raw", "rebuilt")
 
 
 @_query("mining_coverage", "SELECT count(*) AS lines, count(*) AS matched FROM events")

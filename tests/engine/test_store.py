@@ -345,3 +345,17 @@ def test_a_name_beside_a_variable_comes_before_bare_numbers(spark):
     templates = mining.mine(df)
     found = discover.discover(mining.match(df, templates), templates)
     assert [len(v) for k, v in found.of.items() if k == "username"] == [1]
+
+
+def test_rebuilding_deals_no_lines_by_template(spark, lines, capsys):
+    """One template may hold nearly all lines: the templates go to the lines."""
+    templates = mining.mine(lines)
+    matched = mining.match(lines, templates)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rebuilt = mining.rebuild(matched, mining.texts(spark, templates))
+        assert rebuilt.where("raw <> rebuilt").count() == 0 and rebuilt.count() == 903
+        mining.rebuild(matched, mining.catalog(matched, templates)).explain()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in capsys.readouterr().out
