@@ -14,6 +14,8 @@ import tempfile
 import time
 import uuid
 from dataclasses import asdict, dataclass, fields
+from functools import reduce
+from operator import xor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,6 +104,13 @@ class FileStore:
         fs, p = self._at(path)
         fs.delete(p, True)
 
+    def move(self, path: str, to: str) -> None:
+        """A file or folder to another place, whose folder is made if need be."""
+        (fs, p), (_, q) = self._at(path), self._at(to)
+        fs.mkdirs(q.getParent())
+        if not fs.rename(p, q):
+            raise StoreError(f"could not write {to}")
+
     def names(self, path: str) -> list[str]:
         fs, p = self._at(path)
         return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
@@ -202,45 +211,78 @@ class Catalog:
         return self._table(name, "lines", LINES).join(seen, "segment_id", "left_semi")
 
     def write_segment(self, name: str, batch: DataFrame, segment_id: str, time_fallback=None, file_records: int = 0) -> dict:
-        """Mine, match and store one batch of lines (column ``raw``) as a segment; returns its metadata.
+        """Mine, match and store one batch of lines (column ``raw``) as a segment; returns its metadata."""
+        (meta,) = self.write_segments(name, batch.withColumn("part", F.lit(0)), [segment_id], time_fallback, file_records)
+        return meta
+
+    def write_segments(self, name: str, batch: DataFrame, ids: list[str], time_fallback=None, file_records: int = 0) -> list[dict]:
+        """Mine, match and store lines (columns ``raw`` and ``part``, the place of the line's segment in ``ids``); returns the segments' metadata.
 
-        Writing the same segment again replaces it, whatever days its lines had the first time. Files
-        hold ``file_records`` lines at most (0: as Spark deals them). Vars get a bloom filter, so that a
-        search for one value skips row groups.
+        However many the segments, they take one pass each to mine, to store, and to read back. Writing
+        the same segment again replaces it, whatever days its lines had the first time. All is written
+        aside and then moved, the segments' rows last. Files hold ``file_records`` lines at most (0: as
+        Spark deals them). Vars get a bloom filter, so that a search for one value skips row groups.
         """
         path, spark = self.path(name), self.spark
-        folder = {part: f"{path}/{part}/segment_id={segment_id}" for part in ("segments", "templates", "lines")}
-        for part in folder.values():
-            self.files.delete(part)
-        timed = source.with_time(batch, time_fallback)
-        templates = mining.mine(timed)
-        number = F.row_number().over(Window.partitionBy("_part").orderBy("_order"))
-        rows = mining.match(timed.select("raw", "ts_ms", "ts"), templates)
-        rows = rows.withColumn("_part", F.spark_partition_id()).withColumn("_order", F.monotonically_increasing_id())
+        place = lambda part, k: f"{path}/{part}/segment_id={ids[k]}"
+        for part in ("segments", "templates", "lines"):
+            there = set(self.files.names(f"{path}/{part}"))
+            for k in range(len(ids)):
+                if f"segment_id={ids[k]}" in there:
+                    self.files.delete(place(part, k))
+        templates = mining.mine_parts(batch)
+        rows = mining.match(source.with_time(batch, time_fallback).select("part", "raw", "ts_ms", "ts"), templates)
         # Line numbers rise within each input split and do not need a global sort.
-        rows = rows.withColumn("line_no", (F.col("_part").cast("long") * (1 << 33)) + number).drop("_part", "_order").withColumn("dt", F.to_date("ts"))
-        columns = [c for c in (f.split()[0] for f in LINES.split(", ")) if c != "segment_id"]
-        writer = rows.select(*columns).write.option("compression", "zstd").option("parquet.bloom.filter.enabled#vars.list.element", "true")
-        if file_records:
-            writer = writer.option("maxRecordsPerFile", file_records)
-        writer.partitionBy("dt").parquet(folder["lines"])
-        # Only this segment's folder is read back. No lines leave no file but a mark.
-        stored = spark.read.schema(", ".join(f for f in LINES.split(", ") if not f.startswith("segment_id"))).parquet(folder["lines"])
-        meta = stored.agg(
-            F.sum(F.octet_length("raw") + 1).alias("bytes"), F.count("*").alias("records"), F.min("ts_ms").alias("start_ms"), F.max("ts_ms").alias("end_ms"), F.expr("bit_xor(crc32(concat(raw, '\\n')))").alias("crc32")
-        ).first()
-        if not meta["records"]:
-            self.files.delete(folder["lines"])
-            return {"segment": None, "records": 0}
-        mining.catalog(stored, templates).select("template_id", "count", "content", "segs").coalesce(1).write.parquet(folder["templates"])
-        if self.files.exists(f"{path}/dropped"):  # a segment that was dropped and is written again is there again
-            gone = [r[0] for r in self._table(name, "dropped", "segment_id string").distinct().collect()]
-            if segment_id in gone:
-                self.spark.createDataFrame([(s,) for s in gone if s != segment_id], "segment_id string").coalesce(1).write.mode("overwrite").parquet(f"{path}/dropped")
-        row = {"index": name, **meta.asDict(), "written_ms": int(time.time() * 1000)}
-        columns = [f for f in SEGMENTS.split(", ") if not f.startswith("segment_id")]
-        spark.createDataFrame([tuple(row[f.split()[0]] for f in columns)], ", ".join(columns)).coalesce(1).write.parquet(folder["segments"])
-        return {"segment": segment_id, **{k: row[k] for k in ("records", "bytes", "start_ms", "end_ms", "crc32")}}
+        rows = rows.withColumn("line_no", F.monotonically_increasing_id() + 1).withColumn("dt", F.to_date("ts"))
+        columns = ["part int", *(f for f in LINES.split(", ") if not f.startswith("segment_id"))]
+        aside = f"{path}/aside-{uuid.uuid4().hex}"
+        try:
+            writer = rows.select(*(f.split()[0] for f in columns)).write.option("compression", "zstd").option("parquet.bloom.filter.enabled#vars.list.element", "true")
+            if file_records:
+                writer = writer.option("maxRecordsPerFile", file_records)
+            writer.partitionBy("part", "dt").parquet(f"{aside}/lines")
+            # Only what was written is read back, once: each template's share of each segment.
+            stored = spark.read.schema(", ".join(columns)).parquet(f"{aside}/lines")
+            shares = stored.groupBy("part", "template_id").agg(
+                F.sum(F.octet_length("raw") + 1).alias("bytes"), F.count("*").alias("records"), F.min("ts_ms").alias("start_ms"), F.max("ts_ms").alias("end_ms"), F.bit_xor(line_crc(F.col("raw"))).alias("crc32")
+            )
+            held: dict[int, list] = {}
+            for r in shares.collect():
+                held.setdefault(r["part"], []).append(r)
+            now, metas, texts, notes = int(time.time() * 1000), [], [], []
+            for k, segment_id in enumerate(ids):
+                if k not in held:  # no lines leave nothing
+                    metas.append({"segment": None, "records": 0})
+                    continue
+                of = lambda f, k=k: [r[f] for r in held[k] if r[f] is not None]
+                meta = {"records": sum(of("records")), "bytes": sum(of("bytes")), "start_ms": min(of("start_ms")), "end_ms": max(of("end_ms")), "crc32": reduce(xor, of("crc32"), 0)}
+                metas.append({"segment": segment_id, **meta})
+                row = {"index": name, **meta, "written_ms": now}
+                notes.append((k, *(row[f.split()[0]] for f in SEGMENTS.split(", ") if not f.startswith("segment_id"))))
+                counts = {r["template_id"]: r["records"] for r in held[k]}
+                known = {i: t for t, i in mining.numbered(templates.get(k, [])).items() if i in counts}
+                texts += [(k, i, counts[i], known[i].content, mining.segments(known[i])) for i in sorted(known, key=lambda i: (-counts[i], i))]
+            if not held:
+                return metas
+            self._aside(texts, TEMPLATES, f"{aside}/templates")
+            self._aside(notes, SEGMENTS, f"{aside}/segments")
+            if self.files.exists(f"{path}/dropped"):  # a segment that was dropped and is written again is there again
+                gone = {r[0] for r in self._table(name, "dropped", "segment_id string").distinct().collect()}
+                if again := gone & {ids[k] for k in held}:
+                    spark.createDataFrame([(s,) for s in sorted(gone - again)], "segment_id string").coalesce(1).write.mode("overwrite").parquet(f"{path}/dropped")
+            for part in ("lines", "templates", "segments"):
+                there = set(self.files.names(f"{aside}/{part}"))
+                for k in sorted(held):
+                    if f"part={k}" in there:
+                        self.files.move(f"{aside}/{part}/part={k}", place(part, k))
+        finally:
+            self.files.delete(aside)
+        return metas
+
+    def _aside(self, rows: list[tuple], schema: str, path: str) -> None:
+        """Rows of a dimension, the part first, into a folder for each part."""
+        df = self.spark.createDataFrame(rows, ", ".join(["part int", *(f for f in schema.split(", ") if not f.startswith("segment_id"))]))
+        (df if len(rows) > 1_000 else df.coalesce(1)).write.partitionBy("part").parquet(path)
 
     def verify(self, name: str) -> DataFrame:
         """segment_id and whether its stored lines still give the recorded count and checksum."""

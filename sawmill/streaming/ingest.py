@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,12 +31,24 @@ def start(catalog: Catalog, index: str, lines: DataFrame, checkpoint: str, strea
     def write(batch: DataFrame, batch_id: int) -> None:
         held = batch.select("raw").persist()
         try:
-            records, size = held.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("raw") + 1), F.lit(0))).first()
-            parts = cuts(records, size, config)
-            # By hash, so that a batch that runs again is cut alike.
-            which = F.pmod(F.xxhash64("raw", F.monotonically_increasing_id()), F.lit(parts))
-            for k in range(parts if records else 0):
-                catalog.write_segment(index, held.where(which == k) if parts > 1 else held, segment_of(stream, batch_id) + (f"_{k}" if parts > 1 else ""))
+            splits = held.groupBy(F.spark_partition_id().alias("split")).agg(F.count("*").alias("n"), F.sum(F.octet_length("raw") + 1).alias("size")).orderBy("split").collect()
+            records = sum(r["n"] for r in splits)
+            parts = cuts(records, sum(r["size"] for r in splits), config)
+            names = [segment_of(stream, batch_id) + (f"_{k}" if parts > 1 else "") for k in range(parts if records else 0)]
+            if parts == 1:
+                lines = held.withColumn("part", F.lit(0))
+            else:
+                # By the line's place in the batch, so that a batch that runs again is cut alike and no segment is beyond its share.
+                before = [0] * (1 + splits[-1]["split"])
+                for r, held_before in zip(splits, accumulate((r["n"] for r in splits), initial=0)):
+                    before[r["split"]] = held_before
+                place = F.get(F.lit(before), F.spark_partition_id()) + F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+                lines = held.withColumn("place", place.cast("long")).select("raw", F.expr(f"cast(place * {parts}L div {records}L as int)").alias("part"))
+                # A segment is within the thresholds, so that a task may hold some. Their number is given: writing costs by the file, not by the byte.
+                tasks = min(parts, int(catalog.spark.conf.get("spark.sql.shuffle.partitions")))
+                lines = lines.repartition(tasks, "part")
+            if names:
+                catalog.write_segments(index, lines, names)
         finally:
             held.unpersist()
         if config.max_segments or config.max_disk_bytes:

@@ -359,3 +359,22 @@ def test_rebuilding_deals_no_lines_by_template(spark, lines, capsys):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "SortMergeJoin" not in capsys.readouterr().out
+
+
+def test_segments_of_a_batch_are_written_in_one_pass(spark, tmp_path):
+    """Forty segments take no more jobs than one; none is beyond the threshold, each has its own templates, and no folder is left aside."""
+    (tmp_path / "in").mkdir()
+    for k in range(3):
+        (tmp_path / "in" / f"{k}.log").write_text("".join(x + "\n" for x in log(330, k)))
+    catalog = Catalog(spark, str(tmp_path / "root"))
+    catalog.create("s", flush_records="25")
+    q = ingest.start(catalog, "s", ingest.stream(catalog, "s", str(tmp_path / "in")), str(tmp_path / "ck"), once=True)
+    q.awaitTermination(200)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(str(q.runId))) < 40
+    segments = catalog.segments("s").collect()
+    assert len(segments) == 40 and max(r.records for r in segments) <= 25
+    assert sorted(r.raw for r in catalog.lines("s").select("raw").collect()) == sorted(x for k in range(3) for x in log(330, k))
+    assert catalog.verify("s").where("ok").count() == 40 and catalog.lines("s").where("template_id = -1").count() == 0
+    told = {(r.segment_id, r.template_id): r["count"] for r in catalog.templates("s").collect()}
+    assert told == {(r.segment_id, r.template_id): r["count"] for r in catalog.lines("s").groupBy("segment_id", "template_id").count().collect()}
+    assert sorted(os.listdir(tmp_path / "root" / "s")) == ["lines", "segments", "templates"]
