@@ -207,7 +207,8 @@ class Catalog:
         """All lines of visible segments. Filters on segment, day, time and template reach the scan."""
         if not self.files.exists(f"{self.path(name)}/lines"):
             raise StoreError("no segment")
-        seen = self.segments(name).select("segment_id")  # Spark broadcasts it by its size
+        # A row for each segment, which goes to all tasks: by its key, a segment's lines would be one task's.
+        seen = F.broadcast(self.segments(name).select("segment_id"))
         return self._table(name, "lines", LINES).join(seen, "segment_id", "left_semi")
 
     def write_segment(self, name: str, batch: DataFrame, segment_id: str, time_fallback=None, file_records: int = 0) -> dict:

@@ -378,3 +378,16 @@ def test_segments_of_a_batch_are_written_in_one_pass(spark, tmp_path):
     told = {(r.segment_id, r.template_id): r["count"] for r in catalog.templates("s").collect()}
     assert told == {(r.segment_id, r.template_id): r["count"] for r in catalog.lines("s").groupBy("segment_id", "template_id").count().collect()}
     assert sorted(os.listdir(tmp_path / "root" / "s")) == ["lines", "segments", "templates"]
+
+
+def test_lines_of_a_segment_are_not_one_tasks(spark, tmp_path, capsys):
+    catalog = Catalog(spark, str(tmp_path / "root"))
+    catalog.create("v")
+    ingest.bulk(catalog, "v", spark.createDataFrame([(x,) for x in log(50)], "raw string"), "one")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        catalog.lines("v").select("raw").explain()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    plan = capsys.readouterr().out
+    assert "LeftSemi, BuildRight" in plan.replace("\n", " ") and "SortMergeJoin [segment_id#" not in plan.split("FileScan")[0]
