@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -39,19 +40,28 @@ def span(line: Column) -> Column:
     return F.get(good, 0)
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once, however often ``then`` names it."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def parse_ms(text: Column) -> Column:
     """Epoch milliseconds of a time text, by the first format that fits and gives no negative time; null else."""
-    plain = F.regexp_replace(text, r"(\d{1,2}:\d{2}:\d{2})[,.]\d+", "$1")
-    fraction = F.rpad(F.regexp_extract(text, _FRACTION, 1), 3, "0").try_cast("bigint")
-    tries = []
-    for pattern, form in FORMATS:
+
+    def read(plain: Column, pattern: str, form: str) -> Column:
         got = F.regexp_extract(plain, pattern, 1)
         if form.startswith("yyyy-M-d H:mm:ss Z"):
             got = F.when(plain.rlike(pattern), F.concat_ws(" ", got, F.regexp_extract(plain, pattern, 2)))
         got = F.regexp_replace(got, " +", " ")
-        ms = F.unix_millis(F.try_to_timestamp(F.when(got != "", got), F.lit(form)))
-        tries.append(F.when(ms >= 0, ms))
-    return F.coalesce(*tries) + F.coalesce(fraction, F.lit(0))
+        ms = _let(got, lambda g: F.unix_millis(F.try_to_timestamp(F.when(g != "", g), F.lit(form))))
+        return _let(ms, lambda t: F.when(t >= 0, t))
+
+    def whole(t: Column) -> Column:
+        fraction = F.rpad(F.regexp_extract(t, _FRACTION, 1), 3, "0").try_cast("bigint")
+        plain = F.regexp_replace(t, r"(\d{1,2}:\d{2}:\d{2})[,.]\d+", "$1")
+        return _let(plain, lambda p: F.coalesce(*[read(p, pattern, form) for pattern, form in FORMATS])) + F.coalesce(fraction, F.lit(0))
+
+    return _let(text, whole)
 
 
 def line_ms(line: Column, fallback: Column | None = None) -> Column:

@@ -51,7 +51,7 @@ def stream_text(spark: SparkSession, path: str, max_files: int | None = None) ->
 
 
 def clean(lines: DataFrame) -> DataFrame:
-    raw = F.regexp_replace("raw", "\r$", "")
+    raw = F.when(F.col("raw").contains("\r"), F.regexp_replace("raw", "\r$", "")).otherwise(F.col("raw"))
     return lines.withColumn("raw", raw).where(is_line(F.col("raw")))
 
 

@@ -391,3 +391,8 @@ def test_lines_of_a_segment_are_not_one_tasks(spark, tmp_path, capsys):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     plan = capsys.readouterr().out
     assert "LeftSemi, BuildRight" in plan.replace("\n", " ") and "SortMergeJoin [segment_id#" not in plan.split("FileScan")[0]
+
+
+def test_the_time_of_a_line_is_looked_for_once(spark, capsys):
+    source.with_time(spark.range(1).selectExpr("cast(id as string) raw")).select("ts_ms").explain()
+    assert capsys.readouterr().out.count("regexp_extract_all(") == 1
